@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.functions.scalar import half_even, whole_volume, winsorise
+from tickloom.functions.scalar import half_even, null_if_nan, whole_volume, winsorise
 from tickloom.schema import PRICES
 
 
@@ -23,7 +23,7 @@ def coerce(df: DataFrame, columns: list[str], to: str = "double") -> DataFrame:
     """Unparsable text becomes NULL; so does a parsed NaN."""
     value = {c: F.col(c).try_cast(to) for c in columns}
     if to in ("double", "float"):
-        value = {c: F.when(~F.isnan(v), v) for c, v in value.items()}
+        value = {c: null_if_nan(v) for c, v in value.items()}
     return df.withColumns(value)
 
 

@@ -20,7 +20,7 @@ from tickloom.schema import PANEL_COLUMNS
 def bars_from_ticks(ticks: DataFrame, order_by: list[str], price: str = "price",
                     volume: str = "quantity") -> DataFrame:
     """Daily open/high/low/close/volume per (stock, date) from single trades."""
-    at = F.struct(*order_by)
+    at = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     return ticks.groupBy("stock", "date").agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"),
         F.min(price).alias("low"), F.max_by(price, at).alias("close"),

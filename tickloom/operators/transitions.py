@@ -89,35 +89,39 @@ def linked(probs: DataFrame, by: list[str] | None = None) -> DataFrame:
             .drop("seen"))
 
 
-def expected_growth(probs: DataFrame, max_horizon: int, by: list[str] | None = None) -> DataFrame:
-    """(by, horizon, state, growth): exact mean growth over 1..max_horizon steps.
+def expected_growth(probs: DataFrame, horizon: int, by: list[str] | None = None,
+                    horizons: DataFrame | None = None) -> DataFrame:
+    """(by, state, growth): exact mean growth over ``horizon`` steps from each state.
 
     The limit of the mean over sampled paths: E_h(s) = sum p(s -> s') (1 + centre(s')) E_{h-1}(s').
-    The transition table is staged because every step reads it.
+    ``horizons(by, horizon)`` may set a shorter horizon per group: the steps before its last
+    ``horizon`` ones then count as growth 1, so all groups share one chain of joins. The
+    transition table is staged because every step reads it.
     """
     by = by or []
-    step = F.greatest(centre_of(F.col("next")), F.lit(LOG_FLOOR)) + 1
-    table = stage(linked(probs, by).select(*by, "prev", "state", (F.col("p") * step).alias("gain")),
-                  "transitions")
-    reached, all_steps = None, None
-    for h in range(1, max_horizon + 1):
-        if reached is None:
-            value = table.groupBy(*by, "prev").agg(F.sum("gain").alias("growth"))
-        else:
-            value = (table.join(reached, [*by, "state"]).groupBy(*by, "prev")
-                     .agg(F.sum(F.col("gain") * F.col("growth")).alias("growth")))
-        reached = value.select(*by, F.col("prev").alias("state"), "growth")
-        tagged = reached.withColumn("horizon", F.lit(h))
-        all_steps = tagged if all_steps is None else all_steps.unionByName(tagged)
-    return all_steps
+    gain = F.col("p") * (F.greatest(centre_of(F.col("next")), F.lit(LOG_FLOOR)) + 1)
+    table = linked(probs, by).select(*by, "prev", "state", gain.alias("gain"))
+    if horizons is not None:
+        table = table.join(F.broadcast(horizons), by).withColumn("idle", horizon - F.col("horizon"))
+    else:
+        table = table.withColumn("idle", F.lit(0))
+    table = stage(table.select(*by, "prev", "state", "gain", "idle"), "transitions")
+    reached = table.groupBy(*by, "prev").agg(F.sum("gain").alias("growth"))
+    for step in range(2, horizon + 1):
+        onward = F.when(F.col("idle") >= step - 1, 1.0).otherwise(F.col("growth"))
+        reached = (table.join(reached.withColumnRenamed("prev", "state"), [*by, "state"])
+                   .groupBy(*by, "prev").agg(F.sum(F.col("gain") * onward).alias("growth")))
+    return reached.select(*by, F.col("prev").alias("state"), "growth")
 
 
 def score_states(states: DataFrame, growth: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Score of rows ``(by, horizon, stock, token)``: expected growth - 1, unseen states backed off."""
+    """Adds ``score`` to rows ``(by, stock, token)``: expected growth - 1, unseen tokens backed off."""
     by = by or []
-    keys = [*by, "horizon"]
     own = growth.filter(F.col("state") != UNSEEN).withColumnRenamed("state", "token")
-    fallback = growth.filter(F.col("state") == UNSEEN).select(*keys, F.col("growth").alias("fallback"))
-    return (states.join(own, [*keys, "token"], "left").join(fallback, keys, "left")
-            .withColumn("score", F.coalesce("growth", "fallback") - 1)
-            .drop("growth", "fallback"))
+    fallback = growth.filter(F.col("state") == UNSEEN).select(*by, F.col("growth").alias("fallback"))
+    scored = states.join(own, [*by, "token"], "left")
+    if by:
+        scored = scored.join(F.broadcast(fallback), by, "left")      # one row per period
+    else:
+        scored = scored.withColumn("fallback", fallback.select("fallback").scalar())
+    return scored.withColumn("score", F.coalesce("growth", "fallback") - 1).drop("growth", "fallback")

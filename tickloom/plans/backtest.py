@@ -55,9 +55,9 @@ def walk_forward_scores(panel: DataFrame, periods: DataFrame, days: DataFrame, h
     counts = with_unseen(cumulative_counts(token_pairs(tokens), days, periods), ["period"])
     probs = probabilities(counts, ["period"], temperature)
     open_periods = scored_periods(days, periods, horizon).select("period", "horizon")
-    growth = stage(expected_growth(probs, horizon, ["period"]).join(
-        F.broadcast(open_periods), ["period", "horizon"], "left_semi"), "growth")
-    states = states_at(tokens, days, periods, min_tokens).join(F.broadcast(open_periods), "period")
+    growth = stage(expected_growth(probs, horizon, ["period"], open_periods), "growth")
+    states = states_at(tokens, days, periods, min_tokens).join(
+        F.broadcast(open_periods.select("period")), "period", "left_semi")
     scores = score_states(states, growth, ["period"]).filter(F.col("score").isNotNull())
     wide_enough = (scores.groupBy("period").agg(F.count("*").alias("n"))
                    .filter(F.col("n") >= min_scores).select("period"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.operators.calendar import month_starts, period_of_days
@@ -110,23 +112,103 @@ def fm(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(got.select("mean_coef", "t_stat", "mean_r2", "n_periods"), "mean_coef", "t_stat", "mean_r2")
 
 
-@query("fama_macbeth_verdict")
+# The two-sided tail of Student's t for whole degrees of freedom v, with gamma functions for the
+# coefficients of the cosine series.
+VERDICT_SQL = WALK_SQL + REALISED_SQL + SLOPES_SQL + """,
+m AS (SELECT avg(slope) AS b, avg(slope) / (stddev_samp(slope) / sqrt(count(slope))) AS t, avg(r2) AS r2,
+             CAST(count(slope) AS INTEGER) AS n, CAST(count(slope) - 1 AS INTEGER) AS v FROM slopes),
+angle AS (SELECT *, atan(abs(t) / sqrt(v)) AS a FROM m),
+series AS (
+  SELECT any_value(v) AS v, any_value(a) AS a, sum(pow(cos(a), 2 * j) * CASE WHEN v % 2 = 0
+           THEN exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi())
+           ELSE exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 END) AS total
+  FROM angle, (SELECT unnest(generate_series(0, 2000)) AS j) WHERE j < v // 2),
+p AS (SELECT greatest(0, 1 - CASE WHEN v % 2 = 0 THEN sin(a) * total
+                             ELSE 2 / pi() * (a + sin(a) * cos(a) * coalesce(total, 0)) END) AS p FROM series)
+SELECT round_even(b * 1e6, 0) / 1e6 + 0.0 AS mean_coef, round_even(t * 1e3, 0) / 1e3 + 0.0 AS t_stat,
+       round_even(p * 1e4, 0) / 1e4 + 0.0 AS p_value, round_even(r2 * 1e4, 0) / 1e4 + 0.0 AS mean_r2,
+       n AS n_periods, CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01'
+       WHEN p < 0.05 THEN 'p<0.05' ELSE 'not significant' END AS verdict FROM m, p"""
+
+
+@query("fama_macbeth_verdict", VERDICT_SQL)
 def fm_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return fama_macbeth(period_regression(Walk(spark, sf).scored()))
 
 
-@query("factor_coefficients")
+def _determinant(cells: list[list[str]]) -> str:
+    """A determinant written out as the signed products of all permutations."""
+    terms = []
+    for p in permutations(range(len(cells))):
+        sign = sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p))) % 2
+        terms.append(("-" if sign else "+") + " * ".join(cells[i][c] for i, c in enumerate(p)))
+    return " ".join(terms)
+
+
+def _factor_sql(factors_sql: str) -> str:
+    """Four slopes per period by Cramer's rule on the correlations."""
+    k = len(FACTORS)
+    names = [*FACTORS, "realised"]
+    r = {(i, j): f"r{min(i, j)}{max(i, j)}" for i in range(k + 1) for j in range(k + 1)}
+    pairs = ", ".join(f"corr({names[i]}, {names[j]}) AS r{i}{j}" for i in range(k + 1) for j in range(i, k + 1))
+    spread = ", ".join(f"stddev_pop({c}) AS sd{i}" for i, c in enumerate(names))
+    square = [[r[i, j] for j in range(k)] for i in range(k)]
+    slopes = []
+    for x in range(k):
+        swapped = [[r[i, k] if j == x else square[i][j] for j in range(k)] for i in range(k)]
+        slopes.append(f"({_determinant(swapped)}) / ({_determinant(square)}) * sd{k} / sd{x} AS {FACTORS[x]}")
+    return (WALK_SQL + REALISED_SQL + factors_sql + f""",
+moments AS (SELECT period, count(*) AS n, {pairs}, {spread} FROM observed
+            WHERE volatility IS NOT NULL GROUP BY period HAVING count(*) >= 30),
+coefs AS (SELECT period, CAST(n AS INTEGER) AS n, {', '.join(slopes)} FROM moments)
+""")
+
+
+AT_REBALANCE_SQL = """,
+calendar AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM panel)),
+aged AS (SELECT k.period, p.stock, p.return_1d, r.pos - c.pos AS age
+         FROM periods k JOIN calendar r ON r.date = k.reb_date
+         JOIN calendar c ON c.pos > r.pos - 20 AND c.pos <= r.pos JOIN panel p ON p.date = c.date),
+factors AS (SELECT period, stock, coalesce(sum(return_1d), 0) AS momentum,
+                   -coalesce(sum(CASE WHEN age < 5 THEN return_1d END), 0) AS reversal,
+                   stddev_samp(return_1d) AS volatility FROM aged GROUP BY ALL),
+observed AS (SELECT s.*, coalesce(momentum, 0) AS momentum, coalesce(reversal, 0) AS reversal, volatility
+             FROM scored s LEFT JOIN factors f USING (period, stock))
+"""
+
+AT_END_SQL = """,
+calendar AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM panel)),
+factors AS (
+  SELECT stock, coalesce(sum(CASE WHEN age < 20 THEN return_1d END), 0) AS momentum,
+         -coalesce(sum(CASE WHEN age < 5 THEN return_1d END), 0) AS reversal,
+         stddev_samp(CASE WHEN age < 20 THEN return_1d END) AS volatility
+  FROM (SELECT p.*, (SELECT max(pos) FROM calendar) - pos AS age FROM panel p JOIN calendar USING (date))
+  GROUP BY stock),
+observed AS (SELECT s.*, momentum, reversal, volatility FROM scored s JOIN factors f USING (stock))
+"""
+
+
+@query("factor_coefficients", _factor_sql(AT_REBALANCE_SQL) + """
+SELECT period, n, round(score, 6) + 0.0 AS score, round(momentum, 6) + 0.0 AS momentum,
+       round(reversal, 6) + 0.0 AS reversal, round(volatility, 6) + 0.0 AS volatility FROM coefs""")
 def factor_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     """Four slopes per period; factors as known at each rebalance date."""
     w = Walk(spark, sf)
-    return period_factor_regression(factor_table(w.scored(), w.panel, w.periods, "rebalance"), FACTORS)
+    coefs = period_factor_regression(factor_table(w.scored(), w.panel, w.periods, "rebalance"), FACTORS)
+    return rounded(coefs.drop("intercept"), *FACTORS)
 
 
-@query("factor_summary")
+@query("factor_summary", _factor_sql(AT_END_SQL) + """,
+long AS (UNPIVOT coefs ON score, momentum, reversal, volatility INTO NAME name VALUE coef),
+s AS (SELECT name, avg(coef) AS b, avg(coef) / (stddev_samp(coef) / sqrt(count(*))) AS t, count(*) AS n
+      FROM long GROUP BY name)
+SELECT name, round(b, 6) + 0.0 AS mean_coef, round(t, 6) + 0.0 AS t_stat, n AS n_periods,
+       CASE WHEN abs(t) > 2.58 THEN 'p<0.01' WHEN abs(t) > 1.96 THEN 'p<0.05' WHEN abs(t) > 1.65 THEN 'p<0.10' ELSE '' END AS mark
+FROM s""")
 def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
     w = Walk(spark, sf)
     coefs = stage(period_factor_regression(factor_table(w.scored(), w.panel, w.periods), FACTORS), "coefs")
-    return coefficient_summary(coefs, FACTORS)
+    return rounded(coefficient_summary(coefs, FACTORS), "mean_coef", "t_stat")
 
 
 @query("coefficient_summary", WALK_SQL + REALISED_SQL + SLOPES_SQL + """,

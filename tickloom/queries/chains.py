@@ -136,7 +136,7 @@ FROM last l LEFT JOIN e3 e ON e.state = l.token LEFT JOIN e3 u ON u.state = -1""
 def exact_expected_score(spark: SparkSession, sf: str) -> DataFrame:
     t = stage(tokens(spark, sf), "tokens")
     probs = probabilities(with_unseen(pair_counts(token_pairs(t))), temperature=0.8)
-    last = t.groupBy("stock").agg(F.max_by("token", "date").alias("token")).withColumn("horizon", F.lit(3))
+    last = t.groupBy("stock").agg(F.max_by("token", "date").alias("token"))
     return rounded(score_states(last, expected_growth(probs, 3)).select("stock", "token", "score"), "score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.operators.clean import exchange_ticker, listed_instruments
@@ -123,13 +125,14 @@ def one_stock_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("panel_table", PANEL_SQL + """
-SELECT date, stock, open, high, low, close, volume, round(return_1d, 6) + 0.0 AS return_1d,
-       CAST(year(date) AS INTEGER) AS year FROM panel""")
+SELECT date, stock, open, high, low, close, volume, round(return_1d, 6) + 0.0 AS return_1d
+FROM panel
+WHERE date >= DATE '1997-03-15' AND date < DATE '2001-02-10'""")
 def panel_table(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "table")
     write_panel(panel(spark, sf), folder)
-    return rounded(read_panel(spark, folder), "return_1d").select(
-        *BARS_OUT, "return_1d", F.col("year").cast("int").alias("year"))
+    span = read_panel(spark, folder, since=date(1997, 3, 15), before=date(2001, 2, 10))
+    return rounded(span, "return_1d").select(*BARS_OUT, "return_1d")
 
 
 @query("dated_snapshots", BARS_SQL + """

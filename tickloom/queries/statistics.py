@@ -11,7 +11,9 @@ from tickloom.operators.ranks import average_tie_rank, display, legs, top_n
 from tickloom.operators.stats import (beta, completeness, daily_profile, expected_return, factors,
                                       factors_at, horizon_metrics, market_series, most_complete,
                                       realised, volatility_ratio)
+from tickloom.operators.tokens import tokenise
 from tickloom.operators.windows import chart_rows, equity_curve, last_rows, running_growth
+from tickloom.plans.backtest import states_at
 from tickloom.queries.data import (BARS_SQL, BETA_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL,
                                    START, VOL_SQL, bars, brand_panel, panel, staged_panel, table)
 from tickloom.queries.registry import query, r6, rounded
@@ -150,8 +152,6 @@ SELECT p.period, t.stock, count(*) AS n_tokens
 FROM periods p JOIN panel t ON t.date <= p.reb_date AND t.return_1d IS NOT NULL
 GROUP BY ALL HAVING count(*) >= 100""")
 def running_history(spark: SparkSession, sf: str) -> DataFrame:
-    from tickloom.operators.tokens import tokenise
-    from tickloom.plans.backtest import states_at
     p = staged_panel(spark, sf)
     periods = month_starts(p, START)
     return states_at(tokenise(p), period_of_days(p, periods), periods).select("period", "stock", "n_tokens")
@@ -303,7 +303,9 @@ def expected_path_return(spark: SparkSession, sf: str) -> DataFrame:
 
 LEADER_SQL = """
 WITH ranked AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS stock, rank() OVER (ORDER BY count(*) DESC) AS composite_rank,
+  SELECT CAST(l_suppkey AS VARCHAR) AS stock,
+         CAST(floor(rank() OVER (ORDER BY count(*) DESC)
+              + (count(*) OVER (PARTITION BY count(*)) - 1) / 2.0) AS INTEGER) AS composite_rank,
          100.0 * count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS prob_up_1d
   FROM lineitem GROUP BY l_suppkey)
 """
@@ -311,17 +313,9 @@ WITH ranked AS (
 
 def leaders(spark: SparkSession, sf: str) -> DataFrame:
     counts = (table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("stock"))
-              .agg(F.count("*").alias("n"), (100.0 * F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("prob_up_1d")))
-    # competition rank of a distinct count from the counts above it
-    return counts.select("stock", "prob_up_1d", "n").transform(_competition_rank)
-
-
-def _competition_rank(df: DataFrame) -> DataFrame:
-    above = (df.groupBy("n").agg(F.count("*").alias("ties"))
-             .withColumn("composite_rank", F.coalesce(F.sum("ties").over(
-                 W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1)
-             .drop("ties"))
-    return df.join(above, "n").drop("n")
+              .agg(F.count("*").alias("n"),
+                   (100.0 * F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("prob_up_1d")))
+    return average_tie_rank(counts, [], "n", "composite_rank", grain=10, truncate=True).drop("n")
 
 
 @query("top_and_bottom", LEADER_SQL + """

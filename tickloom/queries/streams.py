@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.operators.panel import with_return
 from tickloom.queries.data import table
 from tickloom.queries.registry import query, rounded
-from tickloom.sources.tables import write_panel
+from tickloom.sources.tables import read_panel, write_panel
 from tickloom.staging import new_folder, stage
 from tickloom.streaming.bars import (ROCKSDB, daily_bars, run_to_end, stateful_returns, tick_stream,
                                      upsert_batch)
@@ -46,7 +46,7 @@ def stream_daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     stream = (daily_bars(event_ticks(spark, sf), ORDER)
               .withColumn("date", F.to_date("day")).drop("day"))
     run_to_end(stream, folder, "update", upsert_batch(spark, folder))
-    return spark.read.parquet(folder).drop("year")
+    return read_panel(spark, folder)
 
 
 @query("stream_close_returns", EVENT_BARS_SQL + """
@@ -92,4 +92,4 @@ def stream_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     late.withColumn("close", F.col("close") + 1).write.parquet(landing)
     arrived = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     run_to_end(arrived, folder, "append", upsert_batch(spark, folder))
-    return spark.read.parquet(folder).select("stock", "date", "close")
+    return read_panel(spark, folder).select("stock", "date", "close")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.functions.scalar import null_if_nan
 from tickloom.operators.clean import coerce
 from tickloom.operators.panel import to_long
 from tickloom.schema import BAR_FILE, INSTRUMENT, PRICES
@@ -25,7 +26,8 @@ def read_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> Dat
     raw = spark.read.schema(BAR_FILE).csv(path, header=True, recursiveFileLookup=True)
     return raw.select(
         F.substring("datetime", 1, 10).try_cast("date").alias("date"),
-        F.coalesce("symbol", _instrument(stem)).alias("stock"), *PRICES, "volume")
+        F.coalesce("symbol", _instrument(stem)).alias("stock"),
+        *[null_if_nan(F.col(c)).alias(c) for c in [*PRICES, "volume"]])
 
 
 def read_dirty_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> DataFrame:

@@ -16,19 +16,37 @@ def stock_history(panel: DataFrame, stock: str) -> DataFrame:
     return panel.filter(F.col("stock") == stock).orderBy("date")
 
 
-def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Folder per year; inside it files hold ranges of (stock, date).
+PARTS = {"year": F.year, "month": F.month}
 
-    Range partitioning also splits a stock or year that is much larger than the others. Only the
-    years present in ``panel`` are replaced.
-    """
-    (panel.withColumn("year", F.year("date"))
-     .repartitionByRange("year", "stock", "date").sortWithinPartitions("year", "stock", "date")
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
+def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Folders by year and month; inside them files hold ranges of (stock, date).
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    Range partitioning also splits a stock or month that is much larger than the others. Only the
+    months present in ``panel`` are replaced, so a refresh rewrites a month or two, not the table.
+    """
+    parts = [*PARTS]
+    (panel.withColumns({name: of("date") for name, of in PARTS.items()})
+     .repartitionByRange(*parts, "stock", "date").sortWithinPartitions(*parts, "stock", "date")
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
+def read_panel(spark: SparkSession, path: str, since: date | None = None,
+               before: date | None = None) -> DataFrame:
+    """The panel, or a span of it for which only the folders concerned are opened."""
+    df = spark.read.parquet(path)
+    folder = F.col("year") * 100 + F.col("month")
+    if since is not None:
+        df = df.filter((folder >= since.year * 100 + since.month) & (F.col("date") >= F.lit(since)))
+    if before is not None:
+        df = df.filter((folder <= before.year * 100 + before.month) & (F.col("date") < F.lit(before)))
+    return df.drop(*PARTS)
+
+
+def read_months(spark: SparkSession, path: str, months: list[int]) -> DataFrame:
+    """Rows of the given months, each written as year * 100 + month."""
+    df = spark.read.parquet(path)
+    return df.filter((F.col("year") * 100 + F.col("month")).isin(months)).drop(*PARTS)
 
 
 def write_snapshot(df: DataFrame, path: str, as_of: date | Column) -> None:

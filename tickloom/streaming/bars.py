@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tickloom.operators.panel import one_row_per_day
-from tickloom.sources.tables import write_panel
+from tickloom.sources.tables import read_months, write_panel
 from tickloom.staging import new_folder, stage
 
 
@@ -33,7 +33,7 @@ def daily_bars(ticks: DataFrame, order_by: list[str], late_by: str = "7 days") -
     The day is the grouping key and the event time, so closed days leave the state. Trades are
     combined on the map side, and the state holds one row per stock and open day.
     """
-    at = F.struct(*order_by)
+    at = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     source = ticks.withWatermark("day", late_by) if ticks.isStreaming else ticks
     return source.groupBy("stock", "day").agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"),
@@ -96,21 +96,22 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def upsert_batch(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: keep-last upsert of a panel table, touching only the batch's years.
+    """``foreachBatch`` sink: keep-last upsert of a panel table, touching only the batch's months.
 
     Replaying a batch changes nothing, because rows are keyed by (stock, date).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         news = stage(batch, "batch")
-        years = [r[0] for r in news.select(F.year("date")).distinct().collect()]   # calendar years
-        if not years:
+        month = (F.year("date") * 100 + F.month("date")).alias("month")
+        months = [r[0] for r in news.select(month).distinct().collect()]     # calendar months
+        if not months:
             return
         merged = news.withColumn("newness", F.lit(0))
         if _exists(spark, path):
-            old = spark.read.parquet(path).filter(F.col("year").isin(years))
-            merged = merged.unionByName(old.select(*news.columns).withColumn("newness", F.lit(1)))
+            old = read_months(spark, path, months).select(*news.columns)
+            merged = merged.unionByName(old.withColumn("newness", F.lit(1)))
         kept = one_row_per_day(merged, ["stock", "date"], [F.col("newness")]).drop("newness")
-        # staged before the years it was read from are replaced
+        # staged before the months it was read from are replaced
         write_panel(stage(kept, "merged"), path)
     return write
 
@@ -133,6 +134,4 @@ def run_to_end(stream: DataFrame, out: str, mode: str = "append",
     else:
         query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
     return query
