@@ -127,4 +127,4 @@ def asked_count(text: Column, default: int = 10, cap: int = 30) -> Column:
     last = F.try_element_at(words, F.lit(-1))
     # a number too long for BIGINT is still a number, and so is capped
     value = F.when(F.length(last) > 18, F.lit(cap)).otherwise(last.cast("bigint"))
-    return F.coalesce(F.least(value, F.lit(cap)), F.lit(default)).cast("int")
+    return F.when(last.isNull(), default).otherwise(F.least(value, F.lit(cap))).cast("int")

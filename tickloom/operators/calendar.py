@@ -60,44 +60,52 @@ def weekdays_ahead(day: Column, n: Column | int) -> Column:
     return F.when(n > 0, F.date_add(day, ahead.cast("int"))).otherwise(day)
 
 
-def positions(panel: DataFrame) -> DataFrame:
-    """(date, pos): rank of every panel date. One row per calendar day, so safe to broadcast."""
-    return (panel.select("date").distinct()
-            .withColumn("pos", F.row_number().over(W.orderBy("date"))))
+def traded_days(panel: DataFrame) -> DataFrame:
+    """The distinct dates of a panel: one row per calendar day, so safe to broadcast.
 
+    The functions below take a panel or, to scan it only once, a staged table of its days.
+    """
+    return panel.select("date").distinct()
 
-def month_starts(panel: DataFrame, start: date | None = None) -> DataFrame:
-    """(period, reb_date, next_date): first traded day of every month and the following one."""
-    days = panel if start is None else panel.filter(F.col("date") >= F.lit(start))
-    firsts = days.groupBy(F.trunc("date", "month").alias("month")).agg(F.min("date").alias("reb_date"))
-    order = W.orderBy("reb_date")                # one row per month
+
+def positions(days: DataFrame) -> DataFrame:
+    """(date, pos): rank of every date."""
+    return traded_days(days).withColumn("pos", F.row_number().over(W.orderBy("date")))
+
+
+def _periods(firsts: DataFrame) -> DataFrame:
+    order = W.orderBy("reb_date")                # at most one row per calendar day
     return firsts.select(F.row_number().over(order).alias("period"), "reb_date",
                          F.lead("reb_date").over(order).alias("next_date"))
 
 
-def day_starts(panel: DataFrame, start: date | None = None) -> DataFrame:
+def month_starts(days: DataFrame, start: date | None = None) -> DataFrame:
+    """(period, reb_date, next_date): first traded day of every month and the following one."""
+    since = days if start is None else days.filter(F.col("date") >= F.lit(start))
+    return _periods(since.groupBy(F.trunc("date", "month").alias("month"))
+                    .agg(F.min("date").alias("reb_date")))
+
+
+def day_starts(days: DataFrame, start: date | None = None) -> DataFrame:
     """Daily rebalancing: every traded day opens a period."""
-    days = panel if start is None else panel.filter(F.col("date") >= F.lit(start))
-    order = W.orderBy("reb_date")                # one row per calendar day
-    return (days.select(F.col("date").alias("reb_date")).distinct()
-            .select(F.row_number().over(order).alias("period"), "reb_date",
-                    F.lead("reb_date").over(order).alias("next_date")))
+    since = days if start is None else days.filter(F.col("date") >= F.lit(start))
+    return _periods(traded_days(since).withColumnRenamed("date", "reb_date"))
 
 
-def period_of_days(panel: DataFrame, periods: DataFrame) -> DataFrame:
-    """(date, known_at, held_in) for every panel date.
+def period_of_days(days: DataFrame, periods: DataFrame) -> DataFrame:
+    """(date, known_at, held_in) for every date.
 
     ``known_at`` is the first rebalance on or after the date (the earliest score that may use
     the day). ``held_in`` is the period whose holding window ``(reb, next]`` contains it. Both
     come from one pass over calendar days instead of a range join.
     """
     marks = periods.select(F.col("reb_date").alias("date"), "period")
-    days = panel.select("date").distinct().join(F.broadcast(marks), "date", "left")
+    marked = traded_days(days).join(F.broadcast(marks), "date", "left")
     ahead = W.orderBy("date").rowsBetween(0, W.unboundedFollowing)
     behind = W.orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     last = periods.select(F.max("period")).scalar()
     held = F.last("period", ignorenulls=True).over(behind)
-    return (days.withColumn("known_at", F.first("period", ignorenulls=True).over(ahead))
+    return (marked.withColumn("known_at", F.first("period", ignorenulls=True).over(ahead))
             .withColumn("held_in", held)
             .withColumn("held_in", F.when(F.col("held_in") < last, F.col("held_in")))
             .drop("period"))

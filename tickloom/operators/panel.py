@@ -72,12 +72,11 @@ def merge_sources(older: DataFrame, newer: DataFrame, cutoff: date, min_obs: int
     Returns are taken inside each source, so none spans the seam. The older source is cut at
     ``cutoff`` only after its returns are known, and wins where both have a day.
     """
-    both = None
-    for priority, bars in enumerate((older, newer)):
-        tagged = bars.withColumn("priority", F.lit(priority))
-        single = one_row_per_day(tagged, ["priority", "stock", "date"], [])
-        both = single if both is None else both.unionByName(single)
-    returned = with_return(both, ["priority", "stock"], fill)
+    both = (older.withColumn("priority", F.lit(0))
+            .unionByName(newer.withColumn("priority", F.lit(1))))
+    single = one_row_per_day(both, ["priority", "stock", "date"], [])
+    # unique per day from here on, so one partitioning by stock serves all that follows
+    returned = with_return(single.repartition("stock"), ["priority", "stock"], fill)
     usable = returned.filter((F.col("priority") == 1) | (F.col("date") < F.lit(cutoff)))
     joined = one_row_per_day(usable, ["stock", "date"], [F.col("priority")])
     kept = long_enough(joined.na.drop(subset=["return_1d"]), min_obs)

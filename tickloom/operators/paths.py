@@ -63,8 +63,12 @@ def sample_paths(states: DataFrame, probs: DataFrame, days: int, n_paths: int =
     """
     spark = states.sparkSession
     table = spark.sparkContext.broadcast(_step_table(probs))
-    started = (states.select("stock", F.xxhash64("stock", F.lit(seed)).alias("h"),
-                             F.col("token").cast("int").alias("token"), "vol_ratio")
+    # few small rows become n_paths times as many: spread them first, in a number of partitions
+    # that adaptive execution does not merge again
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    started = (states.repartition(spread, "stock")
+               .select("stock", F.xxhash64("stock", F.lit(seed)).alias("h"),
+                       F.col("token").cast("int").alias("token"), "vol_ratio")
                .withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

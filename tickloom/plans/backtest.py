@@ -52,17 +52,18 @@ def walk_forward_scores(panel: DataFrame, periods: DataFrame, days: DataFrame, h
                         temperature: float = 0.8, min_tokens: int = 100, min_scores: int = 20) -> DataFrame:
     """(period, stock, token, score) from what each rebalance date could know, all periods at once."""
     tokens = tokenise(panel)
-    counts = with_unseen(cumulative_counts(token_pairs(tokens), days, periods), ["period"])
-    probs = probabilities(counts, ["period"], temperature)
+    # at most 402 x 402 rows a period; staged because probabilities, marginals and states all read it
+    counts = stage(cumulative_counts(token_pairs(tokens), days, periods), "counts")
+    probs = probabilities(with_unseen(counts, ["period"]), ["period"], temperature)
     open_periods = scored_periods(days, periods, horizon).select("period", "horizon")
     growth = stage(expected_growth(probs, horizon, ["period"], open_periods), "growth")
     states = states_at(tokens, days, periods, min_tokens).join(
         F.broadcast(open_periods.select("period")), "period", "left_semi")
-    scores = score_states(states, growth, ["period"]).filter(F.col("score").isNotNull())
+    scored = score_states(states, growth, ["period"]).filter(F.col("score").isNotNull())
+    scores = stage(scored.select("period", "stock", "token", "score"), "scores")
     wide_enough = (scores.groupBy("period").agg(F.count("*").alias("n"))
                    .filter(F.col("n") >= min_scores).select("period"))
-    return (scores.join(F.broadcast(wide_enough), "period", "left_semi")
-            .select("period", "stock", "token", "score"))
+    return scores.join(F.broadcast(wide_enough), "period", "left_semi")
 
 
 def portfolio_returns(scores: DataFrame, panel: DataFrame, days: DataFrame, periods: DataFrame,
@@ -112,9 +113,9 @@ def with_realised(scores: DataFrame, panel: DataFrame, days: DataFrame) -> DataF
             .withColumn("realised", F.coalesce("realised", F.lit(0.0))))
 
 
-def factor_table(scored: DataFrame, panel: DataFrame, periods: DataFrame, as_of: str = "full") -> DataFrame:
+def factor_table(scored: DataFrame, panel: DataFrame, calendar: DataFrame, periods: DataFrame,
+                 as_of: str = "full") -> DataFrame:
     """Adds the factors: those at the panel's end for every period, or as known at each rebalance."""
-    calendar = positions(panel)
     if as_of == "full":
         return scored.join(factors(panel, calendar), "stock")
     if as_of != "rebalance":
@@ -124,6 +125,14 @@ def factor_table(scored: DataFrame, panel: DataFrame, periods: DataFrame, as_of:
             .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("momentum", "reversal")}))
 
 
+def staged_calendar(panel: DataFrame, start: date, rebalance: str = "monthly"
+                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(positions, periods, period of each day) from one scan of the panel's dates."""
+    calendar = stage(positions(panel), "calendar")
+    periods = stage((month_starts if rebalance == "monthly" else day_starts)(calendar, start), "periods")
+    return calendar, periods, stage(period_of_days(calendar, periods), "days")
+
+
 @dataclass
 class Backtest:
     scores: DataFrame
@@ -138,13 +147,12 @@ def backtest(panel: DataFrame, start: date, horizon: int = 5, top_pct: float = 1
              temperature: float = 0.8, rebalance: str = "monthly", holding: str = "mean_daily",
              factors_as_of: str = "full", freq: str = "monthly") -> Backtest:
     """The whole evaluation. ``panel`` should be a table, since several steps scan it."""
-    periods = (month_starts if rebalance == "monthly" else day_starts)(panel, start)
-    days = period_of_days(panel, periods)
-    scores = stage(walk_forward_scores(panel, periods, days, horizon, temperature), "scores")
+    calendar, periods, days = staged_calendar(panel, start, rebalance)
+    scores = walk_forward_scores(panel, periods, days, horizon, temperature)
     results = stage(portfolio_returns(scores, panel, days, periods, top_pct, cost, holding), "results")
     scored = stage(with_realised(scores, panel, days), "scored")
     coefs = stage(period_factor_regression(
-        factor_table(scored, panel, periods, factors_as_of), FACTORS), "coefficients")
+        factor_table(scored, panel, calendar, periods, factors_as_of), FACTORS), "coefficients")
     return Backtest(scores, results, performance(leg_series(results), freq),
                     fama_macbeth(period_regression(scored)), coefs,
                     coefficient_summary(coefs, FACTORS))

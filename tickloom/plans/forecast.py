@@ -110,7 +110,7 @@ def forecast_from_paths(panel: DataFrame, market: DataFrame, paths: DataFrame, a
     if 1 not in horizons:
         raise ValueError("the regime needs horizon 1")
     metrics = stage(horizon_metrics(paths, horizons), "metrics")
-    adjusted = market_adjusted(metrics, beta(panel, market, positions(panel)))
+    adjusted = market_adjusted(metrics, beta(panel, market, stage(positions(panel), "calendar")))
     vol = volatility_ratio(panel).select("stock", "vol_ratio")
     rows = composite(weekend_filter(wide_rows(adjusted, vol, horizons), as_of), horizons)
     return with_regime(ranked(stage(rows, "rows"), horizons), metrics)

@@ -6,15 +6,15 @@ from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.operators.calendar import month_starts, period_of_days
 from tickloom.operators.performance import performance
 from tickloom.operators.ranks import legs
 from tickloom.operators.regress import (coefficient_summary, fama_macbeth, period_factor_regression,
                                         period_regression)
 from tickloom.plans.backtest import (FACTORS, factor_table, leg_series, portfolio_returns,
-                                     scored_periods, walk_forward_scores, with_realised)
+                                     scored_periods, staged_calendar, walk_forward_scores,
+                                     with_realised)
 from tickloom.queries.data import (LEGS_SQL, PANEL_SQL, PERIODS_SQL, REALISED_SQL, RESULTS_SQL, SERIES_SQL,
-                                   START, WALK_SQL, staged_panel)
+                                   START, WALK_SQL, panel, staged_panel)
 from tickloom.queries.registry import query, r6, rounded
 from tickloom.staging import stage
 
@@ -24,9 +24,8 @@ class Walk:
 
     def __init__(self, spark: SparkSession, sf: str) -> None:
         self.panel = staged_panel(spark, sf)
-        self.periods = month_starts(self.panel, START)
-        self.days = period_of_days(self.panel, self.periods)
-        self.scores = stage(walk_forward_scores(self.panel, self.periods, self.days), "scores")
+        self.calendar, self.periods, self.days = staged_calendar(self.panel, START)
+        self.scores = walk_forward_scores(self.panel, self.periods, self.days)
 
     def results(self, **options) -> DataFrame:
         return portfolio_returns(self.scores, self.panel, self.days, self.periods, **options)
@@ -39,9 +38,8 @@ class Walk:
 SELECT period, reb_date, next_date, count(*) AS n_days, CAST(least(count(*), 5) AS INTEGER) AS horizon
 FROM periods JOIN days ON held_in = period WHERE next_date IS NOT NULL GROUP BY ALL""")
 def periods_with_horizon(spark: SparkSession, sf: str) -> DataFrame:
-    p = staged_panel(spark, sf)
-    periods = month_starts(p, START)
-    return scored_periods(period_of_days(p, periods), periods, 5)
+    _, periods, days = staged_calendar(panel(spark, sf), START)
+    return scored_periods(days, periods, 5)
 
 
 @query("walk_forward_scores", WALK_SQL + """
@@ -194,7 +192,7 @@ SELECT period, n, round(score, 6) + 0.0 AS score, round(momentum, 6) + 0.0 AS mo
 def factor_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     """Four slopes per period; factors as known at each rebalance date."""
     w = Walk(spark, sf)
-    coefs = period_factor_regression(factor_table(w.scored(), w.panel, w.periods, "rebalance"), FACTORS)
+    coefs = period_factor_regression(factor_table(w.scored(), w.panel, w.calendar, w.periods, "rebalance"), FACTORS)
     return rounded(coefs.drop("intercept"), *FACTORS)
 
 
@@ -207,7 +205,7 @@ SELECT name, round(b, 6) + 0.0 AS mean_coef, round(t, 6) + 0.0 AS t_stat, n AS n
 FROM s""")
 def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
     w = Walk(spark, sf)
-    coefs = stage(period_factor_regression(factor_table(w.scored(), w.panel, w.periods), FACTORS), "coefs")
+    coefs = stage(period_factor_regression(factor_table(w.scored(), w.panel, w.calendar, w.periods), FACTORS), "coefs")
     return rounded(coefficient_summary(coefs, FACTORS), "mean_coef", "t_stat")
 
 

@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.operators.calendar import month_starts, period_of_days, positions
+from tickloom.operators.calendar import positions
 from tickloom.operators.panel import (calendar_returns, choose_source, fresh_rows, gap_filled,
                                       long_enough, merge_sources, one_row_per_day, stack_wide, to_wide,
                                       too_short, upsert, with_return)
 from tickloom.operators.stats import market_series, realised_everywhere
+from tickloom.plans.backtest import staged_calendar
 from tickloom.queries.data import (BARS_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL, START,
                                    bars, panel, staged_panel, table, ticks)
 from tickloom.queries.registry import query, r6, rounded
@@ -246,8 +247,7 @@ def market_beside_stocks(spark: SparkSession, sf: str) -> DataFrame:
 SELECT date, coalesce(known_at, 0) AS known_at, coalesce(held_in, 0) AS held_in FROM days""")
 def holding_windows(spark: SparkSession, sf: str) -> DataFrame:
     p = staged_panel(spark, sf)
-    days = period_of_days(p, month_starts(p, START))
-    return days.select("date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("known_at", "held_in")])
+    return staged_calendar(p, START)[2].select("date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("known_at", "held_in")])
 
 
 @query("realised_everywhere", PANEL_SQL + PERIODS_SQL + """
@@ -257,7 +257,7 @@ LEFT JOIN days d ON d.held_in = k.period LEFT JOIN panel p ON p.date = d.date AN
 GROUP BY ALL""")
 def realised_all(spark: SparkSession, sf: str) -> DataFrame:
     p = staged_panel(spark, sf)
-    return rounded(realised_everywhere(p, period_of_days(p, month_starts(p, START))), "realised")
+    return rounded(realised_everywhere(p, staged_calendar(p, START)[2]), "realised")
 
 
 # ---- set operations ---------------------------------------------------------------------------

@@ -103,9 +103,11 @@ def _route_sql() -> str:
 ROUTED_SQL = QUESTIONS_SQL + f""",
 routed AS (
   SELECT c.src, c.id, c.text, m.stock, {_route_sql()} AS route,
-         CAST(coalesce(least(30, CAST(list_filter(string_split_regex(q, '\\s+'),
-              lambda w: regexp_full_match(w, '[0-9]+'))[-1] AS BIGINT)), 10) AS INTEGER) AS n
-  FROM clean c LEFT JOIN meant m USING (src, id)),
+         CASE WHEN last_number IS NULL THEN 10 WHEN last_number > 30 THEN 30
+              ELSE CAST(last_number AS INTEGER) END AS n
+  FROM (SELECT *, CAST(list_filter(string_split_regex(q, '\\s+'),
+                       lambda w: regexp_full_match(w, '[0-9]+'))[-1] AS BIGINT) AS last_number FROM clean) c
+  LEFT JOIN meant m USING (src, id)),
 leaders AS (
   SELECT 'long' AS side, row_number() OVER (ORDER BY composite_rank, stock) AS place, * FROM ranked
   UNION ALL SELECT 'short', row_number() OVER (ORDER BY composite_rank DESC, stock), * FROM ranked)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tickloom.operators.calendar import month_starts, period_of_days, positions
+from tickloom.operators.calendar import month_starts, positions
 from tickloom.operators.panel import with_return
 from tickloom.operators.performance import mean_probability
 from tickloom.operators.ranks import average_tie_rank, display, legs, top_n
@@ -13,7 +13,7 @@ from tickloom.operators.stats import (beta, completeness, daily_profile, expecte
                                       realised, volatility_ratio)
 from tickloom.operators.tokens import tokenise
 from tickloom.operators.windows import chart_rows, equity_curve, last_rows, running_growth
-from tickloom.plans.backtest import states_at
+from tickloom.plans.backtest import staged_calendar, states_at
 from tickloom.queries.data import (BARS_SQL, BETA_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL,
                                    START, VOL_SQL, bars, brand_panel, panel, staged_panel, table)
 from tickloom.queries.registry import query, r6, rounded
@@ -105,7 +105,8 @@ SELECT stock, date, round(rank() OVER (PARTITION BY date ORDER BY return_1d DESC
        + (count(*) OVER (PARTITION BY date, return_1d) - 1) / 2.0, 1) + 0.0 AS place
 FROM panel WHERE return_1d IS NOT NULL""")
 def score_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    known = panel(spark, sf).filter(F.col("return_1d").isNotNull()).select("stock", "date", "return_1d")
+    known = (staged_panel(spark, sf).filter(F.col("return_1d").isNotNull())
+             .select("stock", "date", "return_1d"))
     return average_tie_rank(known, ["date"], "return_1d", "place").select("stock", "date", "place")
 
 
@@ -153,8 +154,8 @@ FROM periods p JOIN panel t ON t.date <= p.reb_date AND t.return_1d IS NOT NULL
 GROUP BY ALL HAVING count(*) >= 100""")
 def running_history(spark: SparkSession, sf: str) -> DataFrame:
     p = staged_panel(spark, sf)
-    periods = month_starts(p, START)
-    return states_at(tokenise(p), period_of_days(p, periods), periods).select("period", "stock", "n_tokens")
+    _, periods, days = staged_calendar(p, START)
+    return states_at(tokenise(p), days, periods).select("period", "stock", "n_tokens")
 
 
 # ---- statistics -----------------------------------------------------------------------------------
@@ -236,7 +237,7 @@ SELECT d.held_in AS period, p.stock, round(coalesce(sum(p.return_1d), 0), 6) + 0
 FROM panel p JOIN days d USING (date) WHERE d.held_in IS NOT NULL GROUP BY ALL""")
 def realised_returns(spark: SparkSession, sf: str) -> DataFrame:
     p = staged_panel(spark, sf)
-    return rounded(realised(p, period_of_days(p, month_starts(p, START))), "realised")
+    return rounded(realised(p, staged_calendar(p, START)[2]), "realised")
 
 
 # ---- past blocks of twenty days stand for sampled paths --------------------------------------------
