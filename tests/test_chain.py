@@ -52,13 +52,28 @@ def test_windows_and_sequences(spark, tokens):
     for (s, at), (x, y) in list(w.items())[:50]:
         assert x == seqs[s][at:at + 64].tolist() and y == seqs[s][at + 1:at + 65].tolist()
     assert window_index(tokens, 64).count() == len(w)
-    batch = sample_windows(tokens, 20, 64, seed=1).collect()
+    batch = sample_windows(tokens, 20, 64, seed=1, replacement=False).collect()
     assert len({(r.stock, r.start) for r in batch}) == 20
     assert all((r.x, r.y) == w[r.stock, r.start] for r in batch)
-    again = sample_windows(tokens.repartition(3), 20, 64, seed=1).collect()
+    again = sample_windows(tokens.repartition(3), 20, 64, seed=1, replacement=False).collect()
     assert {(r.stock, r.start) for r in batch} == {(r.stock, r.start) for r in again}
 
 
+def test_windows_drawn_with_replacement(spark, tokens):
+    seqs = by_stock(tokens)
+    block = 200
+    sizes = {s: len(t) - block for s, t in seqs.items()}
+    batch = sample_windows(tokens, 3000, block, seed=4).collect()
+    assert len(batch) == 3000
+    assert all(r.x == seqs[r.stock][r.start:r.start + block].tolist() for r in batch[:100])
+    assert all(r.y == seqs[r.stock][r.start + 1:r.start + block + 1].tolist() for r in batch[:100])
+    total = sum(sizes.values())
+    for s, n in sizes.items():
+        starts = [r.start for r in batch if r.stock == s]
+        assert len(starts) == pytest.approx(3000 * n / total, abs=5 * np.sqrt(3000 * n / total))
+        assert min(starts) >= 0 and max(starts) < n and len(set(starts)) == n
+
+
 def test_contexts(spark, tokens):
     seqs = by_stock(tokens)
     for r in contexts(tokens, 300).collect():

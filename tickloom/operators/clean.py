@@ -78,16 +78,20 @@ def exchange_ticker(df: DataFrame, column: str = "stock", suffix: str = ".NS") -
     return df.withColumn("ticker", F.concat(F.col(column), F.lit(suffix)))
 
 
-def profile(panel: DataFrame) -> DataFrame:
+def profile(panel: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: size, extent and the missing share of the stocks x dates matrix.
 
+    ``approximate`` counts distinct stocks and dates with a sketch, in one pass without a shuffle
+    of the keys.
+
     The mean of per-stock missing shares equals one minus filled cells over all cells, because
     every stock spans the same dates; so no dense matrix is needed.
     """
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     cells = F.col("n_stocks") * F.col("n_dates")
     return (panel.agg(F.count("*").alias("n_rows"),
-                      F.countDistinct("stock").alias("n_stocks"),
-                      F.countDistinct("date").alias("n_dates"),
+                      distinct("stock").alias("n_stocks"),
+                      distinct("date").alias("n_dates"),
                       F.min("date").alias("first_date"),
                       F.max("date").alias("last_date"),
                       F.count("return_1d").alias("n_filled"))

@@ -48,20 +48,56 @@ def window_index(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
             .select("stock", F.col("pos").alias("start")))
 
 
-def sample_windows(tokens: DataFrame, batch: int, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """A seeded random batch of distinct windows, uniform over all of them.
+SLOTS = 4096
 
-    So a stock is met in proportion to its number of windows. Only (stock, start) pairs are
-    ordered; the tokens are fetched for the chosen ``batch`` pairs alone.
+
+def _drawn_windows(tokens: DataFrame, batch: int, block: int, seed: int) -> DataFrame:
+    """(draw, stock, start): seeded draws with replacement, uniform over all windows.
+
+    Windows are numbered without listing them: stocks lie in hashed slots, a slot starts where
+    the ones before it end, and a stock where its slot's earlier stocks end.
+    """
+    sizes = (tokens.groupBy("stock").agg((F.count("*") - block).alias("n")).filter(F.col("n") > 0)
+             .withColumn("slot", F.pmod(F.xxhash64("stock"), F.lit(SLOTS)).cast("int")))
+    slots = sizes.groupBy("slot").agg(F.sum("n").alias("in_slot"))           # at most SLOTS rows
+    ends = F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0))
+    slots = slots.withColumn("end", ends).withColumn("begin", F.col("end") - F.col("in_slot"))
+    in_order = F.sort_array(F.collect_list(F.struct("end", "slot")))
+    table = slots.agg(in_order.alias("slots"), F.max("end").alias("total"))
+    draws = (tokens.sparkSession.range(batch).withColumnRenamed("id", "draw")
+             .withColumn("u", F.pmod(F.xxhash64("draw", F.lit(seed)), table.select("total").scalar()))
+             .withColumn("slots", table.select("slots").scalar())
+             .withColumn("slot", F.filter("slots", lambda s: s["end"] > F.col("u"))[0]["slot"])
+             .drop("slots")
+             .join(F.broadcast(slots.select("slot", "begin")), "slot")
+             .withColumn("u", F.col("u") - F.col("begin")))
+    upto = W.partitionBy("slot").orderBy("stock").rowsBetween(W.unboundedPreceding, 0)
+    owners = sizes.withColumn("high", F.sum("n").over(upto)).withColumn("low", F.col("high") - F.col("n"))
+    return (owners.join(F.broadcast(draws), "slot")
+            .filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+            .select("draw", "stock", (F.col("u") - F.col("low")).alias("start")))
+
+
+def sample_windows(tokens: DataFrame, batch: int, block: int = BLOCK, seed: int = 0,
+                   replacement: bool = True) -> DataFrame:
+    """A seeded random batch of training windows, uniform over all of them.
+
+    So a stock is met in proportion to its number of windows. Without replacement the batch is
+    the first ``batch`` windows in hashed order. Either way only (stock, start) pairs are drawn
+    and the tokens are fetched for the ``batch`` chosen pairs alone.
     """
-    chosen = (window_index(tokens, block)
-              .orderBy(F.xxhash64("stock", "start", F.lit(seed)), "stock", "start").limit(batch))
+    if replacement:
+        chosen = _drawn_windows(tokens, batch, block, seed)
+    else:
+        chosen = (window_index(tokens, block)
+                  .orderBy(F.xxhash64("stock", "start", F.lit(seed)), "stock", "start").limit(batch)
+                  .withColumn("draw", F.monotonically_increasing_id()))
     inside = (numbered(tokens).join(F.broadcast(chosen), "stock")
               .filter(F.col("pos").between(F.col("start"), F.col("start") + block)))
     run = F.sort_array(F.collect_list(F.struct("pos", F.col("token").cast("smallint").alias("token"))))
-    return (inside.groupBy("stock", "start").agg(run.alias("run"))
-            .select("stock", "start", F.slice("run.token", 1, block).alias("x"),
-                    F.slice("run.token", 2, block).alias("y")))
+    return (inside.groupBy("draw", "stock", "start").agg(run.alias("run"))
+            .select("stock", F.col("start").cast("int").alias("start"),
+                    F.slice("run.token", 1, block).alias("x"), F.slice("run.token", 2, block).alias("y")))
 
 
 def contexts(tokens: DataFrame, block: int = BLOCK, padded: bool = True,

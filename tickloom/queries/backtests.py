@@ -121,8 +121,8 @@ series AS (
            THEN exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi())
            ELSE exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 END) AS total
   FROM angle, (SELECT unnest(generate_series(0, 2000)) AS j) WHERE j < v // 2),
-p AS (SELECT greatest(0, 1 - CASE WHEN v % 2 = 0 THEN sin(a) * total
-                             ELSE 2 / pi() * (a + sin(a) * cos(a) * coalesce(total, 0)) END) AS p FROM series)
+p AS (SELECT CASE WHEN a IS NOT NULL THEN greatest(0, 1 - CASE WHEN v % 2 = 0 THEN sin(a) * total
+                ELSE 2 / pi() * (a + sin(a) * cos(a) * coalesce(total, 0)) END) END AS p FROM series)
 SELECT round_even(b * 1e6, 0) / 1e6 + 0.0 AS mean_coef, round_even(t * 1e3, 0) / 1e3 + 0.0 AS t_stat,
        round_even(p * 1e4, 0) / 1e4 + 0.0 AS p_value, round_even(r2 * 1e4, 0) / 1e4 + 0.0 AS mean_r2,
        n AS n_periods, CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01'

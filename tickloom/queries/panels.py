@@ -12,8 +12,9 @@ from tickloom.operators.panel import (calendar_returns, choose_source, fresh_row
                                       too_short, upsert, with_return)
 from tickloom.operators.stats import market_series, realised_everywhere
 from tickloom.plans.backtest import staged_calendar
-from tickloom.queries.data import (BARS_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL, START,
-                                   bars, panel, staged_panel, table, ticks)
+from tickloom.queries.data import (BARS_SQL, BRAND_PANEL_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL, START,
+                                   bars, brand_panel, panel, staged_panel, table, ticks)
+from tickloom.queries.sources import BRANDS, KIND_SQL, file_kinds
 from tickloom.queries.registry import query, r6, rounded
 from tickloom.schema import PANEL_COLUMNS
 from tickloom.staging import stage
@@ -25,7 +26,7 @@ def tick_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("padded_returns", BARS_SQL + """,
-holes AS (SELECT stock, date, CASE WHEN CAST(volume AS BIGINT) % 7 <> 0 THEN close END AS close FROM bars),
+holes AS (SELECT stock, date, CASE WHEN volume < 45 THEN close END AS close FROM bars),
 padded AS (
   SELECT stock, date, close,
          last_value(close IGNORE NULLS) OVER (PARTITION BY stock ORDER BY date) AS now,
@@ -37,7 +38,7 @@ SELECT stock, date, round(now / before - 1, 6) + 0.0 AS pad, round(close / prev
 FROM padded""")
 def padded_returns(spark: SparkSession, sf: str) -> DataFrame:
     holes = bars(spark, sf).select("stock", "date", F.when(
-        F.col("volume").cast("bigint") % 7 != 0, F.col("close")).alias("close"))
+        F.col("volume") < 45, F.col("close")).alias("close"))
     both = with_return(with_return(holes, ["stock"], "pad", into="pad"), ["stock"], "none", into="plain")
     return rounded(both.select("stock", "date", "pad", "plain"), "pad", "plain")
 
@@ -108,29 +109,27 @@ def wide_calendar_returns(spark: SparkSession, sf: str) -> DataFrame:
         r6(F.sum(r), "total"), r6(F.max(r), "best"))
 
 
-WIDE = ["0", "1", "2", "3", "4"]
+WIDE_COLUMNS = {b: "b" + b.removeprefix("Brand#") for b in BRANDS}
 
 
-@query("pivot_returns", PANEL_SQL + "SELECT date, " + ", ".join(
-    f"round(max(CASE WHEN stock = '{s}' THEN return_1d END), 6) + 0.0 AS s{s}" for s in WIDE)
+@query("pivot_returns", BRAND_PANEL_SQL + "SELECT date, " + ", ".join(
+    f"round(max(CASE WHEN stock = '{b}' THEN return_1d END), 6) + 0.0 AS {c}" for b, c in WIDE_COLUMNS.items())
     + " FROM panel GROUP BY date")
 def pivot_returns(spark: SparkSession, sf: str) -> DataFrame:
-    wide = to_wide(panel(spark, sf), WIDE)
-    return wide.select("date", *[r6(F.col(f"`{s}`"), f"s{s}") for s in WIDE])
+    wide = to_wide(brand_panel(spark, sf), BRANDS)
+    return wide.select("date", *[r6(F.col(f"`{b}`"), c) for b, c in WIDE_COLUMNS.items()])
 
 
-@query("stack_wide_tables", PANEL_SQL + """
-SELECT date, round(max(CASE WHEN stock = '0' THEN return_1d END), 6) + 0.0 AS s0,
-       round(max(CASE WHEN stock = '1' AND date >= DATE '1999-01-01' THEN return_1d END), 6) + 0.0 AS s1
-FROM panel WHERE return_1d IS NOT NULL AND (stock = '0' OR (stock = '1' AND date >= DATE '1999-01-01'))
-GROUP BY date""")
+@query("stack_wide_tables", BRAND_PANEL_SQL + "SELECT date, " + ", ".join(
+    f"round(max(CASE WHEN stock = '{b}'{'' if i < 20 else ' AND date >= DATE ' + repr('1999-01-01')} THEN return_1d END), 6) + 0.0 AS {c}"
+    for i, (b, c) in enumerate(WIDE_COLUMNS.items())) + " FROM panel GROUP BY date")
 def stack_wide_tables(spark: SparkSession, sf: str) -> DataFrame:
-    p = staged_panel(spark, sf).filter(F.col("return_1d").isNotNull())
+    """An old table of twenty stocks above a new one of twenty-five."""
+    p = stage(brand_panel(spark, sf), "panel")
     seam = F.to_date(F.lit("1999-01-01"))
-    older = to_wide(p.filter((F.col("date") < seam) & (F.col("stock") == "0")), ["0"])
-    newer = to_wide(p.filter((F.col("date") >= seam) & F.col("stock").isin("0", "1")), ["0", "1"])
-    both = stack_wide(older, newer)
-    return both.select("date", r6(F.col("`0`"), "s0"), r6(F.col("`1`"), "s1"))
+    older = to_wide(p.filter(F.col("date") < seam), BRANDS[:20])
+    both = stack_wide(older, to_wide(p.filter(F.col("date") >= seam), BRANDS))
+    return both.select("date", *[r6(F.col(f"`{b}`"), c) for b, c in WIDE_COLUMNS.items()])
 
 
 @query("min_observations", PANEL_SQL + """
@@ -199,14 +198,14 @@ def keep_last_upsert(spark: SparkSession, sf: str) -> DataFrame:
                    "close", "return_1d")
 
 
-@query("source_fallback", BARS_SQL + """
-SELECT stock, date, close FROM bars
-WHERE CAST(stock AS INTEGER) % 4 <> 0 OR date >= DATE '1996-01-01'""")
+@query("source_fallback", BARS_SQL + "," + KIND_SQL + """
+SELECT stock, date, close FROM bars JOIN kinds USING (stock) WHERE kind <> 2 OR date >= DATE '1996-01-01'""")
 def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The first source lacks some stocks; the second has all of them, but starts later."""
     b = stage(bars(spark, sf).select("stock", "date", "close"), "bars")
-    missing = F.col("stock").cast("int") % 4 == 0
+    lacking = file_kinds(spark, sf).filter(F.col("kind") == 2)
     second = b.filter(F.col("date") >= F.to_date(F.lit("1996-01-01")))
-    return choose_source(b.filter(~missing), second)
+    return choose_source(b.join(lacking, "stock", "left_anti"), second)
 
 
 # ---- joins ------------------------------------------------------------------------------------
@@ -224,13 +223,20 @@ def common_stocks(spark: SparkSession, sf: str) -> DataFrame:
     return signal.join(real, "stock")
 
 
-@query("outer_alignment", BARS_SQL + """
-SELECT coalesce(a.date, b.date) AS date, a.close AS close_0, b.close AS close_1
-FROM (SELECT * FROM bars WHERE stock = '0') a FULL JOIN (SELECT * FROM bars WHERE stock = '1') b ON a.date = b.date""")
+@query("outer_alignment", """
+WITH a AS (SELECT CAST(l_suppkey AS VARCHAR) AS stock, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS close_a
+           FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
+r AS (SELECT CAST(l_suppkey AS VARCHAR) AS stock, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS close_r
+      FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT coalesce(a.stock, r.stock) AS stock, coalesce(a.date, r.date) AS date, close_a, close_r
+FROM a FULL JOIN r ON a.stock = r.stock AND a.date = r.date""")
 def outer_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf)
-    one = [b.filter(F.col("stock") == s).select("date", F.col("close").alias(f"close_{s}")) for s in ("0", "1")]
-    return one[0].join(one[1], "date", "full")
+    """Two series per stock on the union of their dates."""
+    def side(flag: str) -> DataFrame:
+        return (table(spark, sf, "lineitem").filter(F.col("l_returnflag") == flag)
+                .groupBy(F.col("l_suppkey").cast("string").alias("stock"), F.to_date("l_shipdate").alias("date"))
+                .agg(F.max("l_extendedprice").alias(f"close_{flag.lower()}")))
+    return side("A").join(side("R"), ["stock", "date"], "full")
 
 
 @query("market_beside_stocks", PANEL_SQL + MARKET_SQL + """

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.operators.clean import exchange_ticker, listed_instruments
 from tickloom.operators.panel import to_wide
-from tickloom.queries.data import BARS_SQL, PANEL_SQL, bars, panel, table
+from tickloom.queries.data import (BARS_SQL, BRAND_PANEL_SQL, PANEL_SQL, bars, brand_panel, panel,
+                                   table)
 from tickloom.queries.registry import query, r6, rounded
 from tickloom.schema import PRICES
 from tickloom.sources.landed import (as_long_returns, landed_files, not_ingested, read_bar_files,
                                      read_dirty_bar_files, read_instruments)
 from tickloom.sources.tables import (latest_snapshot, read_panel, scan, stock_history, write_panel,
                                      write_snapshot)
-from tickloom.staging import new_folder
+from tickloom.staging import new_folder, stage
 
 PARTITION_VALUE = r"stock=([^/]+)/"
 
@@ -68,11 +69,24 @@ def landed_bar_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_bar_files(spark, folder)
 
 
-@query("landed_dirty_bar_files", BARS_SQL + """
-SELECT date, stock, open, high, low, close, volume FROM bars WHERE CAST(stock AS INTEGER) % 5 <> 4""")
+# Five ranges of a supplier's balance stand for five kinds of file; the last lacks a column.
+KIND_SQL = """
+kinds AS (SELECT CAST(s_suppkey AS VARCHAR) AS stock, CASE WHEN s_acctbal < 1000 THEN 0 WHEN s_acctbal < 3000 THEN 1
+          WHEN s_acctbal < 5000 THEN 2 WHEN s_acctbal < 8000 THEN 3 ELSE 4 END AS kind FROM supplier)
+"""
+
+
+def file_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.col("s_acctbal")
+    kind = F.when(b < 1000, 0).when(b < 3000, 1).when(b < 5000, 2).when(b < 8000, 3).otherwise(4)
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("stock"), kind.alias("kind"))
+
+
+@query("landed_dirty_bar_files", BARS_SQL + "," + KIND_SQL + """
+SELECT date, stock, open, high, low, close, volume FROM bars JOIN kinds USING (stock) WHERE kind <> 4""")
 def landed_dirty_bar_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files with five kinds of header, junk rows and, in every fifth file, no volume column."""
-    kind = F.col("stock").cast("int") % 5
+    """Files with five kinds of header, junk rows and, in the last kind, no volume column."""
+    kind = F.col("kind")
     text = {c: F.col(c).cast("string") for c in [*PRICES, "volume"]}
     line = (F.when(kind == 3, F.concat_ws(",", F.col("date"), text["volume"], text["close"],
                                           F.lit("-1"), text["low"], text["high"], text["open"]))
@@ -84,28 +98,25 @@ def landed_dirty_bar_files(spark: SparkSession, sf: str) -> DataFrame:
               .when(kind == 4, "Date,Open,High,Low,Close")
               .otherwise("Date,Open,High,Low,Close,Volume"))
     junk = F.concat(F.lit("Ticker"), F.repeat(F.concat(F.lit(","), F.col("stock"), F.lit(".NS")), 5))
+    kinds = file_kinds(spark, sf)
+    heads = kinds.select("stock", F.posexplode(F.array(header, junk, F.lit("Date,,,,,"))).alias("at", "value"))
+    rows = bars(spark, sf).join(kinds, "stock").select("stock", F.lit(9).alias("at"), line.alias("value"))
     folder = new_folder(spark, "dirty")
-    # one file per stock: its lines are bounded by calendar days
-    (bars(spark, sf).select("stock", kind.alias("kind"), "date", header.alias("header"),
-                            junk.alias("junk"), line.alias("line"))
-     .groupBy("stock", "header", "junk")
-     .agg(F.sort_array(F.collect_list(F.struct("date", "line"))).alias("lines"))
-     .select("stock", F.concat_ws("\n", "header", "junk", F.lit("Date,,,,,"),
-                                  F.col("lines.line")).alias("value"))
-     .write.partitionBy("stock").text(folder))
+    (heads.unionByName(rows).repartition("stock").sortWithinPartitions("stock", "at", "value")
+     .select("stock", "value").write.partitionBy("stock").text(folder))
     return read_dirty_bar_files(spark, folder, PARTITION_VALUE)
 
 
-@query("either_return_layout", PANEL_SQL + """
-SELECT date, stock, round(return_1d, 6) + 0.0 AS return_1d FROM panel
-WHERE return_1d IS NOT NULL AND stock IN ('0', '1', '2', '3', '4', '5', '6', '7')
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]          # every brand of the part table
+
+
+@query("either_return_layout", BRAND_PANEL_SQL + """
+SELECT date, stock, round(return_1d, 6) + 0.0 AS return_1d FROM panel WHERE return_1d IS NOT NULL
 UNION ALL
-SELECT date, stock || 'L', round(return_1d, 6) + 0.0 FROM panel
-WHERE return_1d IS NOT NULL AND stock IN ('0', '1', '2', '3', '4', '5', '6', '7')""")
+SELECT date, stock || 'L', round(return_1d, 6) + 0.0 FROM panel WHERE return_1d IS NOT NULL""")
 def either_return_layout(spark: SparkSession, sf: str) -> DataFrame:
-    stocks = [str(i) for i in range(8)]
-    p = panel(spark, sf).filter(F.col("stock").isin(stocks) & F.col("return_1d").isNotNull())
-    wide = as_long_returns(to_wide(p, stocks))
+    p = stage(brand_panel(spark, sf).filter(F.col("return_1d").isNotNull()), "panel")
+    wide = as_long_returns(to_wide(p, BRANDS))
     long = as_long_returns(p.withColumn("stock", F.concat("stock", F.lit("L"))))
     return rounded(wide.unionByName(long), "return_1d")
 
@@ -148,9 +159,9 @@ def dated_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return latest_snapshot(spark.read.parquet(folder))
 
 
-@query("resume_ingest", """
-SELECT CAST(l_suppkey AS VARCHAR) AS stock FROM lineitem GROUP BY l_suppkey
-HAVING max(l_shipdate) >= TIMESTAMP '2001-06-01' AND l_suppkey % 3 <> 0""")
+@query("resume_ingest", BARS_SQL + "," + KIND_SQL + """
+SELECT stock FROM bars JOIN kinds USING (stock) WHERE kind <> 3
+GROUP BY stock HAVING max(date) >= DATE '2001-06-01'""")
 def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Instruments whose landed file the ledger does not know yet."""
     folder = new_folder(spark, "arrivals")
@@ -160,5 +171,5 @@ def resume_ingest(spark: SparkSession, sf: str) -> DataFrame:
      .write.partitionBy("stock").text(folder))
     files = landed_files(spark, folder).withColumn(
         "stock", F.regexp_extract("path", PARTITION_VALUE, 1))
-    ledger = files.filter(F.col("stock").cast("int") % 3 == 0).select("path")
+    ledger = files.join(file_kinds(spark, sf).filter(F.col("kind") == 3), "stock", "left_semi").select("path")
     return not_ingested(files, ledger).select("stock")

@@ -14,19 +14,11 @@ from tickloom.operators.stats import (beta, completeness, daily_profile, expecte
 from tickloom.operators.tokens import tokenise
 from tickloom.operators.windows import chart_rows, equity_curve, last_rows, running_growth
 from tickloom.plans.backtest import staged_calendar, states_at
-from tickloom.queries.data import (BARS_SQL, BETA_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL,
+from tickloom.queries.data import (BARS_SQL, BETA_SQL, BRAND_PANEL_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL,
                                    START, VOL_SQL, bars, brand_panel, panel, staged_panel, table)
 from tickloom.queries.registry import query, r6, rounded
 from tickloom.staging import stage
 
-BRAND_PANEL_SQL = BARS_SQL.replace(
-    "CAST(l_suppkey AS VARCHAR) AS stock", "p_brand AS stock").replace(
-    "FROM lineitem", "FROM lineitem JOIN part ON p_partkey = l_partkey") + """,
-panel AS (
-  SELECT *, close / lag(close) OVER (PARTITION BY stock ORDER BY date) - 1 AS return_1d FROM bars)
-"""
-
-
 @query("momentum_leaders", BRAND_PANEL_SQL + """,
 calendar AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM panel)),
 momentum AS (

@@ -8,6 +8,7 @@ from tickloom.functions.scalar import null_if_nan
 from tickloom.operators.clean import coerce
 from tickloom.operators.panel import to_long
 from tickloom.schema import BAR_FILE, INSTRUMENT, PRICES
+from tickloom.staging import stage
 
 FILE_STEM = r"([^/]+)\.[^./]+$"
 
@@ -33,28 +34,31 @@ def read_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> Dat
 def read_dirty_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> DataFrame:
     """Bar files whose header differs from file to file and which may hold junk rows.
 
-    A file is one instrument's daily history, so its size is bounded by calendar days and it is
-    read as one text. Column places are looked up in the file's own header: names are trimmed and
-    lower-cased, ``close`` is preferred to ``adj close``, and a file without all five value columns
-    is left out. The first column is the date. Rows with no number in them are dropped.
+    Read line by line, so that a large file is split. A header is the line that names a value
+    column; column places come from the file's own header. Names are trimmed and lower-cased,
+    ``close`` is preferred to ``adj close``, and a file without all five value columns is left
+    out. The first column is the date. Rows with no number in them are dropped.
     """
-    files = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-             .select(_instrument(stem).alias("stock"), F.split("value", r"\r?\n").alias("lines")))
-    headed = files.select("stock", F.slice("lines", 2, F.size("lines")).alias("lines"),
-                          F.transform(F.split(F.element_at("lines", 1), ","),
-                                      lambda c: F.lower(F.trim(c))).alias("names"))
-    place = {c: F.array_position("names", c) for c in [*PRICES, "volume"]}
+    columns = [*PRICES, "volume"]
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        _instrument(stem).alias("stock"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    names = F.transform(F.split("line", ","), lambda c: F.lower(F.trim(c)))
+    place = {c: F.array_position("names", c) for c in columns}
     place["close"] = F.when(place["close"] > 0, place["close"]).otherwise(
         F.array_position("names", "adj close"))
-    placed = headed.withColumns({f"at_{c}": p for c, p in place.items()})
-    for c in place:
-        placed = placed.filter(F.col(f"at_{c}") > 0)
-    cells = placed.withColumn("line", F.explode("lines")).withColumn("cells", F.split("line", ","))
+    # one short row a file; staged, so that its size decides how it is joined
+    headers = (lines.withColumn("names", names)
+               .filter(F.arrays_overlap("names", F.array(*[F.lit(c) for c in columns])))
+               .groupBy("stock").agg(F.min("names").alias("names"))
+               .select("stock", *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
+    for c in columns:
+        headers = headers.filter(F.col(f"at_{c}") > 0)
+    cells = lines.join(stage(headers, "headers"), "stock").withColumn("cells", F.split("line", ","))
     text = cells.select(
         F.substring(F.trim(F.col("cells")[0]), 1, 10).try_cast("date").alias("date"), "stock",
-        *[F.trim(F.try_element_at("cells", F.col(f"at_{c}").cast("int"))).alias(c) for c in place])
-    values = coerce(text, [*place]).na.drop("all", subset=[*place])
-    return values.filter(F.col("date").isNotNull()).select("date", "stock", *PRICES, "volume")
+        *[F.trim(F.try_element_at("cells", F.col(f"at_{c}"))).alias(c) for c in columns])
+    values = coerce(text, columns).na.drop("all", subset=columns)
+    return values.filter(F.col("date").isNotNull())
 
 
 def is_long(columns: list[str]) -> bool:

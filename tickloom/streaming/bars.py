@@ -48,11 +48,14 @@ class LastClose(StatefulProcessor):
         self._last = handle.getValueState("last", "date date, close double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # one stock's new bars of one batch: at most one per calendar day after de-duplication
-        bars = pd.concat(list(rows)).drop_duplicates("date").sort_values("date")
+        # copies of a day are dropped chunk by chunk, so at most one row per calendar day is held
+        bars: dict = {}
+        for chunk in rows:
+            once = chunk.drop_duplicates("date")
+            bars = {**dict(zip(once["date"], once["close"])), **bars}
         known = self._last.get() if self._last.exists() else None
         out = []
-        for date, close in zip(bars["date"], bars["close"]):
+        for date, close in sorted(bars.items()):
             if known is not None and date <= known[0]:
                 continue
             if pd.isna(close):
