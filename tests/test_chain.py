@@ -7,7 +7,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalar import centre_of
 from tickloom.operators.paths import _step_table, growth_of, sample_paths, score_with, uniforms
 from tickloom.operators.tokens import contexts, sample_windows, sequences, tokenise, training_windows, window_index
 from tickloom.operators.transitions import (UNSEEN, cross_entropy, expected_growth, pair_counts, probabilities,

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.operators.paths import sample_paths, score_with
 from tickloom.operators.stats import expected_return
-from tickloom.operators.tokens import (contexts, detokenise, numbered, sample_windows, sequences, tokenise,
+from tickloom.operators.tokens import (contexts, detokenise, sample_windows, sequences, tokenise,
                                        training_windows, window_index)
 from tickloom.operators.transitions import (cross_entropy, expected_growth, pair_counts, probabilities,
                                             score_states, token_pairs, with_unseen)
-from tickloom.queries.data import (CENTRE_SQL, TOKENS_SQL, growth_steps_sql, panel, staged_panel)
-from tickloom.queries.registry import query, r6, rounded
+from tickloom.queries.data import (CENTRE_SQL, TOKENS_SQL, growth_steps_sql, panel)
+from tickloom.queries.registry import query, rounded
 from tickloom.staging import stage
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tickloom.operators.calendar import month_starts, positions
-from tickloom.operators.panel import with_return
 from tickloom.operators.performance import mean_probability
-from tickloom.operators.ranks import average_tie_rank, display, legs, top_n
+from tickloom.operators.ranks import average_tie_rank, display, top_n
 from tickloom.operators.stats import (beta, completeness, daily_profile, expected_return, factors,
                                       factors_at, horizon_metrics, market_series, most_complete,
                                       realised, volatility_ratio)
@@ -16,7 +15,7 @@ from tickloom.operators.windows import chart_rows, equity_curve, last_rows, runn
 from tickloom.plans.backtest import staged_calendar, states_at
 from tickloom.queries.data import (BARS_SQL, BETA_SQL, BRAND_PANEL_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL,
                                    START, VOL_SQL, bars, brand_panel, panel, staged_panel, table)
-from tickloom.queries.registry import query, r6, rounded
+from tickloom.queries.registry import query, rounded
 from tickloom.staging import stage
 
 @query("momentum_leaders", BRAND_PANEL_SQL + """,

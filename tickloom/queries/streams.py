@@ -6,7 +6,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.operators.panel import with_return
 from tickloom.queries.data import table
 from tickloom.queries.registry import query, rounded
 from tickloom.sources.tables import read_panel, write_panel
