@@ -30,9 +30,9 @@ def bars_from_ticks(ticks: DataFrame, order_by: list[str], price: str = "price",
 def one_row_per_day(df: DataFrame, keys: list[str], prefer: list[Column]) -> DataFrame:
     """Keep, for every key, the row that sorts first by ``prefer`` and then by all its values."""
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)], *rest)
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("kept"))
-    return picked.select(*keys, "kept.*").select(*df.columns)
+    row = F.struct(*[p.alias(f"_prefer_{i}") for i, p in enumerate(prefer)], *rest)
+    picked = df.groupBy(*keys).agg(F.min(row).alias("kept"))       # one struct is order and row
+    return picked.select(*keys, *[F.col("kept")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def with_return(df: DataFrame, series: list[str], fill: str = "pad", clip: bool = True,
