@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -14,6 +15,7 @@ def local_session(cpus: int = 8) -> SparkSession:
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
+             .config("spark.checkpoint.dir", os.environ.get("TICKLOOM_SHARED") or tempfile.mkdtemp(prefix="tickloom-"))
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
