@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import langid
+from tickloom.llm import langid, lines, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +36,24 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", fold(3) == 1)
     net = langid.learn(docs.where(~F.col("held_out")))
     return langid.identify(docs, net, keep=["doc_id", "held_out"])
+
+
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return (simhash.near_duplicates(table(spark, sf, "documents"))
+            .select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id"))
+
+
+@query("op5_decontamination", spaced.SQL)
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return (spaced.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+            .select("doc_id", "item_id", "matched", "length", F.col("doc_start").cast("long").alias("doc_start")))
+
+
+@query("op2_line_dedup", lines.SQL)
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that many sites carry."""
+    return (lines.without_boilerplate(table(spark, sf, "documents"))
+            .select("doc_id", "n_lines", "n_removed", "text"))
