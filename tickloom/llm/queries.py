@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import langid, lines, simhash, spaced
+from tickloom.llm import iblt, langid, lines, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,9 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document without the lines that many sites carry."""
     return (lines.without_boilerplate(table(spark, sf, "documents"))
             .select("doc_id", "n_lines", "n_removed", "text"))
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's sketch, that of an edited version, and how alike they are."""
+    return iblt.fingerprint_edits(table(spark, sf, "documents"))
