@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import iblt, langid, lines, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +63,9 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's sketch, that of an edited version, and how alike they are."""
     return iblt.fingerprint_edits(table(spark, sf, "documents"))
+
+
+@query("op8_arc_to_warc", arc.SQL)
+def op8_arc_to_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page archived in the legacy format, converted and read back."""
+    return arc.archived(table(spark, sf, "pages"))
