@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import arc, iblt, langid, lines, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, pii, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,11 @@ def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op8_arc_to_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Every page archived in the legacy format, converted and read back."""
     return arc.archived(table(spark, sf, "pages"))
+
+
+@query("op7_personal_data", pii.SQL)
+def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data, and terms that disclose them, in every document."""
+    return (pii.spans(table(spark, sf, "documents"))
+            .select("doc_id", *[pii.count_of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])],
+                    F.sha2(pii.written(4), 256).alias("base_sha256"), pii.written(6).alias("spans")))
