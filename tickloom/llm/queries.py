@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import arc, iblt, langid, lines, pii, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, pii, quotes, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,9 @@ def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return (pii.spans(table(spark, sf, "documents"))
             .select("doc_id", *[pii.count_of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])],
                     F.sha2(pii.written(4), 256).alias("base_sha256"), pii.written(6).alias("spans")))
+
+
+@query("op3_quotation_linking", quotes.SQL)
+def op3_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message of the conversations, read as quoting mail and put in reply order."""
+    return quotes.linked_conversations(quotes.as_mail(table(spark, sf, "conversations")))
