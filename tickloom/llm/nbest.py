@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, ALONE = "▁", "\n\r\t"
+SPACE, ALONE = "▁", "\n\t\r"      # a space; white space that stands alone where no piece holds it
 N_BEST = 3
 PENALTY = 10.0               # of an unknown character, below the worst score
 CACHE, CELLS, CHARS = 300_000, 200_000, 2_000_000
@@ -45,8 +45,10 @@ class Pieces:
     """The pieces of a model: ``known`` maps text to (id, score), ``raw`` has the bytes of each id."""
 
     def __init__(self, known: dict[str, tuple[int, float]], byte_ids: list[int], raw: list[bytes]):
-        if any(SPACE in p.lstrip(SPACE) or len(p) > 1 and set(p) & set(ALONE) for p in known):
-            raise ValueError("a piece crosses the beginning of a word or a line end")
+        if any(SPACE in p.lstrip(SPACE) for p in known):
+            raise ValueError("a piece crosses the beginning of a word")
+        alone = "".join(c for c in ALONE if not any(c in p and len(p) > 1 for p in known))
+        self.parts = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + f"|[{alone}]" * bool(alone)
         self.known, self.byte_ids, self.raw = known, byte_ids, raw
         real = [s for _, s in known.values() if s > -1e8]      # some pieces are scored out of use
         self.unknown = min(real, default=0.0) - PENALTY
@@ -70,9 +72,9 @@ class Pieces:
         return cls(known, byte_ids, raw)
 
 
-def words(text: str) -> list[str]:
+def words(pieces: Pieces, text: str) -> list[str]:
     """The independent parts of a text's lattice, in order."""
-    return re.findall(f"{SPACE}*[^{SPACE}{ALONE}]+|{SPACE}+|[{ALONE}]", SPACE + text.replace(" ", SPACE)) if text else []
+    return re.findall(pieces.parts, SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def decode_ids(pieces: Pieces, ids: list[int]) -> str:
@@ -117,7 +119,7 @@ def word_nbest(pieces: Pieces, word: str, n: int) -> list[tuple[float, list[int]
 def nbest(pieces: Pieces, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of a text as (score, ids), best first."""
     total: list[tuple[float, list[int]]] = [(0.0, [])]
-    for word in words(text):
+    for word in words(pieces, text):
         own = word_nbest(pieces, word, n)
         total = heapq.nsmallest(n, ((a + b, i + j) for a, i in total for b, j in own), key=lambda x: -x[0])
     return total
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST,
             texts = [t or "" for t in batch.column(read.index(text)).to_pylist()]
             if len(solver.words) > CACHE:
                 solver.clear()
-            numbers = [np.array([solver.number[w] for w in words(t)], np.int64) for t in texts]
+            numbers = [np.array([solver.number[w] for w in words(pieces, t)], np.int64) for t in texts]
             solver.solve()
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import arc, iblt, langid, lines, pii, quotes, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, nbest, pii, quotes, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,9 @@ def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 def op3_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
     """Every message of the conversations, read as quoting mail and put in reply order."""
     return quotes.linked_conversations(quotes.as_mail(table(spark, sf, "conversations")))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's best segmentation and the scores of the best three."""
+    return nbest.encode(table(spark, sf, "documents"), nbest.Pieces.read(), keep=["doc_id"])
