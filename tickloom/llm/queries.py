@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.llm import arc, iblt, langid, lines, nbest, pii, quotes, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, nbest, ngram, pii, quotes, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,9 @@ def op3_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's best segmentation and the scores of the best three."""
     return nbest.encode(table(spark, sf, "documents"), nbest.Pieces.read(), keep=["doc_id"])
+
+
+@query("op6_lm_scores")
+def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's score under the model of six of seven folds."""
+    return ngram.score_texts(table(spark, sf, "documents"), fold(7) == 2)
