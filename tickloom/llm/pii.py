@@ -154,18 +154,19 @@ def written(most: int) -> Column:
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with entities replaced by [KIND], generalised terms by [TERM], and removed terms cut out."""
-    found = spans(docs, key, text).where(F.size("spans") > 0).select(F.col(key).alias("__k"), "text_hash", "spans").distinct()
+    found = (spans(docs, key, text).where(F.size("spans") > 0)
+             .select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).distinct())
     label = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[TERM]")])
     joined = docs.join(found, F.col("__k").eqNullSafe(docs[key])
-                       & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("text_hash")), "left")
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("s"), s.end.alias("e"), s.kind.alias("k"))))
+                       & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__h")), "left")
+    by_place = F.array_sort(F.transform("__spans", lambda s: F.struct(s.start.alias("s"), s.end.alias("e"), s.kind.alias("k"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(by_place, start, lambda a, s: F.when(s.s >= a.at, F.struct(
         s.e.alias("at"), F.concat(a.out, F.substring(F.col(text), (a.at + 1).cast("int"), (s.s - a.at).cast("int")),
                                   F.get(label, s.k)).alias("out"))).otherwise(
         F.struct(F.greatest(s.e, a.at).alias("at"), a.out.alias("out"))))
     clean = F.concat(cut.out, F.substring(F.col(text), (cut.at + 1).cast("int"), F.length(text)))
-    return joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
 
 
 _MATCH = """SELECT doc_id, {kind} AS kind, unnest(range(len(m))) AS i, unnest(m) AS value,

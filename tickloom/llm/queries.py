@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from tickloom.llm import arc, iblt, langid, lines, nbest, ngram, pii, quotes, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +96,9 @@ def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's score under the model of six of seven folds."""
     return ngram.score_texts(table(spark, sf, "documents"), fold(7) == 2)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole training corpus."""
+    return corpus_pipeline.run(spark, sf)

@@ -76,12 +76,13 @@ def linked_conversations(messages: DataFrame, conversation: str = "conv_id", tur
     links = replied.join(roots(replied), ["c", "t"], "left")
     kept = [c for c in messages.columns if c not in ADDED]
     own = F.array_join(F.filter(_lines(F.col(text)), lambda x: level(x) == 0), "\n")
+    links = links.select(*[F.col(x).alias(f"__{x}") for x in ("c", "t", "parent", "n_quoted", "thread", "depth")])
     joined = messages.select(*[F.col(x) for x in kept]).withColumn(text, own).join(
-        links.withColumnRenamed("depth", "deep").select("c", "t", "parent", "n_quoted", F.col("thread").alias("root"), "deep"),
-        (F.col(conversation) == F.col("c")) & (F.col(turn) == F.col("t")), "left")
+        links, (F.col(conversation) == F.col("__c")) & (F.col(turn) == F.col("__t")), "left")
     return joined.select(
-        *[F.col(x) for x in kept], F.col("parent").alias("reply_to"), F.coalesce("root", turn).alias("thread"),
-        F.coalesce("deep", F.lit(0)).alias("depth"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"),
+        *[F.col(x) for x in kept], F.col("__parent").alias("reply_to"), F.coalesce("__thread", turn).alias("thread"),
+        F.coalesce("__depth", F.lit(0)).alias("depth"),
+        F.coalesce("__n_quoted", F.lit(0)).cast("long").alias("n_quoted"),
         F.concat(F.lit("<|"), F.coalesce(role, F.lit("user")), F.lit("|>\n"), F.coalesce(text, F.lit("")),
                  F.lit("\n<|end|>")).alias("chat"))
 
