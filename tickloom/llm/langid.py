@@ -24,6 +24,8 @@ UNKNOWN = "und"
 LANGUAGES = 256          # most frequent labels that are learned
 WINDOWS = 6000           # windows learned from, shared equally among the labels
 LENGTH = 192             # bytes of a window
+PLACES = 16              # windows of one text, at most, where there are few texts
+ROUNDS, SEEN = 6, 50_000 # how often each window is learned from, at least, and how many in all
 WIDTHS, FILTERS, SIZE = (2, 3, 4, 5), 12, 6
 BLOCK = 256              # windows scored at once
 
@@ -70,7 +72,7 @@ def probabilities(net: ByteNet, windows: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, len(net.languages)), np.float32)
 
 
-def train(windows: np.ndarray, labels: list[str], rounds: int = 6, batch: int = 64, rate: float = 0.004) -> ByteNet:
+def train(windows: np.ndarray, labels: list[str], batch: int = 64, rate: float = 0.004) -> ByteNet:
     """Adam on the cross-entropy; the same rows in the same order give the same network."""
     rng = np.random.default_rng(0)
     fold = np.arange(256)
@@ -89,7 +91,7 @@ def train(windows: np.ndarray, labels: list[str], rounds: int = 6, batch: int =
     mean = {k: np.zeros_like(getattr(net, k)) for k in names}
     square = {k: np.zeros_like(getattr(net, k)) for k in names}
     step = 0
-    for _ in range(rounds if len(languages) > 1 else 0):
+    for _ in range(max(ROUNDS, SEEN // max(1, len(y))) if len(languages) > 1 else 0):
         order = rng.permutation(len(y))
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
@@ -134,8 +136,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
           windows: int = WINDOWS, languages: int = LANGUAGES) -> ByteNet | None:
     """The network of ``labelled``, or None without labels.
 
-    Every label gets an equal part of ``windows``; its rows are drawn by a hash of the key, and the place of
-    the window in a text by another, so that the sample covers all of a text's parts.
+    Every label gets an equal part of ``windows``; its rows are drawn by a hash of the key, and the places of
+    windows in a text by another, so that the sample covers all of a text's parts.
     """
     known = labelled.where(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
@@ -144,13 +146,15 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return None
     each = max(1, windows // len(counts))
     # a margin of a quarter over the wanted share, then the exact cut
-    shares = {r["l"]: min(1.0, 1.25 * each / r["count"] + 20 / r["count"]) for r in counts}
-    chance = (F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(1 << 30)) / float(1 << 30))
-    share = F.lit(0.0)
-    for name, part in shares.items():
-        share = F.when(F.col("l") == name, part).otherwise(share)
+    share, places = F.lit(0.0), F.lit(1)
+    for r in counts:
+        several = min(PLACES, -(-each // r["count"]))
+        share = F.when(F.col("l") == r["l"], min(1.0, (1.25 * each + 20) / (r["count"] * several))).otherwise(share)
+        places = F.when(F.col("l") == r["l"], several).otherwise(places)
+    known = known.withColumn("place", F.explode(F.sequence(F.lit(1), places)))
+    chance = (F.pmod(F.xxhash64(F.lit(1), "k", "place"), F.lit(1 << 30)) / float(1 << 30))
     room = F.greatest(F.length("t") - LENGTH, F.lit(0)) + 1
-    start = F.pmod(F.xxhash64(F.lit(2), "k"), room.cast("long")).cast("int") + 1
+    start = F.pmod(F.xxhash64(F.lit(2), "k", "place"), room.cast("long")).cast("int") + 1
     drawn = (known.where(chance < share).withColumn("draw", chance)
              .select("l", "draw", "k", F.substring("t", start, F.lit(LENGTH)).alias("w"))
              .orderBy("draw", "k", "w").limit(windows + windows // 4 + 40 * len(counts)).collect())

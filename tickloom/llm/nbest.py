@@ -278,7 +278,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST,
             solver.solve()
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
-            best = np.bincount(doc, solver.score[flat], len(texts))
+            best = np.bincount(doc, solver.score[flat], len(texts)).astype(np.float64)
             length = np.diff(solver.first)[flat]
             per_doc = np.bincount(doc, length, len(texts)).astype(np.int64)
             at = np.repeat(solver.first[flat] - np.concatenate([[0], np.cumsum(length)])[:-1], length) + np.arange(length.sum())
