@@ -37,6 +37,7 @@ SPACE, ALONE = "▁", "\n\t\r"      # a space; white space that stands alone whe
 N_BEST = 3
 PENALTY = 10.0               # of an unknown character, below the worst score
 CACHE, CELLS, CHARS = 300_000, 200_000, 2_000_000
+WIDE = 48                    # longer words are solved one by one
 ADDED = ("ids", "n_pieces", "score", "nbest_scores", "round_trip")
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,10 +101,11 @@ def word_nbest(pieces: Pieces, word: str, n: int) -> list[tuple[float, list[int]
     for end in range(1, len(word) + 1):
         ahead.append(max(ahead[start] + s for start, _, s in _edges(pieces, word, end)))
     order = count()
-    heap = [(-ahead[-1], next(order), len(word), 0.0, None)]
+    # of equal scores the nearest to the beginning goes on, or ties would open all of their prefixes
+    heap = [(-ahead[-1], len(word), next(order), 0.0, None)]
     found = []
     while heap and len(found) < n:
-        _, _, end, score, path = heapq.heappop(heap)
+        _, end, _, score, path = heapq.heappop(heap)
         if end == 0:
             ids = []
             while path:
@@ -112,7 +114,7 @@ def word_nbest(pieces: Pieces, word: str, n: int) -> list[tuple[float, list[int]
             found.append((score, ids))
             continue
         for start, piece, s in _edges(pieces, word, end):
-            heapq.heappush(heap, (-(ahead[start] + s + score), next(order), start, s + score, ((start, piece), path)))
+            heapq.heappush(heap, (-(ahead[start] + s + score), start, next(order), s + score, ((start, piece), path)))
     return found
 
 
@@ -161,10 +163,13 @@ class Solver:
         if not new:
             return
         size = np.fromiter(map(len, new), np.int64, len(new))
-        width = np.where(size <= 16, -(-size // 4) * 4, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+        width = -(-size // 4) * 4
         score, loss = np.zeros(len(new)), np.zeros(len(new))
         paths: list[list[int]] = [[]] * len(new)
-        for w in np.unique(width):
+        for k in np.flatnonzero(size > WIDE):            # nothing to gain from columns
+            (score[k], paths[k]), *more = word_nbest(self.pieces, new[k], 2)
+            loss[k] = score[k] - more[0][0] if more else np.inf
+        for w in np.unique(width[size <= WIDE]):
             of = np.flatnonzero(width == w)
             step = max(1, CELLS // int(w))
             for i in range(0, len(of), step):
