@@ -21,7 +21,8 @@ from tickloom.staging import stage
 
 MASKS = ("111101", "10011101")
 WINDOW, LEAST, FEWEST = 20, 0.8, 12
-BROADCAST_ROWS = 500_000      # seeds of a benchmark that are sent to every executor; more are joined by shuffle
+BROADCAST_ROWS = 500_000      # seeds of a benchmark, or keys of documents with hits, that are sent to every
+                              # executor; more are joined by shuffle
 
 
 def words(text: str | Column) -> Column:
@@ -40,13 +41,16 @@ def _seeds(mask_no: int) -> Column:
     picked = [k for k, c in enumerate(mask) if c == "1"]
     return F.when(F.size("w") >= len(mask), F.transform(
         F.sequence(F.lit(0), F.size("w") - len(mask)),
-        lambda i: F.xxhash64(F.lit(mask_no), *[F.get("w", i + k) for k in picked])))
+        lambda i: F.xxhash64(F.lit(mask_no), *[F.get("w", i + k) for k in picked]))).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def _seeded(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, seed, place) of all masks."""
-    one = [df.select(*keys, F.posexplode(_seeds(m)).alias("place", "seed")) for m in range(len(MASKS))]
-    return one[0].unionByName(one[1])
+    first = F.greatest(F.size("w") - len(MASKS[0]) + 1, F.lit(0))
+    return (df.select(*keys, first.alias("n"), F.posexplode(F.concat(_seeds(0), _seeds(1))).alias("place", "seed"))
+            .withColumn("place", F.when(F.col("place") < F.col("n"), F.col("place")).otherwise(F.col("place") - F.col("n")))
+            .drop("n"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -70,7 +74,11 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     entries = (hits.join(sent(bench), "no").groupBy("k", "h")
                .agg(F.collect_list(F.struct("item", "diagonal", F.col("w").alias("iw"))).alias("entries")))
     entries = stage(entries, "candidates")
-    near = rows.alias("r").join(
+    keys = entries.select(F.col("k").alias("ek"), F.col("h").alias("eh"))
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    texts = texts.join(few, F.col("k").eqNullSafe(F.col("ek")) & (F.col("h") == F.col("eh")), "left_semi")
+    near = _hashed(texts, "t").alias("r").join(
         entries.alias("e"), F.col("r.k").eqNullSafe(F.col("e.k")) & (F.col("r.h") == F.col("e.h"))
     ).select("r.k", "r.h", "r.w", "e.entries")
     found = near.select("k", "h", "w", F.explode("entries").alias("e")).select("k", "h", "w", "e.*")
@@ -96,8 +104,8 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item of the benchmark is found."""
-    found = stage(overlaps(docs, items, key, text).select(F.col(key).alias("k"), "text_hash").distinct(), "contaminated")
-    return docs.join(found, F.col("k").eqNullSafe(docs[key]) & (F.xxhash64(docs[text]) == F.col("text_hash")), "left_anti")
+    found = stage(overlaps(docs, items, key, text).select(F.col(key).alias("__k"), F.col("text_hash").alias("__h")).distinct(), "contaminated")
+    return docs.join(found, F.col("__k").eqNullSafe(docs[key]) & (F.xxhash64(docs[text]) == F.col("__h")), "left_anti")
 
 
 SQL = r"""
