@@ -80,6 +80,31 @@ def test_watermark_global_and_per_stock(spark):
         P.fresh_rows(batch, base, "other")
 
 
+def test_unknown_stocks_are_treated_alike_by_both_watermarks(spark):
+    base = canonical(P.with_return(bars(spark, [(day(i), "a", 10.0 + i) for i in range(9)]), ["stock"]))
+    batch = bars(spark, [(day(i), s, 20.0 + i) for s in ("a", "new") for i in range(11)])
+    for mode, first in (("global", 9), ("per_stock", 1)):
+        assert {r.stock for r in P.fresh_rows(batch, base, mode).collect()} == {"a"}
+        let_in = P.fresh_rows(batch, base, mode, known_only=False).collect()
+        assert min(r.date for r in let_in if r.stock == "new") == day(first)
+
+
+def test_upsert_settles_copies_by_arrival(spark):
+    base = canonical(P.with_return(bars(spark, [(day(i), "a", 10.0 + i) for i in range(3)]), ["stock"]))
+    late = base.filter(F.col("date") == day(2))
+    batch = (late.withColumn("close", F.lit(1.0)).withColumn("at", F.lit(1)).unionByName(
+        late.withColumn("close", F.lit(9.0)).withColumn("at", F.lit(2))))
+    got = P.upsert(base, batch, arrival="at")
+    assert got.columns == base.columns
+    assert [r.close for r in got.orderBy("date").collect()] == [10.0, 11.0, 9.0]
+
+
+def test_a_stock_without_a_column_is_an_error(spark):
+    p = series(spark, [(0, "a", 1.0), (0, "z", 2.0)]).withColumn("return_1d", F.lit(0.0))
+    with pytest.raises(Exception, match="no column for stock z"):
+        P.to_wide(p, ["a", "b"]).collect()
+
+
 def test_source_fallback(spark):
     a = series(spark, [(0, "a", 1.0)])
     b = series(spark, [(0, "a", 9.0), (0, "b", 2.0)])

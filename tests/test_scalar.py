@@ -80,3 +80,5 @@ def test_regime_and_wording(spark):
 def test_asked_count(spark):
     df = values(spark, "string", "top 5 of 40", "top stocks", " 0 ideas", "5 then 12", "7x", "9" * 30, "")
     assert column(df, S.asked_count(F.col("x"))) == [30, 10, 0, 12, 10, 30, 10]
+    zeros = values(spark, "string", *[f"top {'0' * n}5" for n in (1, 18, 19, 40)], "0" * 40, "0" * 5 + "9" * 19)
+    assert column(zeros, S.asked_count(F.col("x"))) == [5, 5, 5, 5, 0, 30]

@@ -4,6 +4,7 @@ import json
 import re
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.clean import listed_instruments
@@ -31,6 +32,23 @@ def test_dirty_files(spark, tmp_path):
     assert odd.close is None and odd.volume is None and odd.open == 1.0
 
 
+def test_dirty_files_of_one_name_keep_their_own_header_and_quoted_cells(spark, tmp_path):
+    for folder, text in (("a", "Date,Open,High,Low,Close,Volume\n2020-01-01,1,2,3,4,5\n"),
+                         ("b", 'Date,Volume,Close,Low,High,Open\n2020-01-02,5,4,3,2,1\n2020-01-03,5,4,3,2,"1,000.5"\n'
+                               '2020-01-04," 5 ","4",3,2,""\n')):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, "X.csv", text)
+    got = L.read_dirty_bar_files(spark, str(tmp_path)).orderBy("date").collect()
+    assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [
+        (1, 2, 3, 4, 5), (1, 2, 3, 4, 5), (None, 2, 3, 4, 5), (None, 2, 3, 4, 5)]
+
+
+def test_clean_files_in_another_order_fail(spark, tmp_path):
+    write(tmp_path, "AAA.csv", "datetime,close,high,low,open,volume,symbol\n2021-02-03,1,2,3,4,5,A\n")
+    with pytest.raises(Exception):
+        L.read_bar_files(spark, str(tmp_path)).collect()
+
+
 def test_clean_files_take_the_name_from_the_file(spark, tmp_path):
     write(tmp_path, "AAA.csv", "datetime,open,high,low,close,volume,symbol\n2021-02-03,1,1,1,NaN,5,\n")
     write(tmp_path, "BBB.csv", "datetime,open,high,low,close,volume,symbol\n2021-02-03T00:00:00,1,1,1,2,5,REAL\n")

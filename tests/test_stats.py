@@ -15,6 +15,7 @@ from tickloom.operators.regress import (coefficient_summary, fama_macbeth, perio
                                         period_regression)
 from tickloom.operators.stats import beta, daily_profile, factors, horizon_metrics, market_series, volatility_ratio
 from tickloom.operators.windows import chart_rows, equity_curve
+from tickloom.plans.forecast import ranked
 
 D0 = date(2020, 1, 1)
 
@@ -37,10 +38,10 @@ def test_average_tie_rank(spark):
 
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.sampled_from([-3.0, -0.011, -0.01, 0.0, 0.004, 0.006, 0.5, 7.0]) | st.floats(-2, 2), min_size=1, max_size=60),
-       st.sampled_from([0.001, 0.01, 5.0]))
-def test_ranks_do_not_depend_on_the_slots(spark, xs, grain):
+       st.sampled_from([1, 2, 64]))
+def test_ranks_do_not_depend_on_the_slots(spark, xs, slots):
     want = pd.Series(xs).rank(ascending=False)
-    assert ranks(spark, xs, grain=grain) == want.tolist()
+    assert ranks(spark, xs, slots=slots) == want.tolist()
 
 
 def test_rank_with_a_third_of_all_rows_on_one_score(spark):
@@ -50,6 +51,21 @@ def test_rank_with_a_third_of_all_rows_on_one_score(spark):
     assert np.array_equal(got["rank"], got["x"].rank(ascending=False))
 
 
+def test_r_squared_of_a_flat_period_is_zero(spark):
+    rows = [(1, float(i), 0.1) for i in range(30)] + [(2, float(i), 2.0 * i) for i in range(30)] + [(2, 5.0, None)]
+    got = {r.period: r.r2 for r in period_regression(spark.createDataFrame(rows, "period int, score double, realised double")).collect()}
+    assert got == {1: 0.0, 2: pytest.approx(1.0)}
+
+
+def test_ranking_more_horizons_costs_no_more_shuffles(spark):
+    def exchanges(n):
+        rows = spark.range(50).select(F.col("id").cast("string").alias("stock"), F.rand(1).alias("composite_score"),
+                                      *[F.rand(h).alias(f"adj_ret_{h}d") for h in range(n)])
+        plan = ranked(rows, list(range(n)))._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange")
+    assert exchanges(1) == exchanges(6)
+
+
 def test_legs_and_ties(spark):
     scores = spark.createDataFrame([(1, f"s{i}", float(i)) for i in range(10)]
                                    + [(2, f"s{i}", 1.0) for i in range(10)], "period int, stock string, score double")

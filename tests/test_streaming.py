@@ -56,6 +56,18 @@ def test_upsert_stream_can_be_replayed(spark):
     assert stored() == want
 
 
+def test_batches_leave_nothing_staged_behind(spark, tmp_path, monkeypatch):
+    from tickloom.streaming import bars as module
+    monkeypatch.setattr(module, "new_folder", lambda _, label: str(tmp_path / label))
+    table = str(tmp_path / "table")
+    write = upsert_batch(spark, table, arrival="at")
+    for n in range(4):
+        rows = [("a", D0 + timedelta(days=n), float(k), k) for k in (2, 3, 1)]
+        write(spark.createDataFrame(rows, BAR + ", at int"), n)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["sink-batch", "sink-merged", "table"]
+    assert [r.close for r in read_panel(spark, table).orderBy("date").collect()] == [3.0] * 4
+
+
 def test_closed_days_are_emitted_once_in_append_mode(spark):
     landing, out, checkpoint = (new_folder(spark, n) for n in ("land", "out", "cp"))
     schema = "stock string, day timestamp, price double, quantity bigint, seq int"

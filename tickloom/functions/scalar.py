@@ -125,6 +125,7 @@ def asked_count(text: Column, default: int = 10, cap: int = 30) -> Column:
     """Last all-digit word of a question, capped; the default where there is none."""
     words = F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w.rlike("^[0-9]+$"))
     last = F.try_element_at(words, F.lit(-1))
-    # a number too long for BIGINT is still a number, and so is capped
-    value = F.when(F.length(last) > 18, F.lit(cap)).otherwise(last.cast("bigint"))
+    # leading zeros say nothing; what is then too long for BIGINT is still a number, and so is capped
+    digits = F.regexp_replace(last, "^0+(?=[0-9])", "")
+    value = F.when(F.length(digits) > 18, F.lit(cap)).otherwise(digits.cast("bigint"))
     return F.when(last.isNull(), default).otherwise(F.least(value, F.lit(cap))).cast("int")

@@ -7,12 +7,12 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # Exchange holidays, 2025 and 2026.
-HOLIDAYS = """
-2025-01-26 2025-02-26 2025-03-14 2025-04-10 2025-04-14 2025-04-18 2025-05-01
-2025-08-15 2025-10-02 2025-10-20 2025-10-21 2025-11-05 2025-12-25
-2026-01-26 2026-02-19 2026-03-25 2026-04-03 2026-04-14 2026-05-01
-2026-08-15 2026-10-02 2026-10-09 2026-11-24 2026-12-25
-""".split()
+HOLIDAYS = [
+    "2025-01-26", "2025-02-26", "2025-03-14", "2025-04-10", "2025-04-14", "2025-04-18", "2025-05-01",
+    "2025-08-15", "2025-10-02", "2025-10-20", "2025-10-21", "2025-11-05", "2025-12-25",
+    "2026-01-26", "2026-02-19", "2026-03-25", "2026-04-03", "2026-04-14", "2026-05-01", "2026-08-15",
+    "2026-10-02", "2026-10-09", "2026-11-24", "2026-12-25",
+]
 
 
 def holiday_table(spark: SparkSession, days: list[str] | None = None) -> DataFrame:

@@ -90,17 +90,20 @@ def choose_source(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def fresh_rows(batch: DataFrame, panel: DataFrame, watermark: str = "global",
-               overlap_days: int = 7, fill: str = "pad") -> DataFrame:
+               overlap_days: int = 7, fill: str = "pad", known_only: bool = True) -> DataFrame:
     """Bars of a batch that are news to the panel, with their returns.
 
     Rows back to ``overlap_days`` before the watermark only seed the first return. The watermark
-    is the latest date of the whole panel, or of each stock.
+    is the latest date of the whole panel, or of each stock. Stocks that the panel does not know
+    are left out, or with ``known_only=False`` let in: after the panel's date, or from their first.
     """
+    last = panel.groupBy("stock").agg(F.max("date").alias("seen"))
     if watermark == "global":
-        seen = batch.withColumn("seen", panel.select(F.max("date")).scalar())
+        seen = batch.join(last, "stock", "left_semi") if known_only else batch
+        seen = seen.withColumn("seen", panel.select(F.max("date")).scalar())
     elif watermark == "per_stock":
-        last = panel.groupBy("stock").agg(F.max("date").alias("seen"))
-        seen = batch.join(last, "stock")
+        seen = batch.join(last, "stock", "inner" if known_only else "left")
+        seen = seen.withColumn("seen", F.coalesce("seen", F.lit("0001-01-01").cast("date")))
     else:
         raise ValueError("watermark is 'global' or 'per_stock'")
     window = seen.filter(F.col("date") >= F.date_sub("seen", overlap_days))
@@ -110,13 +113,20 @@ def fresh_rows(batch: DataFrame, panel: DataFrame, watermark: str = "global",
     return canonical(news).select(PANEL_COLUMNS)
 
 
-def upsert(panel: DataFrame, *batches: DataFrame) -> DataFrame:
-    """Union keyed by (stock, date); a later batch replaces earlier rows. Idempotent."""
+def upsert(panel: DataFrame, *batches: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Union keyed by (stock, date); a later batch replaces earlier rows. Idempotent.
+
+    Inside a batch the greatest ``arrival`` wins, a number that the batches carry; without it, or
+    between equal ones, the least values.
+    """
     stacked = panel.withColumn("batch_seq", F.lit(0))
+    if arrival:
+        stacked = stacked.withColumn(arrival, F.lit(None).cast(batches[0].schema[arrival].dataType))
     for i, b in enumerate(batches, 1):
         stacked = stacked.unionByName(b.withColumn("batch_seq", F.lit(i)))
-    newest = one_row_per_day(stacked, ["stock", "date"], [-F.col("batch_seq")])
-    return newest.drop("batch_seq")
+    latest = [-F.col("batch_seq")] + ([-F.col(arrival)] if arrival else [])
+    newest = one_row_per_day(stacked, ["stock", "date"], latest)
+    return newest.drop("batch_seq", *([arrival] if arrival else []))
 
 
 def gap_filled(panel: DataFrame, calendar: DataFrame, price: str = "close") -> DataFrame:
@@ -156,8 +166,13 @@ def calendar_returns(panel: DataFrame, calendar: DataFrame, fill: str = "pad") -
 
 
 def to_wide(panel: DataFrame, stocks: list[str], value: str = "return_1d") -> DataFrame:
-    """One column per named stock. For a short list only; the engine itself stays long."""
-    return panel.groupBy("date").pivot("stock", stocks).agg(F.first(value, ignorenulls=True))
+    """One column per named stock. For a short list only; the engine itself stays long.
+
+    A stock that the list lacks raises an error, so that no column is left out unnoticed.
+    """
+    known = F.when(F.col("stock").isNull() | F.col("stock").isin(stocks), F.col("stock")).otherwise(
+        F.raise_error(F.concat(F.lit("no column for stock "), F.col("stock"))).cast("string"))
+    return panel.withColumn("stock", known).groupBy("date").pivot("stock", stocks).agg(F.first(value, ignorenulls=True))
 
 
 def to_long(wide: DataFrame, value: str = "return_1d") -> DataFrame:

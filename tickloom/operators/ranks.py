@@ -2,46 +2,57 @@
 
 A cross-section (all stocks of one date) grows with the table and many stocks may share one
 score, so ranks are not taken with a window over the rows. Rows are first counted per distinct
-score (combined on the map side), the distinct scores are cut into value slots, and a slot's
-place is known from the counts of the slots above it.
+score (combined on the map side). Percentiles of the distinct scores cut them into a fixed number
+of slots of about equal size, and a slot's place is known from the counts of the slots above it.
+The cuts only choose the slot: ranks are exact whatever they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tickloom.staging import stage
+
+SLOTS = 64
+
 
 def average_tie_rank(df: DataFrame, by: list[str], score: str, into: str = "rank",
-                     grain: float = 0.01, truncate: bool = False) -> DataFrame:
+                     truncate: bool = False, slots: int = SLOTS) -> DataFrame:
     """Descending rank where equal scores share their mean rank; NULL scores have none.
 
-    ``grain`` is the width of a value slot: a speed setting that never changes the result.
     ``truncate`` drops the half that an even number of ties leaves.
     """
     scored = df.filter(F.col(score).isNotNull())
-    values = (scored.groupBy(*by, score).agg(F.count("*").alias("ties"))
-              .withColumn("slot", F.floor(F.col(score) / grain)))
-    above_slot = W.partitionBy(*by).orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)
-    slots = (values.groupBy(*by, "slot").agg(F.sum("ties").alias("in_slot"))
-             .select(*by, "slot", F.coalesce(F.sum("in_slot").over(above_slot), F.lit(0)).alias("above")))
+    values = stage(scored.groupBy(*by, score).agg(F.count("*").alias("ties")), "scores")
+    at = [i / slots for i in range(1, slots)]
+    cuts = values.groupBy(*by).agg(F.percentile_approx(score, at, 100 * slots).alias("cuts"))
+    if by:
+        cut = values.join(cuts, by)
+    else:
+        cut = values.withColumn("cuts", cuts.select("cuts").scalar())
+    above_cuts = F.size(F.filter("cuts", lambda c: c >= F.col(score)))
+    cut = cut.withColumn("slot", above_cuts).drop("cuts")
+    # at most ``slots`` rows of each cross-section
+    above_slot = W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    counts = (cut.groupBy(*by, "slot").agg(F.sum("ties").alias("in_slot"))
+              .select(*by, "slot", F.coalesce(F.sum("in_slot").over(above_slot), F.lit(0)).alias("above")))
     in_slot = (W.partitionBy(*by, "slot").orderBy(F.desc(score))
                .rowsBetween(W.unboundedPreceding, -1))
     rank = (F.col("above") + F.coalesce(F.sum("ties").over(in_slot), F.lit(0))
             + (F.col("ties") + 1) / 2)
     rank = F.floor(rank).cast("int") if truncate else rank.cast("double")
-    places = values.join(slots, [*by, "slot"]).select(*by, score, rank.alias(into))
+    places = cut.join(counts, [*by, "slot"]).select(*by, score, rank.alias(into))
     return df.join(places, [*by, score], "left").select(*df.columns, into)
 
 
-def legs(scores: DataFrame, by: str = "period", score: str = "score", top_pct: float = 10,
-         grain: float = 0.01) -> DataFrame:
+def legs(scores: DataFrame, by: str = "period", score: str = "score", top_pct: float = 10) -> DataFrame:
     """Members of the long and the short leg of every period.
 
     Each leg aims at k = max(1, floor(n * pct / 100)) stocks; ties at the border make it larger
     or smaller.
     """
-    sizes = scores.groupBy(by).agg(F.count("*").alias("n"))
-    ranked = average_tie_rank(scores, [by], score, "place", grain).join(sizes, by)
+    sizes = scores.groupBy(by).agg(F.count("*").alias("n"))          # one row a period
+    ranked = average_tie_rank(scores, [by], score, "place").join(F.broadcast(sizes), by)
     k = F.greatest(F.lit(1), F.floor(F.col("n") * top_pct / 100))
     leg = F.array_compact(F.array(
         F.when(F.col("place") <= k, F.lit("long")),

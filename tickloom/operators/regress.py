@@ -13,10 +13,14 @@ from tickloom.functions.scalar import half_even, p_wording, t_marks, two_sided_p
 
 def period_regression(df: DataFrame, x: str = "score", y: str = "realised", by: str = "period",
                       min_common: int = 20, min_complete: int = 10) -> DataFrame:
-    """Slope and r-squared of y on x per period, from moments combined on the map side."""
+    """Slope and r-squared of y on x per period, from moments combined on the map side.
+
+    Where y is the same everywhere nothing is explained, so r-squared is 0.
+    """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    flat = F.min(F.when(both, F.col(y))) == F.max(F.when(both, F.col(y)))
     return (df.groupBy(by).agg(F.count("*").alias("n_common"), F.count_if(both).alias("n"),
-                               F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"))
+                               F.regr_slope(y, x).alias("slope"), F.when(flat, 0.0).otherwise(F.regr_r2(y, x)).alias("r2"))
             .filter((F.col("n_common") >= min_common) & (F.col("n") >= min_complete)))
 
 

@@ -154,4 +154,6 @@ def daily_profile(paths: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def expected_return(paths: DataFrame, horizon: int) -> DataFrame:
-    return paths.groupBy("stock").agg(F.avg(compounded(F.col("rets"), horizon)).alias("score"))
+    """Mean return over the horizon of the paths that are long enough."""
+    return (paths.filter(F.size("rets") >= horizon).groupBy("stock")
+            .agg(F.avg(compounded(F.col("rets"), horizon)).alias("score")))

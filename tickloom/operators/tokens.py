@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.functions.scalar import PAD_TOKEN, centre_of, token_of
+from tickloom.staging import stage
 
 BLOCK = 256
 
@@ -73,7 +74,7 @@ def _drawn_windows(tokens: DataFrame, batch: int, block: int, seed: int) -> Data
              .withColumn("u", F.col("u") - F.col("begin")))
     upto = W.partitionBy("slot").orderBy("stock").rowsBetween(W.unboundedPreceding, 0)
     owners = sizes.withColumn("high", F.sum("n").over(upto)).withColumn("low", F.col("high") - F.col("n"))
-    return (owners.join(F.broadcast(draws), "slot")
+    return (owners.join(draws, "slot")
             .filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
             .select("draw", "stock", (F.col("u") - F.col("low")).alias("start")))
 
@@ -92,7 +93,9 @@ def sample_windows(tokens: DataFrame, batch: int, block: int = BLOCK, seed: int
         chosen = (window_index(tokens, block)
                   .orderBy(F.xxhash64("stock", "start", F.lit(seed)), "stock", "start").limit(batch)
                   .withColumn("draw", F.monotonically_increasing_id()))
-    inside = (numbered(tokens).join(F.broadcast(chosen), "stock")
+    chosen = stage(chosen, "drawn")
+    held = tokens.join(chosen.select("stock").distinct(), "stock", "left_semi")
+    inside = (numbered(held).join(chosen, "stock")
               .filter(F.col("pos").between(F.col("start"), F.col("start") + block)))
     run = F.sort_array(F.collect_list(F.struct("pos", F.col("token").cast("smallint").alias("token"))))
     return (inside.groupBy("draw", "stock", "start").agg(run.alias("run"))

@@ -117,9 +117,11 @@ def expected_growth(probs: DataFrame, horizon: int, by: list[str] | None = None,
 def score_states(states: DataFrame, growth: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds ``score`` to rows ``(by, stock, token)``: expected growth - 1, unseen tokens backed off."""
     by = by or []
+    growth = stage(growth, "growth")           # read twice
     own = growth.filter(F.col("state") != UNSEEN).withColumnRenamed("state", "token")
     fallback = growth.filter(F.col("state") == UNSEEN).select(*by, F.col("growth").alias("fallback"))
-    scored = states.join(own, [*by, "token"], "left")
+    # at most one row for each token and period; most stocks share a few tokens, so they stay where they are
+    scored = states.join(F.broadcast(own), [*by, "token"], "left")
     if by:
         scored = scored.join(F.broadcast(fallback), by, "left")      # one row per period
     else:

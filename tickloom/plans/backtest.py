@@ -68,14 +68,14 @@ def walk_forward_scores(panel: DataFrame, periods: DataFrame, days: DataFrame, h
 
 def portfolio_returns(scores: DataFrame, panel: DataFrame, days: DataFrame, periods: DataFrame,
                       top_pct: float = 10, cost: float = 0.001, holding: str = "mean_daily",
-                      cost_model: str = "per_leg", grain: float = 0.001) -> DataFrame:
+                      cost_model: str = "per_leg") -> DataFrame:
     """(date, long_ret, short_ret, ls_ret) per scored period.
 
     A leg earns its equal-weighted daily mean, averaged over the days of the period
     (``holding='mean_daily'``) or compounded. With ``cost_model='per_leg'`` the cost is taken
     from both legs, so it cancels in the difference; ``'spread'`` charges both to the spread.
     """
-    members = legs(scores, "period", "score", top_pct, grain).select("period", "stock", "leg")
+    members = legs(scores, "period", "score", top_pct).select("period", "stock", "leg")
     held = (panel.select("stock", "date", "return_1d")
             .join(F.broadcast(days.filter(F.col("held_in").isNotNull())
                               .select("date", F.col("held_in").alias("period"))), "date"))

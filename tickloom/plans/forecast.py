@@ -82,12 +82,17 @@ def composite(rows: DataFrame, horizons: list[int]) -> DataFrame:
     return rows.withColumn("composite_score", F.try_divide(total, n))
 
 
-def ranked(rows: DataFrame, horizons: list[int], grain: float = 0.1) -> DataFrame:
-    """Composite and per-horizon ranks over the whole cross-section."""
-    out = average_tie_rank(rows, [], "composite_score", "composite_rank", grain, truncate=True)
-    for h in horizons:
-        out = average_tie_rank(out, [], f"adj_ret_{h}d", f"rank_{h}d", grain, truncate=True)
-    return out
+def ranked(rows: DataFrame, horizons: list[int]) -> DataFrame:
+    """Composite and per-horizon ranks over the whole cross-section, one row per stock.
+
+    All scores are ranked in one pass, with the score's name as key, however many horizons there are.
+    """
+    names = {"composite_score": "composite_rank"} | {f"adj_ret_{h}d": f"rank_{h}d" for h in horizons}
+    long = rows.unpivot(["stock"], [*names], "name", "score")
+    places = average_tie_rank(long, ["name"], "score", "place", truncate=True)
+    wide = places.groupBy("stock").agg(*[F.max(F.when(F.col("name") == n, F.col("place"))).alias(into)
+                                         for n, into in names.items()])
+    return rows.join(wide, "stock")
 
 
 def with_regime(rows: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -131,13 +136,20 @@ def deep_forecast(panel: DataFrame, stock: str, as_of: date | Column,
                   temperature: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(metrics per horizon, daily path profile) of one stock; both empty for an unknown one."""
     horizons = sorted(horizons or HORIZONS)
-    name = stock.upper()
-    day = as_of if isinstance(as_of, Column) else F.lit(as_of)
     market = stage(market_series(panel), "market")
     probs = token_model(tokenise(panel), temperature)
-    one = panel.filter(F.col("stock") == name)
-    states = path_states(one, market, min_tokens=1)
+    states = path_states(panel.filter(F.col("stock") == stock.upper()), market, min_tokens=1)
     paths = sample_paths(states, probs, max(horizons), n_paths, seed)
+    return deep_forecast_from_paths(panel, market, paths, stock, as_of, horizons)
+
+
+def deep_forecast_from_paths(panel: DataFrame, market: DataFrame, paths: DataFrame, stock: str, as_of: date | Column,
+                             horizons: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two tables of ``deep_forecast`` from any scorer's paths of the stock and the market."""
+    horizons = sorted(horizons or HORIZONS)
+    name = stock.upper()
+    day = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    one = panel.filter(F.col("stock") == name)
     own = beta(one, market, positions(panel))
     adjusted = market_adjusted(horizon_metrics(paths, horizons), own).join(
         volatility_ratio(one).select("stock", "vol_ratio"), "stock")

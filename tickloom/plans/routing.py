@@ -79,7 +79,7 @@ def route_of(text: Column, has_stock: Column, word_boundary: bool = False) -> Co
             either, other = BOTH_SIDES
             hit = hit | (_has(text, either, word_boundary) & _has(text, other, word_boundary))
         if name in BLOCKED_BY:
-            hit = hit & ~F.contains(text, F.lit(BLOCKED_BY[name]))
+            hit = hit & ~_has(text, [BLOCKED_BY[name]], word_boundary)
         route = route.when(hit, name)
     return route.otherwise("fallback")
 
@@ -124,17 +124,22 @@ def routed(questions: DataFrame, ids: list[str], ranked: DataFrame, rank: str =
             .withColumn("n", asked_count(F.col("text"))).drop("q"))
 
 
+ADJUSTED = ["adj_ret_1d", "adj_ret_5d", "adj_ret_20d"]
+
+
 def leaders(ranked: DataFrame, rank: str = "composite_rank") -> DataFrame:
     """(side, place, stock, ..., avg_prob): best and worst rows a question can ask for.
 
     At most 30 rows a side; ``avg_prob`` is the mean chance to rise of the first ``place`` rows.
+    Adjusted returns are shown where the ranking has them.
     """
+    shown = [c for c in ADJUSTED if c in ranked.columns]
     sides = None
     for side, worst in (("long", False), ("short", True)):
         rows = top_n(ranked, MOST_ROWS, rank, worst)
         order = W.orderBy(F.desc(rank) if worst else F.asc(rank), "stock")
         rows = rows.select(F.lit(side).alias("side"), F.row_number().over(order).alias("place"),
-                           "stock", F.col(rank).alias("composite_rank"), "prob_up_1d",
+                           "stock", F.col(rank).alias("composite_rank"), *shown, "prob_up_1d",
                            F.avg("prob_up_1d").over(order.rowsBetween(W.unboundedPreceding, 0))
                            .alias("avg_prob"))
         sides = rows if sides is None else sides.unionByName(rows)
@@ -152,7 +157,8 @@ def _sides(route: Column, regime: Column) -> Column:
 
 def answer_rows(routed_questions: DataFrame, ids: list[str], ranked: DataFrame,
                 regime: Column | None = None) -> DataFrame:
-    """(ids, route, side, place, stock, rank, chance): the table rows that answer each question."""
+    """(ids, route, side, place, stock, rank, adjusted returns, chance): the rows that answer each question."""
+    shown = [c for c in ADJUSTED if c in ranked.columns]
     if regime is None:
         regime = ranked.select(F.max("regime")).scalar()
     n = F.when(F.col("route") == "market", 3).when(F.col("route") == "next_day", 10).otherwise(F.col("n"))
@@ -160,7 +166,18 @@ def answer_rows(routed_questions: DataFrame, ids: list[str], ranked: DataFrame,
               .withColumn("side", F.explode(_sides(F.col("route"), regime))).withColumn("rows", n).filter(F.col("rows") >= 1)
               .withColumn("place", F.explode(F.sequence(F.lit(1), F.col("rows")))))
     return (wanted.join(F.broadcast(leaders(ranked)), ["side", "place"])
-            .select(*ids, "route", "side", "place", "stock", "composite_rank", "prob_up_1d"))
+            .select(*ids, "route", "side", "place", "stock", "composite_rank", *shown, "prob_up_1d"))
+
+
+def next_day_answers(routed_questions: DataFrame, ids: list[str], ranked: DataFrame, data_until: Column,
+                     calendar: DataFrame, today: Column) -> DataFrame:
+    """(ids, next_day, data_until, total, strong_buy, avoid, neutral) for next-day questions.
+
+    ``calendar`` is a trading calendar; the next day is its first open one after ``today``.
+    """
+    coming = calendar.filter(F.col("is_trading") & (F.col("date") > today)).select(F.min("date")).scalar()
+    counted = answer_counts(routed_questions, ids, ranked).filter(F.col("route") == "next_day")
+    return counted.drop("route").withColumn("next_day", coming).withColumn("data_until", data_until)
 
 
 def answer_counts(routed_questions: DataFrame, ids: list[str], ranked: DataFrame) -> DataFrame:
@@ -192,11 +209,15 @@ def stock_cards(routed_questions: DataFrame, ids: list[str], ranked: DataFrame)
             .join(facts, "stock"))
 
 
+CHANCES = ["prob_up_1d", "prob_up_20d"]
+
+
 def statements(ranked: DataFrame, total: Column) -> DataFrame:
     """Signal band, percentile and wording of every ranked stock."""
     rank = F.col("composite_rank")
     better = better_than_pct(rank, total)
-    return ranked.select("stock", "composite_rank", signal_band(rank, total).alias("signal"),
+    return ranked.select("stock", "composite_rank", total.cast("bigint").alias("total"),
+                         *[c for c in CHANCES if c in ranked.columns], signal_band(rank, total).alias("signal"),
                          better.alias("better_than_pct"), (100 - better).alias("top_pct"),
                          volatility_wording(F.col("vol_ratio")).alias("volatility"),
                          strength_wording(better).alias("strength"))

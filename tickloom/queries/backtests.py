@@ -50,7 +50,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("portfolio_legs", WALK_SQL + LEGS_SQL + "SELECT period, stock, leg FROM legs")
 def portfolio_legs(spark: SparkSession, sf: str) -> DataFrame:
-    return legs(Walk(spark, sf).scores, grain=0.001).select("period", "stock", "leg")
+    return legs(Walk(spark, sf).scores).select("period", "stock", "leg")
 
 
 @query("backtest_results", WALK_SQL + RESULTS_SQL + """
@@ -90,7 +90,7 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 SLOPES_SQL = """,
 slopes AS (
   SELECT period, count(*) AS n_common, count(*) AS n, regr_slope(realised, score) AS slope,
-         regr_r2(realised, score) AS r2
+         CASE WHEN min(realised) FILTER (score IS NOT NULL) = max(realised) FILTER (score IS NOT NULL) THEN 0.0::DOUBLE ELSE regr_r2(realised, score) END AS r2
   FROM scored GROUP BY period HAVING count(*) >= 20)
 """
 

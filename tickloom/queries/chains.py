@@ -8,19 +8,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.operators.paths import sample_paths, score_with
-from tickloom.operators.stats import expected_return
+from tickloom.operators.stats import compounded, expected_return
 from tickloom.operators.tokens import (contexts, detokenise, sample_windows, sequences, tokenise,
                                        training_windows, window_index)
 from tickloom.operators.transitions import (cross_entropy, expected_growth, pair_counts, probabilities,
                                             score_states, token_pairs, with_unseen)
-from tickloom.queries.data import (CENTRE_SQL, TOKENS_SQL, growth_steps_sql, panel)
+from tickloom.queries.data import (CENTRE_SQL, TOKENS_SQL, growth_steps_sql, staged_panel)
 from tickloom.queries.registry import query, rounded
 from tickloom.staging import stage
 
 
 @query("tokenise_returns", TOKENS_SQL + "SELECT stock, date, token FROM tokens")
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenise(panel(spark, sf))
+    return tokenise(staged_panel(spark, sf))
 
 
 @query("token_centres", TOKENS_SQL + f"""
@@ -60,9 +60,18 @@ def windows_index(spark: SparkSession, sf: str) -> DataFrame:
     return window_index(tokens(spark, sf))
 
 
-@query("sample_windows")
+@query("sample_windows", "SELECT replacement, CAST(64 AS BIGINT) AS n, CAST(64 AS BIGINT) AS n_right FROM (SELECT unnest([true, false]) AS replacement)")
 def window_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return sample_windows(tokens(spark, sf), batch=64, seed=7)
+    """Random batches of 64, with and without replacement: every window equals the enumerated one."""
+    t = stage(tokens(spark, sf), "tokens")
+    all_windows = stage(training_windows(t), "windows").select("stock", "start", F.col("x").alias("all_x"), F.col("y").alias("all_y"))
+    both = None
+    for again in (True, False):
+        drawn = sample_windows(t, batch=64, seed=7, replacement=again).withColumn("replacement", F.lit(again))
+        both = drawn if both is None else both.unionByName(drawn)
+    right = (F.col("x") == F.col("all_x")) & (F.col("y") == F.col("all_y"))
+    return both.join(all_windows, ["stock", "start"], "left").groupBy("replacement").agg(
+        F.count("*").alias("n"), F.count_if(right).alias("n_right"))
 
 
 @query("scoring_contexts", TOKENS_SQL + """,
@@ -140,14 +149,19 @@ def exact_expected_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(score_states(last, expected_growth(probs, 3)).select("stock", "token", "score"), "score")
 
 
-@query("sampled_expected_score")
+@query("sampled_expected_score", TOKENS_SQL + "SELECT stock, true AS close_to_exact FROM tokens GROUP BY stock")
 def sampled_expected_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean compounded return of 200 sampled five-day paths per stock."""
+    """Mean compounded return of 200 sampled five-day paths per stock, within six standard errors of the exact score."""
     t = stage(tokens(spark, sf), "tokens")
     probs = probabilities(with_unseen(pair_counts(token_pairs(t))), temperature=0.8)
     states = (t.groupBy("stock").agg(F.max_by("token", "date").alias("token"))
               .withColumn("vol_ratio", F.lit(1.0)))
-    return expected_return(sample_paths(states, probs, 5, 200, seed=1), 5)
+    paths = stage(sample_paths(states, probs, 5, 200, seed=1), "paths")
+    error = paths.groupBy("stock").agg((F.stddev_samp(compounded(F.col("rets"), 5)) / F.sqrt(F.count("*"))).alias("error"))
+    exact = score_states(states.select("stock", "token"), expected_growth(probs, 5)).select("stock", F.col("score").alias("exact"))
+    near = F.abs(F.col("score") - F.col("exact")) <= 6 * F.col("error") + 1e-9
+    return (expected_return(paths, 5).join(error, "stock").join(exact, "stock")
+            .select("stock", near.alias("close_to_exact")))
 
 
 def mean_token_model():

@@ -36,9 +36,15 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return with_return(bars(spark, sf), ["stock"])
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel as a table, for queries that scan it more than once."""
-    return stage(panel(spark, sf), "panel")
+    """The panel as a table, written once for an application's queries over the same tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = stage(panel(spark, sf), "panel")
+    return _WRITTEN[key]
 
 
 def brand_panel(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.scalar import asked_count, regime_label
+from tickloom.operators.calendar import holiday_table, trading_calendar
 from tickloom.operators.performance import overview
 from tickloom.operators.ranks import average_tie_rank
 from tickloom.plans.routing import (BLOCKED_BY, BOTH_SIDES, RULES, answer_averages, answer_counts,
-                                    answer_rows, named_stocks, routed, stock_cards)
-from tickloom.queries.data import table
+                                    answer_rows, named_stocks, next_day_answers, routed, stock_cards)
+from tickloom.queries.data import staged_panel, table
+from tickloom.queries.forecasts import FORECAST_SQL, TUESDAY, block_forecast
 from tickloom.queries.registry import query, rounded
 from tickloom.staging import stage
 
@@ -43,7 +45,7 @@ def brand_ranking(spark: SparkSession, sf: str) -> DataFrame:
         (F.count("*") % 20).cast("double").alias("composite_score"),
         (100.0 * F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("prob_up_1d"),
         (F.avg("l_discount") * 20).alias("vol_ratio"))
-    ranked = average_tie_rank(r, [], "composite_score", "composite_rank", grain=1, truncate=True)
+    ranked = average_tie_rank(r, [], "composite_score", "composite_rank", truncate=True)
     p = items.select(100.0 * F.count_if(F.col("l_linestatus") == "O") / F.count("*") + 10).scalar()
     return ranked.withColumn("regime", regime_label(p))
 
@@ -80,7 +82,8 @@ clean AS (SELECT *, lower(trim(text, ' ')) AS q FROM questions),
 meant AS (
   SELECT c.src, c.id, arg_min(r.stock, row(r.composite_rank, r.stock)) AS stock
   FROM clean c JOIN ranked r
-    ON regexp_matches(c.q, '(^|[^\\pL\\pN_])' || lower(r.stock) || '($|[^\\pL\\pN_])') GROUP BY ALL)
+    ON CASE WHEN contains(c.q, lower(r.stock))
+            THEN regexp_matches(c.q, '(^|[^\\pL\\pN_])' || lower(r.stock) || '($|[^\\pL\\pN_])') ELSE false END GROUP BY ALL)
 """
 
 
@@ -177,14 +180,15 @@ def averages_of_answers(spark: SparkSession, sf: str) -> DataFrame:
 @query("stock_cards", ROUTED_SQL + """,
 placed AS (SELECT *, composite_rank / count(*) OVER () * 100 AS pct,
                   CAST(round_even((1 - composite_rank / count(*) OVER ()) * 100, 0) AS INTEGER) AS better FROM ranked)
-SELECT r.src, r.id, r.stock, p.composite_rank,
+SELECT r.src, r.id, r.stock, p.composite_rank, (SELECT count(*) FROM ranked) AS total,
+       round(prob_up_1d, 6) + 0.0 AS prob_up_1d,
        CASE WHEN pct <= 5 THEN 'STRONG BUY' WHEN pct <= 20 THEN 'BUY' WHEN pct >= 95 THEN 'STRONG AVOID'
             WHEN pct >= 80 THEN 'AVOID' ELSE 'NEUTRAL' END AS signal, better AS better_than_pct, 100 - better AS top_pct,
        CASE WHEN vol_ratio > 1.3 THEN 'more jumpy than usual' WHEN vol_ratio < 0.7 THEN 'calmer than usual' ELSE 'normal' END AS volatility,
        CASE WHEN better >= 95 THEN 'strong' WHEN better <= 20 THEN 'weak' ELSE 'moderate' END AS strength
 FROM routed r JOIN placed p USING (stock) WHERE r.route = 'stock'""")
 def cards(spark: SparkSession, sf: str) -> DataFrame:
-    return stock_cards(*_with_ids(spark, sf))
+    return rounded(stock_cards(*_with_ids(spark, sf)), "prob_up_1d")
 
 
 @query("ranking_overview", RANKING_SQL + """
@@ -195,3 +199,56 @@ SELECT count(*) AS total, count(*) FILTER (WHERE composite_rank <= floor(t * 0.1
 FROM ranked, (SELECT count(*) AS t FROM ranked)""")
 def ranking_overview(spark: SparkSession, sf: str) -> DataFrame:
     return overview(stage(brand_ranking(spark, sf), "ranking"))
+
+
+# ---- the same questions over the forecast; supplier 7 stands for Brand#7 -----------------------------
+
+FORECAST_ANSWERS_SQL = (FORECAST_SQL.replace("{gate}", "").replace("ranked AS (", "placed_rows AS (").replace(
+    "FROM ranked)", "FROM placed_rows)") + """,
+ranked AS MATERIALIZED (SELECT * REPLACE ('Brand#' || stock AS stock) FROM forecast)""" + ROUTED_SQL[len(RANKING_SQL):])
+
+
+def _over_forecast(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], DataFrame]:
+    ranked = block_forecast(spark, sf, TUESDAY).withColumn("stock", F.concat(F.lit("Brand#"), "stock"))
+    ranked = stage(ranked, "forecast")
+    return stage(routed(questions(spark, sf), IDS, ranked), "routed"), IDS, ranked
+
+
+@query("forecast_answer_rows", FORECAST_ANSWERS_SQL + """
+SELECT r.src, r.id, r.route, l.side, CAST(l.place AS INTEGER) AS place, l.stock, l.composite_rank,
+       l.adj_ret_1d, l.adj_ret_5d, l.adj_ret_20d, l.prob_up_1d
+FROM routed r JOIN leaders l
+  ON l.place <= CASE r.route WHEN 'market' THEN 3 WHEN 'next_day' THEN 10 ELSE r.n END
+ AND ((r.route = 'avoid' AND l.side = 'short') OR (r.route IN ('buy', 'next_day') AND l.side = 'long')
+      OR r.route = 'market'
+      OR (r.route = 'long_short' AND ((l.side = 'long' AND l.regime <> 'bear') OR (l.side = 'short' AND l.regime <> 'bull'))))""")
+def rows_over_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return answer_rows(*_over_forecast(spark, sf))
+
+
+@query("forecast_stock_cards", FORECAST_ANSWERS_SQL + """,
+placed AS (SELECT *, composite_rank / count(*) OVER () * 100 AS pct, count(*) OVER () AS total,
+                  CAST(round_even((1 - composite_rank / count(*) OVER ()) * 100, 0) AS INTEGER) AS better FROM ranked)
+SELECT r.src, r.id, r.stock, p.composite_rank, p.total, p.prob_up_1d, p.prob_up_20d,
+       CASE WHEN pct <= 5 THEN 'STRONG BUY' WHEN pct <= 20 THEN 'BUY' WHEN pct >= 95 THEN 'STRONG AVOID'
+            WHEN pct >= 80 THEN 'AVOID' ELSE 'NEUTRAL' END AS signal, better AS better_than_pct, 100 - better AS top_pct,
+       CASE WHEN vol_ratio > 1.3 THEN 'more jumpy than usual' WHEN vol_ratio < 0.7 THEN 'calmer than usual' ELSE 'normal' END AS volatility,
+       CASE WHEN better >= 95 THEN 'strong' WHEN better <= 20 THEN 'weak' ELSE 'moderate' END AS strength
+FROM routed r JOIN placed p USING (stock) WHERE r.route = 'stock'""")
+def cards_over_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return stock_cards(*_over_forecast(spark, sf))
+
+
+@query("next_day_answers", FORECAST_ANSWERS_SQL + f""",
+counts AS (
+  SELECT count(*) AS total, count(*) FILTER (WHERE composite_rank <= floor(t * 0.1)) AS strong_buy,
+         count(*) FILTER (WHERE composite_rank >= t - floor(t * 0.1)) AS avoid
+  FROM ranked, (SELECT count(*) AS t FROM ranked))
+SELECT src, id, total, strong_buy, avoid, total - strong_buy - avoid AS neutral, DATE '{TUESDAY}' + 1 AS next_day,
+       (SELECT max(date) FROM panel) AS data_until
+FROM routed, counts WHERE route = 'next_day'""")
+def next_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The Wednesday after a Tuesday that is no holiday, and the last day of the data."""
+    calendar = trading_calendar(spark, F.lit(TUESDAY), F.date_add(F.lit(TUESDAY), 30), holiday_table(spark))
+    until = staged_panel(spark, sf).select(F.max("date")).scalar()
+    return next_day_answers(*_over_forecast(spark, sf), until, calendar, F.lit(TUESDAY))

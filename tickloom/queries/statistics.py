@@ -61,7 +61,7 @@ tail AS (SELECT * FROM numbered WHERE age <= 180 AND n_rows > 30)
 SELECT stock, date, CASE WHEN count(*) OVER w = 20 THEN round(avg(close) OVER w, 8) END AS ma
 FROM tail WINDOW w AS (PARTITION BY stock ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def moving_average(spark: SparkSession, sf: str) -> DataFrame:
-    return chart_rows(panel(spark, sf)).select("stock", "date", F.round("ma", 8).alias("ma"))
+    return chart_rows(staged_panel(spark, sf)).select("stock", "date", F.round("ma", 8).alias("ma"))
 
 
 @query("return_bars", CHART_SQL + """
@@ -69,7 +69,7 @@ SELECT stock, date, round(return_1d * 100, 6) + 0.0 AS bar_pct,
        CASE WHEN return_1d >= 0 THEN 'up' ELSE 'down' END AS bar_side,
        CASE WHEN close >= open THEN 'up' ELSE 'down' END AS candle FROM tail""")
 def return_bars(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chart_rows(panel(spark, sf)).select("stock", "date", "bar_pct", "bar_side", "candle")
+    rows = chart_rows(staged_panel(spark, sf)).select("stock", "date", "bar_pct", "bar_side", "candle")
     return rounded(rows, "bar_pct")
 
 
@@ -87,8 +87,8 @@ def average_tie_ranks(spark: SparkSession, sf: str) -> DataFrame:
     t = (table(spark, sf, "lineitem")
          .groupBy(F.col("l_suppkey").alias("stock"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"))
          .agg(F.count("*").alias("score")))
-    exact = average_tie_rank(t, ["month"], "score", "exact_place", grain=4)
-    return average_tie_rank(exact, ["month"], "score", "place", grain=4, truncate=True)
+    exact = average_tie_rank(t, ["month"], "score", "exact_place")
+    return average_tie_rank(exact, ["month"], "score", "place", truncate=True)
 
 
 @query("score_ranks", PANEL_SQL + """
@@ -120,7 +120,7 @@ def market_equity(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stock, date, round(exp(sum(ln(1 + greatest(return_1d, -0.9999))) OVER (PARTITION BY stock ORDER BY date)) - 1, 6) + 0.0 AS growth
 FROM panel WHERE return_1d IS NOT NULL""")
 def running_log_growth(spark: SparkSession, sf: str) -> DataFrame:
-    p = panel(spark, sf).filter(F.col("return_1d").isNotNull())
+    p = staged_panel(spark, sf).filter(F.col("return_1d").isNotNull())
     return rounded(running_growth(p, ["stock"], "date", "return_1d", "growth"), "growth").select("stock", "date", "growth")
 
 
@@ -128,7 +128,7 @@ def running_log_growth(spark: SparkSession, sf: str) -> DataFrame:
 SELECT period, reb_date, coalesce(next_date, DATE '9999-12-31') AS next_date FROM periods""")
 def rebalance_calendar(spark: SparkSession, sf: str) -> DataFrame:
     last = F.to_date(F.lit("9999-12-31"))
-    return (month_starts(panel(spark, sf), START)
+    return (month_starts(staged_panel(spark, sf), START)
             .withColumn("next_date", F.coalesce("next_date", last)))
 
 
@@ -153,13 +153,13 @@ def running_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("completeness", PANEL_SQL + "SELECT stock, count(return_1d) AS n_filled FROM panel GROUP BY stock")
 def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return completeness(panel(spark, sf))
+    return completeness(staged_panel(spark, sf))
 
 
 @query("most_complete_stocks", PANEL_SQL + """
 SELECT stock, count(return_1d) AS n_filled FROM panel GROUP BY stock ORDER BY 2 DESC, 1 LIMIT 40""")
 def top_complete(spark: SparkSession, sf: str) -> DataFrame:
-    return most_complete(panel(spark, sf), 40)
+    return most_complete(staged_panel(spark, sf), 40)
 
 
 @query("market_series", PANEL_SQL + MARKET_SQL + """
@@ -171,13 +171,13 @@ def market(spark: SparkSession, sf: str) -> DataFrame:
 @query("volatility_ratio", PANEL_SQL + VOL_SQL.format(source="panel") + """
 SELECT stock, n_returns, round(vol_ratio, 6) + 0.0 AS vol_ratio FROM vol""")
 def vol_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(volatility_ratio(panel(spark, sf)), "vol_ratio")
+    return rounded(volatility_ratio(staged_panel(spark, sf)), "vol_ratio")
 
 
 @query("market_beta", CALENDAR_SQL + MARKET_SQL + BETA_SQL + """
 SELECT stock, round(beta, 6) + 0.0 AS beta FROM betas""")
 def market_beta(spark: SparkSession, sf: str) -> DataFrame:
-    p = stage(panel(spark, sf), "panel")
+    p = staged_panel(spark, sf)
     return rounded(beta(p, market_series(p), positions(p)), "beta")
 
 
@@ -188,7 +188,7 @@ pairs AS (SELECT p.stock, CASE WHEN m.market IS NOT NULL THEN return_1d END AS s
 SELECT stock, round(CASE WHEN count(m) < 20 THEN 1.0 WHEN var_pop(m) < 1e-10 THEN 1.0
        ELSE covar_samp(s, m) / var_samp(m) END, 6) + 0.0 AS beta FROM pairs GROUP BY stock""")
 def market_beta_full(spark: SparkSession, sf: str) -> DataFrame:
-    p = stage(panel(spark, sf), "panel")
+    p = staged_panel(spark, sf)
     return rounded(beta(p, market_series(p), positions(p), lookback=1_000_000, unbiased=True), "beta")
 
 
@@ -234,13 +234,12 @@ def realised_returns(spark: SparkSession, sf: str) -> DataFrame:
 # ---- past blocks of twenty days stand for sampled paths --------------------------------------------
 
 def block_paths(series: DataFrame, days: int = 20) -> DataFrame:
-    """Each stock's past returns cut into whole blocks, one block per path."""
+    """Each stock's past returns cut into blocks, one block per path; the last one may be shorter."""
     at = F.row_number().over(W.partitionBy("stock").orderBy("date")) - 1
     cells = (series.filter(F.col("return_1d").isNotNull()).withColumn("at", at)
              .select("stock", F.floor(F.col("at") / days).cast("int").alias("path"), "at", "return_1d"))
     return (cells.groupBy("stock", "path")
             .agg(F.sort_array(F.collect_list(F.struct("at", "return_1d"))).alias("cells"))
-            .filter(F.size("cells") == days)
             .select("stock", "path", F.col("cells.return_1d").alias("rets")))
 
 
@@ -253,7 +252,7 @@ blocks AS (SELECT stock, i // 20 AS path, i % 20 + 1 AS day, ret,
                   count(*) OVER (PARTITION BY stock, i // 20) AS n FROM cells),
 cums AS (
   SELECT stock, path, h AS horizon, exp(sum(ln(1 + greatest(ret, -0.9999)))) - 1 AS cum
-  FROM blocks JOIN (SELECT unnest([1, 5, 20]) AS h) ON day <= h WHERE n = 20 GROUP BY ALL)
+  FROM blocks JOIN (SELECT unnest([1, 5, 20]) AS h) ON day <= h WHERE n >= h GROUP BY ALL)
 """
 
 
@@ -269,26 +268,26 @@ FROM cums GROUP BY ALL"""
 
 @query("horizon_metrics", PANEL_SQL + blocks_sql("panel") + METRICS_SQL)
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    m = horizon_metrics(block_paths(panel(spark, sf)), [1, 5, 20, 60], rounded=False)
+    m = horizon_metrics(block_paths(staged_panel(spark, sf)), [1, 5, 20, 60], rounded=False)
     return rounded(m, *[c for c in m.columns if c.endswith("_pct")])
 
 
 @query("daily_path_profile", PANEL_SQL + blocks_sql("panel") + """,
 med AS (SELECT stock, day, median(ret) AS m, quantile_cont(ret, 0.25) AS lo, quantile_cont(ret, 0.75) AS hi
-        FROM blocks WHERE n = 20 GROUP BY ALL)
+        FROM blocks GROUP BY ALL)
 SELECT stock, CAST(day AS INTEGER) AS day, round(m * 100, 6) + 0.0 AS daily_median,
        round(lo * 100, 6) + 0.0 AS daily_p25, round(hi * 100, 6) + 0.0 AS daily_p75,
        round((exp(sum(ln(1 + greatest(m, -0.9999))) OVER (PARTITION BY stock ORDER BY day)) - 1) * 100, 6) + 0.0 AS cum_return_pct
 FROM med""")
 def path_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(daily_profile(block_paths(panel(spark, sf))),
+    return rounded(daily_profile(block_paths(staged_panel(spark, sf))),
                    "daily_median", "daily_p25", "daily_p75", "cum_return_pct")
 
 
 @query("expected_path_return", PANEL_SQL + blocks_sql("panel") + """
 SELECT stock, round(avg(cum), 6) + 0.0 AS score FROM cums WHERE horizon = 5 GROUP BY stock""")
 def expected_path_return(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(expected_return(block_paths(panel(spark, sf)), 5), "score")
+    return rounded(expected_return(block_paths(staged_panel(spark, sf)), 5), "score")
 
 
 # ---- top-k -----------------------------------------------------------------------------------------
@@ -307,7 +306,7 @@ def leaders(spark: SparkSession, sf: str) -> DataFrame:
     counts = (table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("stock"))
               .agg(F.count("*").alias("n"),
                    (100.0 * F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("prob_up_1d")))
-    return average_tie_rank(counts, [], "n", "composite_rank", grain=10, truncate=True).drop("n")
+    return average_tie_rank(counts, [], "n", "composite_rank", truncate=True).drop("n")
 
 
 @query("top_and_bottom", LEADER_SQL + """
@@ -336,5 +335,5 @@ def sorted_panel(spark: SparkSession, sf: str) -> DataFrame:
 @query("distinct_counts", PANEL_SQL + """
 SELECT year(date)::INTEGER AS year, count(DISTINCT stock) AS n_stocks, count(DISTINCT date) AS n_dates FROM panel GROUP BY 1""")
 def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return panel(spark, sf).groupBy(F.year("date").alias("year")).agg(
+    return staged_panel(spark, sf).groupBy(F.year("date").alias("year")).agg(
         F.countDistinct("stock").alias("n_stocks"), F.countDistinct("date").alias("n_dates"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.queries.data import table
@@ -52,20 +50,20 @@ def stream_daily_bars(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stock, date, close, round(greatest(-1, least(1, CASE
          WHEN lag(close) OVER w = 0 THEN CASE WHEN close > 0 THEN 1.0 WHEN close < 0 THEN -1.0 END
          ELSE close / lag(close) OVER w - 1 END)), 6) + 0.0 AS return_1d
-FROM bars WHERE date <= DATE '2024-01-01' + 100 WINDOW w AS (PARTITION BY stock ORDER BY date)""".replace(
+FROM bars WINDOW w AS (PARTITION BY stock ORDER BY date)""".replace(
     "round(greatest(-1, least(1, CASE", "round(CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(-1, least(1, CASE").replace(
     "- 1 END)), 6)", "- 1 END)) END, 6)"))
 def stream_close_returns(spark: SparkSession, sf: str) -> DataFrame:
     """Bars land in three parts; the last close of every stock is carried from batch to batch."""
     landing, out = new_folder(spark, "landing"), new_folder(spark, "returns")
     bars = stage(event_bars(spark, sf).select("stock", "date", "close"), "bars")
-    cuts = [date(2024, 1, 1), date(2024, 1, 11), date(2024, 1, 21), date(9999, 1, 1)]
+    cuts = ["0001-01-01", "2024-01-11", "2024-01-21", "9999-12-31"]
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     checkpoint = new_folder(spark, "stream")
     try:
         for lo, hi in zip(cuts, cuts[1:]):
-            part = bars.filter((F.col("date") >= F.lit(lo)) & (F.col("date") < F.lit(hi)))
+            part = bars.filter((F.col("date") >= F.lit(lo).cast("date")) & (F.col("date") < F.lit(hi).cast("date")))
             part.repartition("stock").write.mode("append").parquet(landing)
             arrived = spark.readStream.schema(bars.schema).parquet(landing)
             run_to_end(stateful_returns(arrived), out, checkpoint=checkpoint)

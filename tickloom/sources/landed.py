@@ -22,9 +22,20 @@ def _instrument(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
+def _cells(line: str) -> Column:
+    """The cells of one line of CSV; a quoted cell may hold commas and doubled quotes."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col(line)), F.lit(r',(?:\s*"((?:[^"]|"")*+)"[^,]*+|([^,]*+))'), F.lit(0))
+    return F.transform(cells, lambda c: F.when(
+        c.rlike(r'^,\s*"'), F.replace(F.regexp_extract(c, r'^,\s*"((?:[^"]|"")*+)"', 1), F.lit('""'), F.lit('"'))
+    ).otherwise(F.substring(c, F.lit(2), F.length(c))))
+
+
 def read_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> DataFrame:
-    """Clean bar files ``datetime, open, high, low, close, volume, symbol``, whole folder at once."""
-    raw = spark.read.schema(BAR_FILE).csv(path, header=True, recursiveFileLookup=True)
+    """Clean bar files ``datetime, open, high, low, close, volume, symbol``, whole folder at once.
+
+    A file whose header has other names or another order fails instead of being misread.
+    """
+    raw = spark.read.schema(BAR_FILE).csv(path, header=True, recursiveFileLookup=True, enforceSchema=False)
     return raw.select(
         F.substring("datetime", 1, 10).try_cast("date").alias("date"),
         F.coalesce("symbol", _instrument(stem)).alias("stock"),
@@ -34,26 +45,28 @@ def read_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> Dat
 def read_dirty_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> DataFrame:
     """Bar files whose header differs from file to file and which may hold junk rows.
 
-    Read line by line, so that a large file is split. A header is the line that names a value
-    column; column places come from the file's own header. Names are trimmed and lower-cased,
-    ``close`` is preferred to ``adj close``, and a file without all five value columns is left
-    out. The first column is the date. Rows with no number in them are dropped.
+    Read line by line, so that a large file is split; the text is read twice, for headers and for
+    rows. Cells may be quoted. A header is the line that names a value column; column places come
+    from the file's own header, also where files in different folders share a name. Names are
+    trimmed and lower-cased, ``close`` is preferred to ``adj close``, and a file without all five
+    value columns is left out. The first column is the date. Rows with no number in them are dropped.
     """
     columns = [*PRICES, "volume"]
     lines = spark.read.text(path, recursiveFileLookup=True).select(
-        _instrument(stem).alias("stock"), F.regexp_replace("value", r"\r$", "").alias("line"))
-    names = F.transform(F.split("line", ","), lambda c: F.lower(F.trim(c)))
+        F.col("_metadata.file_path").alias("file"), _instrument(stem).alias("stock"),
+        F.regexp_replace("value", r"\r$", "").alias("line"))
+    names = F.transform(_cells("line"), lambda c: F.lower(F.trim(c)))
     place = {c: F.array_position("names", c) for c in columns}
     place["close"] = F.when(place["close"] > 0, place["close"]).otherwise(
         F.array_position("names", "adj close"))
     # one short row a file; staged, so that its size decides how it is joined
     headers = (lines.withColumn("names", names)
                .filter(F.arrays_overlap("names", F.array(*[F.lit(c) for c in columns])))
-               .groupBy("stock").agg(F.min("names").alias("names"))
-               .select("stock", *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
+               .groupBy("file").agg(F.min("names").alias("names"))
+               .select("file", *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
     for c in columns:
         headers = headers.filter(F.col(f"at_{c}") > 0)
-    cells = lines.join(stage(headers, "headers"), "stock").withColumn("cells", F.split("line", ","))
+    cells = lines.join(stage(headers, "headers"), "file").withColumn("cells", _cells("line"))
     text = cells.select(
         F.substring(F.trim(F.col("cells")[0]), 1, 10).try_cast("date").alias("date"), "stock",
         *[F.trim(F.try_element_at("cells", F.col(f"at_{c}"))).alias(c) for c in columns])

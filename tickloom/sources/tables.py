@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -43,10 +44,19 @@ def read_panel(spark: SparkSession, path: str, since: date | None = None,
     return df.drop(*PARTS)
 
 
-def read_months(spark: SparkSession, path: str, months: list[int]) -> DataFrame:
-    """Rows of the given months, each written as year * 100 + month."""
-    df = spark.read.parquet(path)
-    return df.filter((F.col("year") * 100 + F.col("month")).isin(months)).drop(*PARTS)
+def stored_panel(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table with its folder columns, or None before its first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def in_months(stored: DataFrame, months: list[int]) -> DataFrame:
+    """Rows of the given months, each written as year * 100 + month; no other folder is opened."""
+    return stored.filter((F.col("year") * 100 + F.col("month")).isin(months)).drop(*PARTS)
 
 
 def write_snapshot(df: DataFrame, path: str, as_of: date | Column) -> None:

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tickloom.operators.panel import one_row_per_day
-from tickloom.sources.tables import read_months, write_panel
-from tickloom.staging import new_folder, stage
+from tickloom.sources.tables import in_months, stored_panel, write_panel
+from tickloom.staging import new_folder
 
 
 def tick_stream(spark: SparkSession, path: str, schema: T.StructType, stock: Column, at: Column,
@@ -98,33 +98,38 @@ def stateful_returns(bars: DataFrame) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def upsert_batch(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+def upsert_batch(spark: SparkSession, path: str, arrival: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: keep-last upsert of a panel table, touching only the batch's months.
 
-    Replaying a batch changes nothing, because rows are keyed by (stock, date).
+    Replaying a batch changes nothing, because rows are keyed by (stock, date). Copies inside a
+    batch are settled by the greatest ``arrival``, a number that the batch carries, else by value.
+    Every batch is staged over the one before it: two folders for the life of a stream.
     """
+    batch_folder, merged_folder = new_folder(spark, "sink-batch"), new_folder(spark, "sink-merged")
+    extra = [arrival] if arrival else []
+
+    def staged(df: DataFrame, folder: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        news = stage(batch, "batch")
+        news = staged(batch, batch_folder)
         month = (F.year("date") * 100 + F.month("date")).alias("month")
         months = [r[0] for r in news.select(month).distinct().collect()]     # calendar months
         if not months:
             return
-        merged = news.withColumn("newness", F.lit(0))
-        if _exists(spark, path):
-            old = read_months(spark, path, months).select(*news.columns)
+        first = [-F.col(c) for c in extra]
+        merged = one_row_per_day(news, ["stock", "date"], first).drop(*extra).withColumn("newness", F.lit(0))
+        stored = stored_panel(spark, path)
+        if stored is not None:
+            old = in_months(stored, months).select(*[c for c in news.columns if c not in extra])
             merged = merged.unionByName(old.withColumn("newness", F.lit(1)))
         kept = one_row_per_day(merged, ["stock", "date"], [F.col("newness")]).drop("newness")
         # staged before the months it was read from are replaced
-        write_panel(stage(kept, "merged"), path)
+        write_panel(staged(kept, merged_folder), path)
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def run_to_end(stream: DataFrame, out: str, mode: str = "append",
                each_batch: Callable[[DataFrame, int], None] | None = None,
                checkpoint: str | None = None) -> StreamingQuery:
