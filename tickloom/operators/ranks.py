@@ -30,7 +30,7 @@ def average_tie_rank(df: DataFrame, by: list[str], score: str, into: str = "rank
         cut = values.join(cuts, by)
     else:
         cut = values.withColumn("cuts", cuts.select("cuts").scalar())
-    above_cuts = F.size(F.filter("cuts", lambda c: c >= F.col(score)))
+    above_cuts = F.coalesce(F.size(F.filter("cuts", lambda c: c >= F.col(score))), F.lit(0))    # one slot: no cuts
     cut = cut.withColumn("slot", above_cuts).drop("cuts")
     # at most ``slots`` rows of each cross-section
     above_slot = W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
