@@ -30,7 +30,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 SUPPORT, LETTERS = 3, 3
 MOST_BITS = 1
-SMALL = 1_000_000          # candidate terms that are sent to every executor; more are joined by shuffle
+SMALL = 1_000_000          # candidate terms, or hashes of texts, that are sent to every executor; more are joined by shuffle
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -85,6 +85,10 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}{%d,}+" % LETTERS), F.lit(0)))
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= SMALL else small
+
+
 def _disclosing(docs: DataFrame, base: DataFrame, key: str, text: str) -> DataFrame:
     """(kind, entity, term, removed): the terms that disclose an entity."""
     often = (base.groupBy("kind", "entity").agg(F.count_distinct("h", "line").alias("n"))
@@ -92,20 +96,21 @@ def _disclosing(docs: DataFrame, base: DataFrame, key: str, text: str) -> DataFr
     held = stage(base.join(often, ["kind", "entity"], "left_semi").select("kind", "entity", "h", "line").distinct(),
                  "entities")
     lines = (docs.select(F.col(text).alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
-             .join(held.select("h").distinct(), "h", "left_semi")
+             .join(_sent(held.select("h").distinct()), "h", "left_semi")
              .select("h", F.posexplode(F.split("t", "\n")).alias("line", "x")))
     near = (lines.join(held, ["h", "line"]).select("kind", "entity", F.xxhash64("x").alias("unit"), "x").distinct()
             .select("kind", "entity", "unit", F.explode(_words(F.col("x"))).alias("term")))
     both = stage(near.groupBy("kind", "entity", "term").agg(F.count_distinct("unit").alias("both"))
                  .where(F.col("both") >= SUPPORT), "together")
-    terms = stage(both.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if not n_terms:
+    terms = stage(both.groupBy("term").agg(F.max("both").alias("most")), "terms")
+    if terms.isEmpty():
         return both.select("kind", "entity", "term", F.lit(True).alias("removed"))
     every = (docs.select(F.explode(F.split(text, "\n")).alias("x"))
              .select(F.xxhash64("x").alias("unit"), F.explode(_words(F.col("x"))).alias("term")))
-    every = every.join(F.broadcast(terms) if n_terms <= SMALL else terms, "term", "left_semi")
-    spread = every.groupBy("term").agg(F.count_distinct("unit").alias("n"))
+    # common words are told by a sketch, which errs by 3 %, at twice the bound; the others are counted
+    about = every.join(_sent(terms), "term").groupBy("term", "most").agg(F.approx_count_distinct("unit", 0.03).alias("n"))
+    rare = stage(about.where(F.col("n") <= 2 * F.col("most") * 2 ** MOST_BITS).select("term"), "rare-terms")
+    spread = every.join(_sent(rare), "term", "left_semi").groupBy("term").agg(F.count_distinct("unit").alias("n"))
     return (both.join(spread, "term").where(F.col("both") * 2 ** MOST_BITS >= F.col("n"))
             .select("kind", "entity", "term", (F.col("both") == F.col("n")).alias("removed")))
 
@@ -117,7 +122,7 @@ def _terms(docs: DataFrame, found: DataFrame, base: DataFrame, key: str, text: s
     rows = found.select("rid", "h").join(marked.select("rid").distinct(), "rid", "left_semi")
     # a text once for each of its hashes, then its words for each row that has it
     texts = (docs.select(F.col(text).alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
-             .join(rows.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+             .join(_sent(rows.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
     words = _placed(texts.select("h", F.posexplode(_matches(F.col("t"), EMAIL + r"|\p{L}++")).alias("i", "m")), ["h"])
     words = words.select("h", "start", "end", F.lower("value").alias("term"))
     return (words.join(marked, ["h", "term"])
