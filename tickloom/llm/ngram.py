@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm.eliasfano import Trie, mapped, unquantised
 from tickloom.staging import stage
 
-CHUNK = 2_000_000            # tokens numbered together
-SHARD = 4_000_000            # tokens a shard, about
+CHUNK = 1_000_000            # tokens numbered together
+SHARD = 2_000_000            # tokens a shard, about
 DISCOUNT = 0.75
 END, BEGIN = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b" ")       # no word holds white space
 LOW = np.uint64((1 << 40) - 1)
