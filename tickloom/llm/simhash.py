@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.components import components
+from tickloom.llm.nearcopies import near_copies
 from tickloom.staging import stage
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -145,12 +146,12 @@ def hexadecimal(fp: str = "fp") -> F.Column:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: the row of each component's least key stays.
+    """``docs`` without near copies: the row of each component's least key stays.
 
     Rows that share a key count as one document, of which the row with the least text stays; rows without a key
     can't be told apart and all stay.
     """
-    dropped = (near_duplicates(docs.where(F.col(key).isNotNull()), key, text)
+    dropped = (near_copies(docs, key, text)
                .where(F.col(key) != F.col("component_id")).select(key).distinct())
     dropped = stage(dropped, "dropped")
     kept = docs.join(dropped, key, "left_anti")
