@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import corpus_pipeline
 from tickloom.llm import lines
 
 
@@ -55,3 +56,10 @@ def test_odd_rows(docs_of, odd_rows):
 
 def test_empty_table(docs_of):
     assert lines.without_boilerplate(docs_of([])).count() == 0
+
+
+def test_the_pipeline_removes_every_common_line_beside_own_ones(spark, docs_of):
+    passage = "\n".join(f"a long passage that every site carries, line {i}" for i in range(9))
+    rows = [(i, f"{passage}\n\nown {i}", "en", f"s{i}") for i in range(8)] + [(20, passage, "en", "s1"), (21, None, "en", "s2")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs_of(rows), "").collect()}
+    assert got == {i: (f"\nown {i}", len(f"\nown {i}")) for i in range(8)} | {20: (passage, len(passage)), 21: (None, None)}

@@ -4,7 +4,8 @@ Each line's sites are summarised by a HyperLogLog sketch, merged by aggregation,
 all documents costs one sketch a task. Lines whose estimate is near the threshold get an exact distinct count;
 the band around the threshold is several standard errors wide, so the result is that of exact counts. A
 document loses its boilerplate lines, unless they are most of it: then it is a copy of a document rather than
-a page around its own text, near-dedup decides on it, and it is left whole.
+a page around its own text, near-dedup decides on it, and it is left whole. The share can be lifted (``most``):
+then only a text without any line of its own is left whole.
 
 Defined cases: a null text stays null and has no lines; blank lines are never boilerplate and stay; a null site
 counts as none; an empty table gives an empty result; rows with equal key and text are treated alike, and null
@@ -57,8 +58,11 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site:
 
 
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source",
-                        min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with cleaned texts, and ``n_lines`` and ``n_removed`` of each."""
+                        min_sites: int = MIN_SITES, most: float | None = MOST) -> DataFrame:
+    """``docs`` with cleaned texts, and ``n_lines`` and ``n_removed`` of each.
+
+    With ``most`` None, every text that has a line of its own loses all boilerplate lines, whatever their share.
+    """
     common = boilerplate(docs, key, text, site, min_sites)
     marks = stage(_line_rows(docs, key, text, site).join(common, ["a", "b"], "left_semi")
                   .groupBy("k", "h").agg(F.array_sort(F.collect_set("place")).alias("marks")), "marked-lines")
@@ -69,7 +73,8 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text"
     size = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda n, i: n + F.length(
         _trimmed(F.get("__lines", i))).cast("long"))
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    cut = F.col("__marks").isNotNull() & (size(F.col("__marks")) <= MOST * size(every))
+    own = F.size("__marks") < F.size(F.filter("__lines", lambda x: _trimmed(x) != ""))
+    cut = F.col("__marks").isNotNull() & (own if most is None else size(F.col("__marks")) <= most * size(every))
     kept = F.transform(F.array_except(every, F.col("__marks")), lambda i: F.get("__lines", i))
     out = (joined.withColumn("__cut", F.coalesce(cut, F.lit(False)))
            .withColumn(text, F.when(F.col("__cut"), F.array_join(kept, "\n")).otherwise(F.col(text)))
