@@ -107,6 +107,12 @@ def test_one_of_each(docs_of, odd_rows):
     assert dict(got)[1] == "one two three four"
 
 
+def test_a_key_of_two_texts_leaves_one_of_each_group(docs_of):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(5, one), (7, one), (2, two), (5, two)]
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs_of(rows)).collect()) == [(2, two), (5, one)]
+
+
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.one_of_each(docs_of([])).count() == 0

@@ -148,13 +148,13 @@ def hexadecimal(fp: str = "fp") -> F.Column:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: the row of each component's least key stays.
 
-    Rows that share a key count as one document, of which the row with the least text stays; rows without a key
+    It is decided by row, so a key that two components share is dropped in one and can stay in the other. Rows
+    that still share a key count as one document, of which the row with the least text stays; rows without a key
     can't be told apart and all stay.
     """
-    dropped = (near_copies(docs, key, text)
-               .where(F.col(key) != F.col("component_id")).select(key).distinct())
-    dropped = stage(dropped, "dropped")
-    kept = docs.join(dropped, key, "left_anti")
+    dropped = stage(near_copies(docs, key, text).where(F.col(key) != F.col("component_id"))
+                    .select(F.col(key).alias("__k"), F.col("h").alias("__h")).distinct(), "dropped")
+    kept = docs.join(dropped, (F.col(key) == F.col("__k")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left_anti")
     repeated = stage(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key),
                      "repeated")
     columns = docs.columns
