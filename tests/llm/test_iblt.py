@@ -79,3 +79,12 @@ def test_a_small_sketch_fails_honestly():
     digests = iblt.Digests(["\n".join(f"line {i}" for i in range(200))])
     *_, whole = iblt.peel(iblt.sketch(digests.row, digests.digest, 1, iblt.CELLS))
     assert not whole[0]
+
+
+def test_likeness_does_not_jump_with_the_number_of_paragraphs(docs_of):
+    rows = []
+    for n in (7, 8, 9, 40):         # a text, followed by itself and a sentence
+        text = "\n".join(f"paragraph {i} of " + " ".join(f"word{i * 13 + j}" for j in range(12)) for i in range(n))
+        rows += [(10 * n + 1, text), (10 * n, text + "\none sentence more")]
+    near = {r.doc_id: r.near_next for r in iblt.fingerprint_edits(docs_of(rows)).collect()}
+    assert all(near[10 * n + 1] == n * 16 / (n * 16 + 4) for n in (7, 8, 9, 40))

@@ -1,10 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs (at line ends, and long ones at sentence ends; texts of few paragraphs also count
-their words). Each paragraph's digest goes into three of a fixed number of cells, as a count, an XOR of digests
+A text is cut into paragraphs (at line ends, and long ones at sentence ends), which count beside its words. Each
+digest of a paragraph or word goes into three of a fixed number of cells, as a count, an XOR of digests
 and an XOR of checks. Two versions' cells are subtracted, which leaves only the paragraphs that differ, and
-peeling recovers their digests; where it fails, both are sketched again, four times as large. The first sketch,
-in base64, is the text's fingerprint; a pair's likeness is the share of common paragraphs in all of both.
+peeling recovers their digests; where it fails, both are sketched again, four times as large (sizes that the texts'
+lengths rule out are passed over). The first sketch,
+in base64, is the text's fingerprint; a pair's likeness is the share of common paragraphs and words in all of both.
 
 All texts of an Arrow batch are sketched and peeled together in numpy.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 CELLS, GROWTH, HASHES = 15, 4, 3
-FEW = 8                       # texts of so many paragraphs or fewer also count their words
 TABLE = 1 << 21               # cells held at once
 CELL = np.dtype([("key", "<u8"), ("check", "<u4"), ("count", "<i4")])
 
 
-def paragraphs(text: str) -> list[bytes]:
+def paragraphs(text: str, words: bool = True) -> list[bytes]:
     for end in ".!?":
         text = text.replace(f"{end} ", f"{end}\n")
     found = [p for p in (x.strip() for x in text.split("\n")) if p]
-    if len(found) <= FEW:
+    if words:
         found += [f"\x1f{w}" for p in found for w in p.split()]
     return [p.encode(errors="surrogatepass") for p in found]
 
@@ -49,10 +50,11 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Digests:
-    """Paragraph digests of many texts: ``row`` (ascending) and ``digest`` side by side."""
+    """Digests of many texts' paragraphs, or of their words too: ``row`` (ascending) and ``digest`` side by side."""
 
-    def __init__(self, texts: list[str]):
-        parts = [[xxhash.xxh64_intdigest(p) for p in paragraphs(t)] for t in texts]
+    def __init__(self, texts: list[str], words: bool = False):
+        digest_of = lru_cache(1 << 17)(xxhash.xxh64_intdigest)       # words repeat
+        parts = [[digest_of(p) for p in paragraphs(t, words)] for t in texts]
         self.n = len(texts)
         self.size = np.array([len(p) for p in parts], np.int64)
         self.row = np.repeat(np.arange(self.n), self.size)
@@ -130,9 +132,11 @@ def peel(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def differences(a: Digests, b: Digests, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, digest, sign) of all paragraphs that one text of a pair has and the other lacks (+1: only in a)."""
     left = np.arange(len(pairs[0]))
+    least = np.abs(a.size[pairs[0]] - b.size[pairs[1]])         # a sketch gives back at most one digest a cell
     cells, out = CELLS, []
     while len(left):
-        failed = []
+        failed = [left[least[left] > cells]]
+        left = left[least[left] <= cells]
         for i in range(0, len(left), max(1, TABLE // cells)):
             part = left[i:i + max(1, TABLE // cells)]
             one, two = (sketch(*x.of(p[part]), len(part), cells) for x, p in ((a, pairs[0]), (b, pairs[1])))
@@ -205,7 +209,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     def answers(rows: list[tuple], more: tuple) -> pa.RecordBatch:
         texts = [r[2] for r in rows] + [more[2]]
         edited = [t[:len(t) - len(t) // 3] + u[:len(t) // 3] for t, u in zip(texts, texts[1:])]
-        own, new = Digests(texts), Digests(edited)
+        own, new = Digests(texts, words=True), Digests(edited, words=True)
         real = np.array([i for i, r in enumerate(rows) if not r[3]], np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array([rows[i][1] for i in real], keys), pa.array([len(texts[i]) for i in real], pa.int64()),
