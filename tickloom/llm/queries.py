@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tickloom.llm import arc, iblt, langid, lines, nbest, ngram, pii, quotes, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, merkle, nbest, ngram, pii, quotes, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +98,13 @@ def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ngram.score_texts(table(spark, sf, "documents"), fold(7) == 2)
 
 
+@query("op11_merkle_manifest", merkle.SQL)
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's proof under the manifest of all, and whether a tampered text is told by it."""
+    docs = table(spark, sf, "documents")
+    return merkle.proofs(docs, merkle.manifest(docs, other={"text": merkle.tampered()}))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole training corpus."""
