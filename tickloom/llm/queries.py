@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tickloom.llm import arc, iblt, langid, lines, merkle, nbest, ngram, pii, quotes, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, markov, merkle, nbest, ngram, pii, quotes, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +105,15 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.proofs(docs, merkle.manifest(docs, other={"text": merkle.tampered()}))
 
 
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document, by patterns and by models learned from all documents."""
+    docs = table(spark, sf, "documents")
+    return markov.find(docs, markov.learn(docs)).select(
+        "doc_id", *[markov.count_of(i).alias(f"n_{k}") for i, k in enumerate(markov.KINDS)],
+        F.sha2(markov.written(3), 256).alias("base_sha256"), markov.written(4).alias("spans"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole training corpus."""
