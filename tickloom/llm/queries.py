@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tickloom.llm import arc, iblt, langid, lines, markov, merkle, nbest, ngram, pii, quotes, simhash, spaced
+from tickloom.llm import arc, iblt, langid, lines, markov, merkle, nbest, ngram, pii, quotes, repair, simhash, spaced
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +115,27 @@ def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(markov.written(3), 256).alias("base_sha256"), markov.written(4).alias("spans"))
 
 
+def looped(key: int | None, words: list[bytes]) -> list[bytes]:
+    """Of every tenth key, the words from some place on go round."""
+    h = None if key is None else zlib.crc32(str(key).encode())
+    if h is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    period = words[a:a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (period * (-(-(n - a) // len(period))))[:n - a]
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's periodic runs of words, the most repeated one, and the text without repetitions."""
+    found = repair.periodic_runs(table(spark, sf, "documents"), change=looped).withColumn("top", repair.most_repeated())
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(repair.written(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole training corpus."""
