@@ -74,7 +74,7 @@ def test_pieces_do_not_matter(ratio, monkeypatch):
 
 
 def test_counts_against_plain_ones():
-    texts = ["some words, some-words and x", "token=abcdefghijklm other", "0123456789abcdef tail", "w" * 20 + " w", "ab\nc é"]
+    texts = ["some words, some-words and x", 'token="abcdefghijklm other', "0123456789abcdef tail", "w" * 20 + " w", "ab\nc é"]
     random_, ordinary = markov.sample_counts([t.encode() for t in texts])
     want = {0: plain_trigrams(["abcdefghijklm", "0123456789abcdef"]),
             1: plain_trigrams(["some", "words", "some-words", "and", "x", "token=", "other", "tail", "w", "ab", "c"])}
