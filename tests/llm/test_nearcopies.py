@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickloom.llm import nearcopies
@@ -65,3 +66,71 @@ def test_pairs_at_the_limit_share_a_key():
         a, b = np.unique(found[:81]), np.unique(found[9:])          # 72 of 90
         assert nearcopies.alike(a, b) and not nearcopies.alike(a, np.setdiff1d(b, found[40:41]))
         assert len(np.intersect1d(nearcopies.band_keys(a), nearcopies.band_keys(b)))
+
+
+def test_hashes_of_48_bits_keep_their_order():
+    found = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500, np.uint64) * np.uint64(2))
+    assert (nearcopies.unpacked(nearcopies.packed(found)) == found >> np.uint64(16)).all()
+
+
+def passages(rng, n, common, own):
+    """Texts of one common passage and own words, unlike each other but alike in most of their minima."""
+    passage = [f"p{i}" for i in range(common)]
+    return [" ".join(passage + [f"w{rng.randrange(10 ** 9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_unlike_texts_that_share_keys(spark, docs_of, monkeypatch):
+    """Two large crowds of unlike texts on one key each, near copies among them; a hub in small groups."""
+    monkeypatch.setattr(nearcopies, "GROUP", 16)
+    rng = random.Random(12)
+    crowd = passages(rng, 250, 100, 40) + passages(rng, 100, 60, 16)
+    crowd += [edited(rng, t, 0.01) for t in crowd[:40]] + [edited(rng, crowd[300], 0.005) for _ in range(20)]
+    rng.shuffle(crowd)
+    rows = list(enumerate(crowd))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect())
+    assert got == plain_kept(rows)
+
+
+def test_pairs_of_a_crowd_grow_with_it(spark, docs_of):
+    """What is rare in unlike texts tells them apart: far fewer comparisons than pairs."""
+    rng = random.Random(13)
+    texts = passages(rng, 400, 100, 40)
+    texts += [edited(rng, t, 0.01) for t in texts[:50]]
+    pairs, kept = [], nearcopies._verified
+
+    def counted(found, texts):
+        pairs.append(found.count())
+        return kept(found, texts)
+    nearcopies._verified = counted
+    try:
+        left = corpus_pipeline.near_dedup(spark, docs_of(list(enumerate(texts))), "").count()
+    finally:
+        nearcopies._verified = kept
+    assert left == len(plain_kept(list(enumerate(texts)))) and sum(pairs) < 60 * len(texts)
+
+
+def test_a_key_in_several_tasks(spark, docs_of):
+    """Hubs of one key in different tasks are paired with the least of them."""
+    members = spark.createDataFrame([(7, i, 10) for i in range(500)] + [(9, 3, 10), (9, 4, 10), (8, 5, 10)], "band long, id long, size int")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stars, split = nearcopies._starred(members)
+        links = [(r.a, r.b) for r in stars.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(links) == 500 and (3, 4) in links
+    up = list(range(500))
+    for a, b in links:
+        up[b] = a
+    assert {i for i in range(500) if up[i] == i} == {0}
+    assert {r.top for r in split.collect()} <= {0}
+
+
+def test_near_dedup_with_clashing_columns(spark, docs_of, odd_rows):
+    docs = docs_of(odd_rows, clash=True).withColumn("K_", F.lit(1)).withColumn("row", F.lit("x"))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    plain = corpus_pipeline.near_dedup(spark, docs_of(odd_rows), "")
+    as_rows = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+    assert as_rows(got) == as_rows(plain)

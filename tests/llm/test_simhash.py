@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tickloom.llm import simhash
+from tickloom.llm import nearcopies, simhash
 from tickloom.llm.components import components
 
 
@@ -99,12 +99,21 @@ def test_components_do_not_settle(spark):
 
 
 def test_one_of_each(docs_of, odd_rows):
+    """Each row by its own text: of the copies of one text the least key stays, whatever else has that key."""
     got = [(r.doc_id, r.text) for r in simhash.one_of_each(docs_of(odd_rows, clash=True)).collect()]
-    known = [r for r in odd_rows if r[0] is not None]
-    wanted = {k for k, _, c in plain_components(known) if k == c} - {k for k, _, c in plain_components(known) if k != c}
-    assert sorted(k for k, _ in got if k is not None) == sorted(wanted)
-    assert sum(k is None for k, _ in got) == 2
-    assert dict(got)[1] == "one two three four"
+    nothing = [(k, t) for k, t in odd_rows if not (t or "").split()]
+    least = {}
+    for k, t in odd_rows:
+        if k is not None and (k, t) not in nothing:
+            least[t] = min(k, least.get(t, k))
+    wanted = [(k, t) for t, k in least.items()] + [r for r in odd_rows if r[0] is None] + [(2, None)]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
+def test_unlike_texts_of_one_key_all_stay(docs_of):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abc"]
+    rows = [(5, t) for t in texts] + [(5, texts[0])]
+    assert sorted(r.text for r in simhash.one_of_each(docs_of(rows)).collect()) == sorted(texts)
 
 
 def test_a_key_of_two_texts_leaves_one_of_each_group(docs_of):
@@ -113,6 +122,15 @@ def test_a_key_of_two_texts_leaves_one_of_each_group(docs_of):
     assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs_of(rows)).collect()) == [(2, two), (5, one)]
 
 
+@pytest.mark.parametrize("hot, sent", [(2, 100), (2, 0), (1000, 100)])
+def test_large_classes_by_broadcast_or_shuffle(docs_of, odd_rows, monkeypatch, hot, sent):
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    monkeypatch.setattr(nearcopies, "SENT", sent)
+    rows = [r for r in odd_rows if r[0] is not None] + [(100 + i, "one two three four") for i in range(20)] + [(200 + i, "") for i in range(9)]
+    got = simhash.near_duplicates(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((k, c) for k, _, c in plain_components(rows))
+
+
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.one_of_each(docs_of([])).count() == 0

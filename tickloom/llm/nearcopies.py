@@ -2,24 +2,35 @@
 
 The distinct shingles of a text are its set; texts of equal sets count as one node, however many they are. Each
 set has ``BANDS`` keys, each made of ``ROWS`` minima under different hashes; two sets of likeness 0.8 share no key
-with a probability of 5e-6. Sets that share a key are compared exactly, by the shingles of their texts, in two
-rounds: first with hubs of the key, then every pair of sets of a key that are not in one component yet. So a
-large group of near copies costs a few comparisons a text, and no candidate pair that could join two components
-is left out.
+with a probability of 5e-6. Keys are sorted once, by ranges that also split a key which many sets share, and the sets
+of a key are paired with one of them, its hub, in one pass over the order. Exact comparisons, by the shingles of the
+texts, then go in three rounds:
+
+1. each set with the one hub that it shares most keys with;
+2. the other pairs with hubs whose ends are not in one component yet;
+3. where a hub's sets still lie in several components, those apart from the hub's one with all sets of that hub: the
+   shingles of these sets are ordered by their number among them, the rarest first, and sets of likeness 0.8 must
+   share one of their first shingles (a fifth of the greater set's, a ninth of the smaller one's).
+
+So a large group of near copies costs a few comparisons a text, unlike sets that share a key are told apart by what
+is rare in them, and no candidate that could join two components is left out.
+
+For a comparison a set is sent to its hub, as hashes of 48 bits; a hub of many sets is sent to several groups of them,
+so that no task has to take a whole group.
 
 Defined cases: words are compared with A-Z lower-cased; a text of fewer than five words is one shingle; null and
-empty texts have the empty set and are copies of each other; texts of any length are read whole.
+empty texts have the empty set and are copies of each other; texts of any length are read whole; rows without a key
+are left out; an empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.components import components
 from tickloom.staging import stage
@@ -27,8 +38,9 @@ from tickloom.staging import stage
 SHINGLE = 5
 LIKE, OF = 4, 5                 # the least likeness is LIKE / OF
 BANDS, ROWS = 40, 6
-SALTS = 64                      # hubs of a key
+GROUP = 2048                    # sets that are compared with one copy of their hub
 AT_ONCE = 512                   # shingles under all hashes at once
+HOT, SENT = 1000, 1_000_000     # rows from which a class counts as large; large classes that are sent to every executor
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (SHINGLE + 2 * BANDS * ROWS + ROWS,), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE, _XOR, _TIMES, _IN_BAND = np.split(_ODD, np.cumsum([SHINGLE, BANDS * ROWS, BANDS * ROWS]))
@@ -67,8 +79,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return common * OF >= LIKE * (len(a) + len(b) - common)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The upper 48 bits of ascending hashes."""
+    return (found >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h, node, size, bands): h is a hash of the row's text, node one of its set."""
+    """(k, h, node, size, bands): h is a hash of the row's text, node one of its set."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py() or b"") for t in batch.column(2)]
@@ -76,73 +99,202 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
             bands = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=[key, "h", "node", "size", "bands"])
+                 pa.array(bands, pa.list_(pa.int64()))], names=["k", "h", "node", "size", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(key, F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("t"))
-            .mapInArrow(apply, f"`{key}` {kind}, h long, node long, size int, bands array<long>"))
+    return (docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("t"))
+            .mapInArrow(apply, f"k {kind}, h long, node long, size int, bands array<long>"))
 
 
-def _sizes_fit(a: str, b: str) -> F.Column:
+def _sizes_fit(a: str, b: str) -> Column:
     return F.least(a, b) * OF >= F.greatest(a, b) * LIKE
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike."""
+def _starred(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, m, b, n, keys): each hub, the sets that share keys with it, how many, and their sizes; and (a, top): hubs of
+    one key in different tasks, with the least of them. ``members`` is (band, id, size)."""
+    names = ["band", "a", "m", "b", "n"]
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(64)(shingles)
+        last = None             # band, hub and its size at the end of the batch before
+        edge = lambda x: pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip((*x, None, None), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=names)
+        for batch in batches:
+            band, node, size = (c.to_numpy() for c in batch.columns)
+            if not len(band):
+                continue
+            new = np.concatenate([[last is None or band[0] != last[0]], band[1:] != band[:-1]])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(band)), -1))
+            hub = np.where(head >= 0, node[head], last[1] if last else 0)
+            its = np.where(head >= 0, size[head], last[2] if last else 0).astype(np.int32)
+            if last is None:
+                yield edge((band[0], node[0], size[0]))
+            last = band[-1], hub[-1], its[-1]
+            rest = ~new
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(rest.sum()), pa.int64()), pa.array(hub[rest]), pa.array(its[rest]),
+                                              pa.array(node[rest]), pa.array(size[rest])], names=names)
+        if last is not None:
+            yield edge(last)
+
+    order = ["band", "id"]
+    rows = stage(members.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .mapInArrow(apply, "band long, a long, m int, b long, n int"), "hub-pairs")
+    edges = rows.where("band IS NOT NULL").select("band", "a", "m")               # two a task
+    tops = edges.groupBy("band").agg(F.min(F.struct("a", "m")).alias("top"))
+    across = edges.join(F.broadcast(tops), "band").where("a <> top.a").select("top", "a", "m").distinct()
+    pairs = (rows.where("band IS NULL").select("a", "m", "b", "n").unionByName(
+        across.select(F.col("top.a").alias("a"), F.col("top.m").alias("m"), F.col("a").alias("b"), F.col("m").alias("n")))
+        .groupBy("a", "m", "b", "n").agg(F.count("*").alias("keys")))
+    return stage(pairs, "stars"), stage(across.select("a", F.col("top.a").alias("top")).distinct(), "split-keys")
+
+
+class _Texts:
+    """The texts of nodes, each read from one row: the least of its class."""
+
+    def __init__(self, docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text: str):
+        self.rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("t"))
+        self.classes = classes.select("id", F.col("least.k").alias("k"), F.col("least.h").alias("h"))
+        self.repeated = stage(found.groupBy("k", "h").count().where("count > 1").select("k", "h"), "repeated-rows")
+        self.any_repeated = not self.repeated.isEmpty()
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (id, payload; ids are unique) with t beside each payload."""
+        wanted = stage(wanted.join(self.classes, "id"), "wanted-texts")
+        if not self.any_repeated:
+            return self.rows.join(wanted, ["k", "h"]).select("id", "payload", "t")
+        once = self.rows.join(wanted.join(self.repeated, ["k", "h"], "left_anti"), ["k", "h"]).select("id", "payload", "t")
+        often = wanted.join(self.repeated, ["k", "h"], "left_semi")
+        texts = self.rows.join(often.select("k", "h"), ["k", "h"]).groupBy("k", "h").agg(F.min("t").alias("t"))
+        return once.unionByName(texts.join(often, ["k", "h"]).select("id", "payload", "t"))
+
+
+def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
+    """Those of ``pairs`` (a, b), which are distinct, whose sets are alike."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for to, t in zip(batch.column(0), batch.column(1)):
+                data, to = packed(shingles(t.as_py())), to.as_py()
+                for i in range(0, len(to), 64):
+                    part = to[i:i + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x["a"] for x in part], pa.int64()), pa.array([x["part"] for x in part], pa.int32()),
+                         pa.array([x["b"] for x in part], pa.int64()), pa.array([data] * len(part))],
+                        names=["a", "part", "b", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
+        for batch in batches:
+            a, part, b, data = batch.columns
+            keep = []
+            for i in range(len(batch)):
+                of = a[i].as_py(), part[i].as_py()
+                found = unpacked(data[i].as_py())
+                if of != hub:           # the hub itself comes first
+                    hub, held = of, found
+                    keep.append(False)
+                else:
+                    keep.append(alike(held, found))
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    placed = stage(pairs.join(parts, "a").withColumn("part", F.pmod(F.hash("b"), F.col("parts"))).drop("parts"), "placed-pairs")
+    to = lambda b: F.struct("a", "part", F.col(b).alias("b")).alias("to")
+    # a hub's own row, with b null, stands before those of its sets
+    sent = (placed.select(F.col("b").alias("id"), to("b")).unionByName(
+        placed.select("a", "part").distinct().withColumn("none", F.lit(None).cast("long"))
+        .select(F.col("a").alias("id"), to("none"))).groupBy("id").agg(F.collect_list("to").alias("payload")))
+    rows = (texts.of(sent).select("payload", "t").mapInArrow(send, "a long, part int, b long, data binary")
+            .repartition("a", "part").sortWithinPartitions("a", "part", "b"))
+    return stage(rows.mapInArrow(compare, "a long, b long"), "near-copies")
+
+
+def _joined(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """``pairs`` with ca and cb, the components of a and b."""
+    for end in "ab":
+        pairs = (pairs.join(of.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left")
+                 .withColumn(f"c{end}", F.coalesce("c", end)).drop("c"))
+    return pairs
+
+
+def _rare_pairs(stars: DataFrame, split: DataFrame, of: DataFrame, texts: _Texts) -> DataFrame | None:
+    """(a, b) of round 3; None where every hub's sets are in one component."""
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            yield batch.select([0, 1]).filter(pa.array(
-                [alike(of(a[i].as_py()), of(b[i].as_py())) for i in range(len(batch))], pa.bool_()))
+            for node, t in zip(batch.column(0), batch.column(1)):
+                found = shingles(t.as_py())
+                for i in range(0, len(found), 1 << 16):
+                    part = found[i:i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node.as_py())), pa.array(part.view(np.int64)),
+                                                      pa.array(np.full(len(part), len(found), np.int32))], names=["id", "s", "size"])
+
+    groups = stars.select("a", "b").unionByName(stars.join(F.broadcast(split), "a").where("top <> b")
+                                                .select(F.col("top").alias("a"), "b")).distinct()
+    groups = stage(_joined(groups, of), "hubs-components")
+    apart = groups.where("ca <> cb")
+    if apart.isEmpty():
+        return None
+    hubs = apart.select("a").distinct()
+    ends = groups.join(hubs, "a", "left_semi")
+    ends = (ends.select(F.col("b").alias("id"), F.col("cb").alias("c"), (F.col("ca") != F.col("cb")).alias("stray"))
+            .unionByName(ends.select(F.col("a").alias("id"), F.col("ca").alias("c"), F.lit(False).alias("stray")))
+            .groupBy("id", "c").agg(F.max("stray").alias("stray")))
+    rows = stage(texts.of(ends.select("id", F.struct("c", "stray").alias("payload"))).select("id", "t", "payload")
+                 .select("id", "t").mapInArrow(shingled, "id long, s long, size int"), "rare-shingles")
+    counts = rows.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("held", "s"))
+    # shingles of one set alone come first, and join nothing
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("id"))
+    first = (rows.join(counts, "s").withColumn("place", place + alone).join(ends, "id")
+             .withColumn("probed", F.col("size") - F.ceil(F.col("size") * LIKE / OF) + 1)
+             .withColumn("listed", F.col("size") - F.ceil(F.col("size") * (2 * LIKE) / (LIKE + OF)) + 1)
+             .where("place <= probed"))
+    first = stage(first.select("s", "id", "size", "c", "stray", (F.col("place") <= F.col("listed")).alias("listed")), "first-shingles")
+    named = lambda end: first.select("s", *[F.col(c).alias(f"{end}_{c}") for c in ("id", "size", "c", "stray", "listed")])
+    fits = "x_c <> y_c AND x_listed AND x_size <= y_size AND x_size * %d >= y_size * %d" % (OF, LIKE)
+    out = [named("x").where(f"{one}_stray").join(named("y"), "s").where(fits) if one == "x" else
+           named("x").join(named("y").where("y_stray"), "s").where(fits) for one in "xy"]
+    pairs = out[0].unionByName(out[1]).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+    return stage(pairs.distinct().join(stars.where(_sizes_fit("m", "n")).select("a", "b"), ["a", "b"], "left_anti"), "rare-pairs")
 
-    needed = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-              .join(classes, "node").select("node", F.col("least.k").alias("k"), F.col("least.h").alias("h")))
-    texts = stage(docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"),
-                              F.col(text).cast("binary").alias("t"))
-                  .join(needed, ["k", "h"]).groupBy("node").agg(F.min("t").alias("t")), "compared-texts")
-    return stage(pairs.join(texts.withColumnsRenamed({"node": "a", "t": "ta"}), "a")
-                 .join(texts.withColumnsRenamed({"node": "b", "t": "tb"}), "b").select("a", "b", "ta", "tb")
-                 .mapInArrow(apply, "a long, b long"), "near-copies")
+
+def with_class(rows: DataFrame, classes: DataFrame, on: str) -> DataFrame:
+    """``rows`` beside their class. ``classes`` (a written table) has ``members``, the number of rows; the rows of large
+    classes meet a broadcast of them, if these are not too many, and the others are joined by shuffle."""
+    large = classes.where(F.col("members") >= HOT)
+    if large.count() > SENT:
+        return rows.join(classes, on).drop("members")
+    few = rows.join(F.broadcast(large.select(on)), on, "left_anti").join(classes.where(F.col("members") < HOT), on)
+    return rows.join(F.broadcast(large), on).unionByName(few).drop("members")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, component_id): every row with a known key, a hash of its text, and the least key that is reachable
-    over near copies, itself included."""
+    """(key, h, component_id, keeper): every row with a known key, a hash of its text, the least key that is reachable
+    over near copies, itself included, and the least text hash of that key there."""
     docs = docs.where(F.col(key).isNotNull())
     found = stage(_sets(docs, key, text), "shingle-sets")
-    classes = stage(found.groupBy("node").agg(F.min(F.struct(F.col(key).alias("k"), "h")).alias("least"),
-                                              F.first("size").alias("size"), F.first("bands").alias("bands")),
-                    "set-classes")
-    members = classes.select("node", "size", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").count().where("count > 1").select("band")
-    members = stage(members.join(shared, "band")
-                    .withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "shared-bands")
-
-    hubs = members.groupBy("band", "salt").agg(F.min(F.struct("node", "size")).alias("hub"))
-    tops = hubs.groupBy("band").agg(F.min("hub").alias("top"))
-    to_hub = members.join(hubs, ["band", "salt"]).select(
-        F.col("hub.node").alias("a"), F.col("hub.size").alias("m"), F.col("node").alias("b"), F.col("size").alias("n"))
-    to_top = hubs.join(tops, "band").select(
-        F.col("top.node").alias("a"), F.col("top.size").alias("m"), F.col("hub.node").alias("b"), F.col("hub.size").alias("n"))
-    first = stage(to_hub.unionByName(to_top).where((F.col("a") < F.col("b")) & _sizes_fit("m", "n"))
-                  .select("a", "b").distinct(), "hub-pairs")
-    links = _verified(first, classes, docs, key, text)
-
-    joined = components(links).withColumnRenamed("component", "c")
-    members = stage(members.join(joined, "node", "left").select(
-        "band", "node", "size", F.coalesce("c", "node").alias("c")), "joined-bands")
-    groups = members.select("band", "c").distinct()
-    apart = groups.alias("x").join(groups.alias("y"), "band").where("x.c < y.c").select(
-        "band", F.col("x.c").alias("c"), F.col("y.c").alias("d"))
-    second = (apart.join(members.withColumnsRenamed({"node": "p", "size": "m"}), ["band", "c"])
-              .join(members.withColumnsRenamed({"node": "q", "size": "n", "c": "d"}), ["band", "d"])
-              .where(_sizes_fit("m", "n")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-              .distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(stage(second, "other-pairs"), classes, docs, key, text))
-
-    joined = components(links).select("node", F.col("component").alias("c"))
-    reached = (joined.join(classes, "node").groupBy("c").agg(F.min("least.k").alias("reached")))
-    by_class = (classes.join(joined.join(reached, "c"), "node", "left")
-                .select("node", F.coalesce("reached", "least.k").alias("component_id")))
-    return found.join(by_class, "node").select(key, "h", "component_id")
+    classes = stage(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), F.count("*").alias("members"),
+                                              F.first("size").alias("size"), F.first("bands").alias("bands"))
+                    .withColumn("id", F.monotonically_increasing_id()), "set-classes")
+    stars, split = _starred(classes.select(F.explode("bands").alias("band"), "id", "size"))
+    texts = _Texts(docs, found, classes, key, text)
+
+    fit = stars.where(_sizes_fit("m", "n"))
+    best = fit.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+    links = _verified(stage(best, "first-pairs"), texts)
+    of = stage(components(links), "components")
+    rest = stage(_joined(fit.select("a", "b"), of).where("ca <> cb").select("a", "b"), "second-pairs")
+    # a pair of the first round whose ends are apart was unlike
+    rest = stage(rest.join(best, ["a", "b"], "left_anti"), "other-pairs")
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(rest, texts))
+        of = stage(components(links), "components")
+    rare = _rare_pairs(stars, split, of, texts)
+    if rare is not None and not rare.isEmpty():
+        of = stage(components(links.unionByName(_verified(rare, texts))), "components")
+
+    joined = of.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    least = joined.join(classes, "id").groupBy("c").agg(F.min("least").alias("reached"))
+    by_class = stage(classes.join(joined.join(least, "c"), "id", "left")
+                     .select("node", "members", F.coalesce("reached", "least").alias("least")), "classes")
+    return with_class(found.select("k", "h", "node"), by_class, "node").select(
+        F.col("k").alias(key), "h", F.col("least.k").alias("component_id"), F.col("least.h").alias("keeper"))

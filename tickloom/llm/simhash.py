@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.nearcopies import near_copies
+from tickloom.llm.names import fresh
+from tickloom.llm.nearcopies import near_copies, with_class
 from tickloom.staging import stage
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -130,15 +131,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, fp, component_id): every row with the least key that is reachable over links, itself included."""
     found = stage(fingerprints(docs, key, text), "simhash")
     # a class of equal fingerprints; at least as many tasks as the session shuffles into, as each row is replicated
-    classes = stage(found.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
+    classes = stage(found.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("members")), "simhash-classes")
     spread = classes.repartition("fp")
     linked = components(linked_fingerprints(spread))
     linked = linked.select(F.col("node").alias("fp"), "component")
     smallest = (linked.join(classes, "fp").groupBy("component").agg(F.min("least").alias("reached")))
     reached = linked.join(smallest, "component").select("fp", "reached")
-    by_class = (classes.join(reached, "fp", "left")
-                .select("fp", F.coalesce("reached", "least").alias("component_id")))
-    return found.join(by_class, "fp").select(key, "fp", "component_id")
+    by_class = stage(classes.join(reached, "fp", "left")
+                     .select("fp", "members", F.coalesce("reached", "least").alias("component_id")), "simhash-components")
+    return with_class(found, by_class, "fp").select(key, "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp") -> F.Column:
@@ -146,19 +147,20 @@ def hexadecimal(fp: str = "fp") -> F.Column:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: the row of each component's least key stays.
+    """``docs`` without near copies: of each component the row of the least key, and there of the least text hash, stays.
 
-    It is decided by row, so a key that two components share is dropped in one and can stay in the other. Rows
-    that still share a key count as one document, of which the row with the least text stays; rows without a key
-    can't be told apart and all stay.
+    It is decided by row, so of several texts with one key each is kept or dropped by its own component. Rows of one
+    key and one text are one document, of which one row stays; rows without a key can't be told apart and all stay.
     """
-    dropped = stage(near_copies(docs, key, text).where(F.col(key) != F.col("component_id"))
-                    .select(F.col(key).alias("__k"), F.col("h").alias("__h")).distinct(), "dropped")
-    kept = docs.join(dropped, (F.col(key) == F.col("__k")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left_anti")
-    repeated = stage(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key),
-                     "repeated")
+    k, h, row = fresh(docs, "k", "h", "row")
+    near = stage(near_copies(docs, key, text).groupBy(F.col(key).alias(k), F.col("h").alias(h), "component_id", "keeper")
+                 .agg(F.count("*").alias("n")), "decided")
+    stays = (F.col(k) == F.col("component_id")) & (F.col(h) == F.col("keeper"))
+    same = (F.col(key) == F.col(k)) & (F.xxhash64(F.col(text)) == F.col(h))
+    kept = docs.join(near.where(~stays).select(k, h), same, "left_anti")
+    repeated = near.where(stays & (F.col("n") > 1)).select(k, h)
+    if repeated.isEmpty():
+        return kept
     columns = docs.columns
-    single = (kept.join(repeated, key, "left_semi").groupBy(key)
-              .agg(F.min_by(F.struct(*columns), F.struct(F.col(text).isNull(), text)).alias("row"))
-              .select("row.*"))
-    return kept.join(repeated, key, "left_anti").select(*columns).unionByName(single.select(*columns))
+    single = (kept.join(repeated, same).groupBy(k, h).agg(F.min(F.struct(*columns)).alias(row)).select(f"{row}.*"))
+    return kept.join(repeated, same, "left_anti").unionByName(single.select(*columns))
