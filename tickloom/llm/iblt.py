@@ -1,18 +1,24 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs (at line ends, and long ones at sentence ends), which count beside its words. Each
-digest of a paragraph or word goes into three of a fixed number of cells, as a count, an XOR of digests
-and an XOR of checks. Two versions' cells are subtracted, which leaves only the paragraphs that differ, and
-peeling recovers their digests; where it fails, both are sketched again, four times as large (sizes that the texts'
-lengths rule out are passed over). The first sketch,
-in base64, is the text's fingerprint; a pair's likeness is the share of common paragraphs and words in all of both.
-
-All texts of an Arrow batch are sketched and peeled together in numpy.
-
-Defined cases: a null text counts as empty; two texts without paragraphs are alike (1), one of them with a text
-is not (0); repeated paragraphs count as often as they occur; texts of any length are read whole. In
-``fingerprint_edits`` null keys come last, rows of one key are ordered by their texts, an empty table gives an
-empty result, a single row is its own successor; other columns are not read, whatever their names.
+A text is cut into units, by one rule whatever its size: at line and sentence ends, and where more than ``MOST`` words
+are left, behind words whose hash says so, so that an edit changes the units around it alone. Each digest of a unit
+goes into three of a fixed number of cells, as a count, an XOR of digests and an XOR of checks. Two versions' cells are
+subtracted, which leaves only the units that differ, and peeling recovers their digests.
+
+The first sketch, of ``CELLS`` cells in base64, is the text's fingerprint. Where it doesn't peel, sketches of the same
+size over a fourth, a sixteenth, ... of the digests (those with that many trailing zeros) tell how many differ, and both
+texts are sketched again for that number; where that fails, twice as large, until it peels. So two fingerprints alone
+give the likeness of texts that differ in a few units; beyond that the final sketches decide, whose number of cells
+is returned beside the likeness. A pair's likeness is the share of common units among the units of both.
+
+All texts of a piece of some megabytes are sketched and peeled together in numpy; a text and its edited version have
+the digests of what they share computed once.
+
+Defined cases: a null text counts as empty; two texts without units are alike (1), one of them with a text
+is not (0); repeated units count as often as they occur; white space inside a unit counts as one space; texts of any
+length are read whole. In ``fingerprint_edits`` null keys come last, rows of one key are ordered by their texts, an
+empty table gives an empty result, a single row is its own successor; keys may be of any type that has an order; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,25 +26,54 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-CELLS, GROWTH, HASHES = 15, 4, 3
+from tickloom.staging import stage
+
+CELLS, GROWTH, HASHES = 15, 2, 3
+SPARE = 1.6                   # cells a digest that is expected to differ
+STRATA = 6                    # of the first size: over all digests, a fourth, a sixteenth, ...
+LEAST, EVERY, MOST = 3, 6, 12           # words of a unit: at least, behind one of so many, at most
+PIECE = 4_000_000             # characters of texts at once
 TABLE = 1 << 21               # cells held at once
+START = 16                    # characters of a text that help to split the rows of one key
 CELL = np.dtype([("key", "<u8"), ("check", "<u4"), ("count", "<i4")])
 
 
-def paragraphs(text: str, words: bool = True) -> list[bytes]:
-    for end in ".!?":
-        text = text.replace(f"{end} ", f"{end}\n")
-    found = [p for p in (x.strip() for x in text.split("\n")) if p]
-    if words:
-        found += [f"\x1f{w}" for p in found for w in p.split()]
-    return [p.encode(errors="surrogatepass") for p in found]
+def units(text: str) -> list[bytes]:
+    data = text.encode(errors="surrogatepass")
+    for end in (b".", b"!", b"?"):
+        data = data.replace(end + b" ", end + b"\n")
+    out = []
+    for line in data.split(b"\n"):
+        words = line.split()
+        if len(words) <= MOST:
+            if words:
+                out.append(b" ".join(words))
+            continue
+        at = 0
+        for i in [i for i, w in enumerate(words) if not crc32(w) % EVERY] + [len(words) - 1]:
+            while i - at >= MOST:
+                out.append(b" ".join(words[at:at + MOST]))
+                at += MOST
+            if i - at + 1 >= LEAST or i == len(words) - 1 >= at:
+                out.append(b" ".join(words[at:i + 1]))
+                at = i + 1
+    return out
+
+
+def last_end(text: str, before: int) -> int:
+    """Where the last line or sentence of ``text[:before]`` begins: units never reach over it."""
+    return max([text.rfind("\n", 0, before) + 1, *(at + 2 for e in ".!?" if (at := text.rfind(f"{e} ", 0, before)) >= 0)])
+
+
+def digests(text: str) -> list[int]:
+    return [xxhash.xxh64_intdigest(u) for u in units(text)]
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -50,22 +85,25 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Digests:
-    """Digests of many texts' paragraphs, or of their words too: ``row`` (ascending) and ``digest`` side by side."""
+    """Digests of many texts' units: ``row`` (ascending) and ``digest`` side by side."""
 
-    def __init__(self, texts: list[str], words: bool = False):
-        digest_of = lru_cache(1 << 17)(xxhash.xxh64_intdigest)       # words repeat
-        parts = [[digest_of(p) for p in paragraphs(t, words)] for t in texts]
-        self.n = len(texts)
+    def __init__(self, parts: list[list[int]]):
+        self.n = len(parts)
         self.size = np.array([len(p) for p in parts], np.int64)
         self.row = np.repeat(np.arange(self.n), self.size)
-        digest = np.array([d for p in parts for d in p], np.uint64)
-        order = np.lexsort((digest, self.row))
-        digest = digest[order]
-        again = np.zeros(len(digest), np.int64)         # how often the paragraph came before in its text
-        if len(digest):
-            new = np.r_[True, (np.diff(self.row) != 0) | (digest[1:] != digest[:-1])]
-            again = np.arange(len(digest)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        self.digest = np.where(again > 0, _mixed(digest + again.astype(np.uint64), 77), digest)
+        self.digest = np.array([d for p in parts for d in p], np.uint64)
+        again = np.repeat([len(set(p)) < len(p) for p in parts], self.size)
+        if again.any():         # a unit's later occurrences count as others
+            at = np.flatnonzero(again)
+            at = at[np.lexsort((self.digest[at], self.row[at]))]
+            digest, row = self.digest[at], self.row[at]
+            new = np.r_[True, (np.diff(row) != 0) | (digest[1:] != digest[:-1])]
+            times = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            self.digest[at] = np.where(times > 0, _mixed(digest + times.astype(np.uint64), 77), digest)
+
+    @classmethod
+    def of_texts(cls, texts: list[str]) -> Digests:
+        return cls([digests(t) for t in texts])
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``rows``, digest) of the texts ``rows``."""
@@ -129,73 +167,97 @@ def peel(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return row, key, sign, whole
 
 
-def differences(a: Digests, b: Digests, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, digest, sign) of all paragraphs that one text of a pair has and the other lacks (+1: only in a)."""
-    left = np.arange(len(pairs[0]))
-    least = np.abs(a.size[pairs[0]] - b.size[pairs[1]])         # a sketch gives back at most one digest a cell
-    cells, out = CELLS, []
-    while len(left):
-        failed = [left[least[left] > cells]]
-        left = left[least[left] <= cells]
-        for i in range(0, len(left), max(1, TABLE // cells)):
-            part = left[i:i + max(1, TABLE // cells)]
+def strata(held: Digests) -> np.ndarray:
+    """Sketches of the first size of each text, over ever fewer of its digests."""
+    out = np.zeros((held.n, STRATA, CELLS), CELL)
+    for level in range(STRATA):
+        some = held.digest & np.uint64(4 ** level - 1) == 0
+        out[:, level] = sketch(held.row[some], held.digest[some], held.n, CELLS)
+    return out
+
+
+def differences(a: Digests, b: Digests, pairs: tuple[np.ndarray, np.ndarray], firsts: tuple[np.ndarray, np.ndarray] | None = None
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of all units that one text of a pair has and the other lacks (+1: only in a), and the
+    cells of the sketch of each pair that gave them. ``firsts`` are the strata of a and b."""
+    firsts = firsts or (strata(a), strata(b))
+    left, out = np.arange(len(pairs[0])), []
+    most = a.size[pairs[0]] + b.size[pairs[1]]
+    expected = most.astype(np.int64)
+    used = np.full(len(left), CELLS)
+    for level in range(STRATA):
+        row, digest, sign, whole = peel(subtract(firsts[0][pairs[0][left], level], firsts[1][pairs[1][left], level]))
+        if level == 0:
+            done = whole[row]
+            out.append((left[row[done]], digest[done], sign[done]))
+        else:
+            found = np.bincount(row, minlength=len(left))[whole]
+            expected[left[whole]] = np.clip(found * 4 ** level, 1, most[left[whole]])
+        left = left[~whole]
+        if level == 0:
+            rest = left
+    expected = np.maximum(expected, np.abs(a.size[pairs[0]] - b.size[pairs[1]]))
+    steps = np.ceil(np.log2(np.maximum(expected * SPARE / CELLS, 1)) / np.log2(GROWTH)).astype(np.int64).clip(1)
+    step = 0
+    while len(rest):
+        step = max(step + 1, int(steps[rest].min()))
+        cells = CELLS * GROWTH ** step
+        now, rest = rest[steps[rest] <= step], rest[steps[rest] > step]
+        failed = [rest]
+        for i in range(0, len(now), max(1, TABLE // cells)):
+            part = now[i:i + max(1, TABLE // cells)]
             one, two = (sketch(*x.of(p[part]), len(part), cells) for x, p in ((a, pairs[0]), (b, pairs[1])))
             row, digest, sign, whole = peel(subtract(one, two))
             done = whole[row]
             out.append((part[row[done]], digest[done], sign[done]))
+            used[part] = cells
             failed.append(part[~whole])
-        left = np.concatenate(failed)
-        cells *= GROWTH
-    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
-
+        rest = np.concatenate(failed)
+    return *(np.concatenate([o[i] for o in out]) for i in range(3)), used
 
-def likeness(a: Digests, b: Digests, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Common paragraphs of each pair over all of both."""
-    n = len(pairs[0])
-    pair, _, sign = differences(a, b, pairs)
-    only_a = np.bincount(pair[sign > 0], minlength=n)
-    only_b = np.bincount(pair[sign < 0], minlength=n)
-    common = a.size[pairs[0]] - only_a
-    return np.where(common + only_a + only_b == 0, 1.0, common / np.maximum(common + only_a + only_b, 1))
 
+def likeness(a: Digests, b: Digests, pairs: tuple[np.ndarray, np.ndarray],
+             firsts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Common units of each pair among the units of both, and the cells that it took."""
+    pair, _, _, used = differences(a, b, pairs, firsts)
+    total = a.size[pairs[0]] + b.size[pairs[1]]
+    differ = np.bincount(pair, minlength=len(pairs[0]))
+    return np.where(total == 0, 1.0, (total - differ) / np.maximum(total, 1)), used
 
-def encoded(digests: Digests, rows: np.ndarray) -> list[str]:
-    """The first sketch of each text as a string."""
-    out = []
-    for i in range(0, len(rows), TABLE // CELLS):
-        part = rows[i:i + TABLE // CELLS]
-        out += [base64.b64encode(t.tobytes()).decode() for t in sketch(*digests.of(part), len(part), CELLS)]
-    return out
 
-
-def _part(key: Column, bounds: list) -> Column:
-    """How many of ``bounds`` (descending) are not below the key, by binary search; null keys come last."""
-    steps = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
-    values = F.array(*[F.lit(b) for b in bounds])
-    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda low, s: F.when(
-        (low + s <= len(bounds)) & (F.get(values, low + s - 1) >= key), low + s).otherwise(low))
-    return F.when(key.isNull(), len(bounds)).otherwise(found) if bounds else F.lit(0)
+def encoded(sketches: np.ndarray) -> list[str]:
+    return [base64.b64encode(t.tobytes()).decode() for t in sketches]
 
 
 def _chained(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(part, k, t, extra) in descending order of key inside tasks; each part ends in an extra copy of the row
-    that follows its last, so that every row finds its successor next to it."""
+    that follows its last, so that every row finds its successor next to it.
+
+    The keys alone are sorted first, with the beginnings of the texts, so that the rows of one key can be split too.
+    The firsts of its tasks (a few times as many as tasks) bound the parts.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).withColumn("s", F.left("t", F.lit(START)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 3 * tasks
-    cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("c")).first()["c"] or []
-    bounds = sorted(set(cuts), reverse=True)
-    rows = rows.withColumn("part", _part(F.col("k"), bounds))
-    # the first row of each part: at most one for each bound and one more
-    tops = rows.groupBy("part").agg(F.max("k").alias("k"))
-    heads = (rows.join(F.broadcast(tops.withColumnsRenamed({"part": "p", "k": "top"})),
-                       (F.col("part") == F.col("p")) & F.col("k").eqNullSafe(F.col("top")))
-             .groupBy("part", "k").agg(F.min("t").alias("t")))
-    order = [r["part"] for r in tops.select("part").orderBy("part").collect()]
-    before = F.create_map(*[F.lit(x) for i, p in enumerate(order) for x in (p, order[i - 1])]) if order else None
-    extras = heads.withColumn("part", before[F.col("part")]) if order else heads
-    every = rows.withColumn("extra", F.lit(0)).unionByName(extras.withColumn("extra", F.lit(1)))
+    order = [F.desc_nulls_last("k"), F.asc("s")]
+    keys = stage(rows.select("k", "s").repartitionByRange(2 * tasks, *order).sortWithinPartitions(*order)
+                 .withColumn("m", F.monotonically_increasing_id()), "ordered-keys")
+    bounds = keys.groupBy(F.shiftright("m", 33)).agg(F.min_by(F.struct("k", "s"), "m").alias("first"), F.min("m").alias("m"))
+    bounds = bounds.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "first"))), lambda b: b.first).alias("bounds"))
+    bounds = stage(bounds, "bounds")
+    # the last bound that does not come behind the row, by binary search
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(2 * tasks.bit_length() + 2))])
+    not_behind = lambda b: F.when(b.k.isNull(), F.col("k").isNull() & (b.s <= F.col("s"))).otherwise(
+        F.col("k").isNull() | (b.k > F.col("k")) | ((b.k == F.col("k")) & (b.s <= F.col("s"))))
+    found = F.aggregate(steps, F.lit(0), lambda low, x: F.when(
+        (low + x < F.size("bounds")) & not_behind(F.get(F.col("bounds"), low + x)), low + x).otherwise(low))
+    placed = rows.withColumn("bounds", bounds.select("bounds").scalar()).withColumn("part", found).drop("bounds")
+    heads = bounds.select(F.posexplode("bounds").alias("part", "b"), F.size("bounds").alias("n")).select(
+        F.pmod(F.col("part") - 1, F.col("n")).alias("part"), F.col("b.k").alias("head"), F.col("b.s").alias("start"))
+    extras = (rows.join(F.broadcast(heads), F.col("k").eqNullSafe(F.col("head")) & (F.col("s") == F.col("start")))
+              .groupBy("part", "k").agg(F.min("t").alias("t")))
+    every = placed.select("part", "k", "t", F.lit(0).alias("extra")).unionByName(
+        extras.select("part", "k", "t", F.lit(1).alias("extra")))
     return (every.repartition(tasks, "part")
             .sortWithinPartitions("part", "extra", F.desc_nulls_last("k"), "t").select("part", "k", "t", "extra"))
 
@@ -206,33 +268,44 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     The edit replaces the last third of a text by as much of the beginning of the next one, in descending order
     of key; the first follows the last. The texts are shuffled once, into ranges of keys.
     """
-    def answers(rows: list[tuple], more: tuple) -> pa.RecordBatch:
+    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "cells_edited", "cells_next"]
+
+    def answers(rows: list[tuple], more: tuple, kind: pa.DataType) -> pa.RecordBatch:
         texts = [r[2] for r in rows] + [more[2]]
-        edited = [t[:len(t) - len(t) // 3] + u[:len(t) // 3] for t, u in zip(texts, texts[1:])]
-        own, new = Digests(texts, words=True), Digests(edited, words=True)
+        own, new, written = [], [], []
+        for t, u in zip(texts, texts[1:]):
+            edited = t[:len(t) - len(t) // 3] + u[:len(t) // 3]
+            at = last_end(t, len(t) - len(t) // 3)
+            same = digests(t[:at])
+            own.append(same + digests(t[at:]))
+            new.append(same + digests(edited[at:]))
+            written.append(hashlib.sha256(edited.encode()).hexdigest())
+        own, new = Digests(own + [digests(more[2])]), Digests(new)
+        first, changed = strata(own), strata(new)
         real = np.array([i for i, r in enumerate(rows) if not r[3]], np.int64)
+        near, used = likeness(own, new, (real, real), (first, changed))
+        after, used_after = likeness(own, own, (real, real + 1), (first, first))
         return pa.RecordBatch.from_arrays([
-            pa.array([rows[i][1] for i in real], keys), pa.array([len(texts[i]) for i in real], pa.int64()),
-            pa.array([hashlib.sha256(edited[i].encode()).hexdigest() for i in real]),
-            pa.array(encoded(own, real), pa.string()), pa.array(encoded(new, real), pa.string()),
-            pa.array(likeness(own, new, (real, real))), pa.array(likeness(own, own, (real, real + 1)))],
-            names=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            pa.array([rows[i][1] for i in real], kind), pa.array([len(texts[i]) for i in real], pa.int64()),
+            pa.array([written[i] for i in real], pa.string()),
+            pa.array(encoded(first[real, 0]), pa.string()), pa.array(encoded(changed[real, 0]), pa.string()),
+            pa.array(near), pa.array(after), pa.array(used, pa.int64()), pa.array(used_after, pa.int64())], names=names)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, kind = 0, None
         for batch in batches:
+            kind = batch.column(1).type
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(row)
                 size += len(row[2])
-                if size > 4_000_000 and len(held) > 1:
-                    yield answers(held[:-1], held[-1])
+                if size > PIECE and len(held) > 1:
+                    yield answers(held[:-1], held[-1], kind)
                     held, size = held[-1:], len(held[-1][2])
         if held:            # the last row of a task is an extra
-            yield answers(held, held[-1])
+            yield answers(held, held[-1], kind)
 
-    keys = {"bigint": pa.int64(), "int": pa.int32()}[docs.schema[key].dataType.simpleString()]
     kind = docs.schema[key].dataType.simpleString()
     return _chained(docs, key, text).mapInArrow(
         apply, f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-               "near_edited double, near_next double")
+               "near_edited double, near_next double, cells_edited long, cells_next long")
