@@ -166,3 +166,12 @@ def test_weekdays_ahead(spark):
             at += timedelta(days=1)
             left -= at.weekday() < 5
         assert r.then == at, (r.d, r.n)
+
+
+def test_stacked_tables_keep_days_without_any_of_the_older_stocks(spark, sf):
+    """At the smallest size some days have none of the older table's stocks."""
+    from tickloom.queries.catalogue import QUERIES
+    got = QUERIES["stack_wide_tables"](spark, sf)
+    old = [c for c in got.columns if c != "date"][:20]
+    empty = got.filter(" AND ".join(f"{c} IS NULL" for c in old))
+    assert got.count() == got.select("date").distinct().count() and empty.count() > 0

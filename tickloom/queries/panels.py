@@ -127,7 +127,10 @@ def stack_wide_tables(spark: SparkSession, sf: str) -> DataFrame:
     """An old table of twenty stocks above a new one of twenty-five."""
     p = stage(brand_panel(spark, sf), "panel")
     seam = F.to_date(F.lit("1999-01-01"))
-    older = to_wide(p.filter((F.col("date") < seam) & F.col("stock").isin(BRANDS[:20])), BRANDS[:20])
+    old = p.filter(F.col("date") < seam)
+    # the old table has a row for every day before the seam, also where none of its twenty traded
+    days = old.select("date").distinct()
+    older = days.join(to_wide(old.filter(F.col("stock").isin(BRANDS[:20])), BRANDS[:20]), "date", "left")
     both = stack_wide(older, to_wide(p.filter(F.col("date") >= seam), BRANDS))
     return both.select("date", *[r6(F.col(f"`{b}`"), c) for b, c in WIDE_COLUMNS.items()])
 
