@@ -91,8 +91,27 @@ def test_latest_snapshot(spark, tmp_path):
     path = str(tmp_path / "snap")
     for d, v in ((date(2020, 1, 1), 1), (date(2020, 1, 3), 2), (date(2020, 1, 3), 3)):
         T.write_snapshot(spark.createDataFrame([(v,)], "v int"), path, d)
-    assert [(r.v, r.as_of) for r in T.latest_snapshot(spark.read.parquet(path)).collect()] == [(3, date(2020, 1, 3))]
+    latest = T.latest_snapshot(spark, path)
+    assert [(r.v, r.as_of) for r in latest.collect()] == [(3, date(2020, 1, 3))]
     assert spark.read.parquet(path).count() == 2
+    assert {f.split("/")[-2] for f in latest.inputFiles()} == {"as_of=2020-01-03"}
+    for folder in tmp_path.glob("snap/as_of=2020-01-01"):       # the other folder is not opened
+        for f in folder.glob("*.parquet"):
+            f.write_bytes(b"broken")
+    assert T.latest_snapshot(spark, path).first().v == 3
+
+
+def test_latest_of_numbered_snapshots(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for n in (9, 10):
+        spark.createDataFrame([(n,)], "v int").write.parquet(f"{path}/run={n}")
+    assert [tuple(r) for r in T.latest_snapshot(spark, path, "run").collect()] == [(10, 10)]
+
+
+def test_no_snapshot_is_known(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    T.write_snapshot(spark.createDataFrame([(1,)], "v int"), path, F.lit(None).cast("date"))
+    assert T.latest_snapshot(spark, path).count() == 0
 
 
 def test_resume(spark, tmp_path):

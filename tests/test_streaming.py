@@ -64,7 +64,7 @@ def test_batches_leave_nothing_staged_behind(spark, tmp_path, monkeypatch):
     for n in range(4):
         rows = [("a", D0 + timedelta(days=n), float(k), k) for k in (2, 3, 1)]
         write(spark.createDataFrame(rows, BAR + ", at int"), n)
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["sink-batch", "sink-merged", "table"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["sink-batch", "table"]
     assert [r.close for r in read_panel(spark, table).orderBy("date").collect()] == [3.0] * 4
 
 

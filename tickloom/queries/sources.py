@@ -10,6 +10,7 @@ from tickloom.operators.clean import exchange_ticker, listed_instruments
 from tickloom.operators.panel import to_wide
 from tickloom.queries.data import (BARS_SQL, BRAND_PANEL_SQL, PANEL_SQL, bars, brand_panel, panel,
                                    table)
+from tickloom.plans.refresh import ingest
 from tickloom.queries.registry import query, rounded
 from tickloom.schema import PRICES
 from tickloom.sources.landed import (as_long_returns, landed_files, not_ingested, read_bar_files,
@@ -156,7 +157,23 @@ def dated_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     for day, rows in (("2001-01-31", now), ("2001-02-01", now.withColumn("n_bars", F.lit(0).cast("bigint"))),
                       ("2001-02-01", now)):
         write_snapshot(rows, folder, F.to_date(F.lit(day)))
-    return latest_snapshot(spark.read.parquet(folder))
+    return latest_snapshot(spark, folder)
+
+
+@query("ledger_ingest", BARS_SQL + f"""
+SELECT {', '.join(BARS_OUT)} FROM bars""")
+def ledger_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Files land in two waves and are taken in three runs; no file is lost or taken twice."""
+    landing, path = new_folder(spark, "waves"), new_folder(spark, "ingested")
+    rows = stage(bars(spark, sf).select(F.col("date").cast("string").alias("datetime"), *PRICES, "volume",
+                                        F.col("stock").alias("symbol")), "rows")
+    early = F.col("datetime") < "1998-01-01"
+    rows.filter(early).write.csv(f"{landing}/wave=1", header=True)
+    ingest(spark, path, landing)
+    rows.filter(~early).write.csv(f"{landing}/wave=2", header=True)
+    ingest(spark, path, landing, most=2)
+    ingest(spark, path, landing)
+    return read_panel(spark, path).select(BARS_OUT)
 
 
 @query("resume_ingest", BARS_SQL + "," + KIND_SQL + """

@@ -88,5 +88,5 @@ def stream_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     late = bars.filter(F.col("date") >= F.to_date(F.lit("2024-01-13")))
     late.withColumn("close", F.col("close") + 1).write.parquet(landing)
     arrived = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    run_to_end(arrived, folder, "append", upsert_batch(spark, folder))
+    run_to_end(arrived, folder, "append", upsert_batch(spark, folder, sink="late-bars"))
     return read_panel(spark, folder).select("stock", "date", "close")

@@ -30,7 +30,7 @@ def _cells(line: str) -> Column:
     ).otherwise(F.substring(c, F.lit(2), F.length(c))))
 
 
-def read_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> DataFrame:
+def read_bar_files(spark: SparkSession, path: str | list[str], stem: str = FILE_STEM) -> DataFrame:
     """Clean bar files ``datetime, open, high, low, close, volume, symbol``, whole folder at once.
 
     A file whose header has other names or another order fails instead of being misread.
@@ -42,7 +42,7 @@ def read_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> Dat
         *[null_if_nan(F.col(c)).alias(c) for c in [*PRICES, "volume"]])
 
 
-def read_dirty_bar_files(spark: SparkSession, path: str, stem: str = FILE_STEM) -> DataFrame:
+def read_dirty_bar_files(spark: SparkSession, path: str | list[str], stem: str = FILE_STEM) -> DataFrame:
     """Bar files whose header differs from file to file and which may hold junk rows.
 
     Read line by line, so that a large file is split; the text is read twice, for headers and for
@@ -92,5 +92,5 @@ def landed_files(spark: SparkSession, path: str) -> DataFrame:
             .select("path", "length"))
 
 
-def not_ingested(landed: DataFrame, ledger: DataFrame, on: str = "path") -> DataFrame:
+def not_ingested(landed: DataFrame, ledger: DataFrame, on: str | list[str] = "path") -> DataFrame:
     return landed.join(ledger, on, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tickloom.operators.panel import one_row_per_day
-from tickloom.sources.tables import in_months, stored_panel, write_panel
+from tickloom.sources.tables import KEEP, PanelTable, in_months
 from tickloom.staging import new_folder
 
 
@@ -98,14 +98,17 @@ def stateful_returns(bars: DataFrame) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def upsert_batch(spark: SparkSession, path: str, arrival: str | None = None) -> Callable[[DataFrame, int], None]:
+def upsert_batch(spark: SparkSession, path: str, arrival: str | None = None, sink: str | None = None,
+                 keep: int = KEEP) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: keep-last upsert of a panel table, touching only the batch's months.
 
-    Replaying a batch changes nothing, because rows are keyed by (stock, date). Copies inside a
-    batch are settled by the greatest ``arrival``, a number that the batch carries, else by value.
-    Every batch is staged over the one before it: two folders for the life of a stream.
+    All months of a batch change by one commit, so readers see the panel before the batch or after it, also where
+    the write dies between two months. Replaying a batch changes nothing, because rows are keyed by (stock, date);
+    with ``sink``, the stream's name, the table's ledger also knows the last batch and passes over what it has.
+    Copies inside a batch are settled by the greatest ``arrival``, a number that the batch carries, else by value.
+    Every batch is staged over the one before it; of the table the last ``keep`` versions stay.
     """
-    batch_folder, merged_folder = new_folder(spark, "sink-batch"), new_folder(spark, "sink-merged")
+    batch_folder = new_folder(spark, "sink-batch")
     extra = [arrival] if arrival else []
 
     def staged(df: DataFrame, folder: str) -> DataFrame:
@@ -113,6 +116,10 @@ def upsert_batch(spark: SparkSession, path: str, arrival: str | None = None) ->
         return spark.read.schema(df.schema).parquet(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        table = PanelTable(spark, path)
+        begun, state = table.log.state()
+        if sink is not None and state.get("batches", {}).get(sink, -1) >= batch_id:
+            return
         news = staged(batch, batch_folder)
         month = (F.year("date") * 100 + F.month("date")).alias("month")
         months = [r[0] for r in news.select(month).distinct().collect()]     # calendar months
@@ -120,13 +127,13 @@ def upsert_batch(spark: SparkSession, path: str, arrival: str | None = None) ->
             return
         first = [-F.col(c) for c in extra]
         merged = one_row_per_day(news, ["stock", "date"], first).drop(*extra).withColumn("newness", F.lit(0))
-        stored = stored_panel(spark, path)
+        stored = table.read(begun) if begun else None
         if stored is not None:
             old = in_months(stored, months).select(*[c for c in news.columns if c not in extra])
             merged = merged.unionByName(old.withColumn("newness", F.lit(1)))
         kept = one_row_per_day(merged, ["stock", "date"], [F.col("newness")]).drop("newness")
-        # staged before the months it was read from are replaced
-        write_panel(staged(kept, merged_folder), path)
+        table.replace(kept, begun, (sink, batch_id) if sink is not None else None)
+        table.vacuum(keep)
     return write
 
 
