@@ -115,8 +115,9 @@ def test_a_key_in_several_tasks(spark, docs_of):
     old = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        stars, split = nearcopies._starred(members)
-        links = [(r.a, r.b) for r in stars.collect()]
+        gathered, split = nearcopies._gathered(members)
+        links = [(r.a, r.b) for r in gathered.where("a <> b").collect()]
+        alone = {r.a: r["keys"] for r in gathered.where("a = b").collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert len(links) == 500 and (3, 4) in links
@@ -124,7 +125,10 @@ def test_a_key_in_several_tasks(spark, docs_of):
     for a, b in links:
         up[b] = a
     assert {i for i in range(500) if up[i] == i} == {0}
-    assert {r.top for r in split.collect()} <= {0}
+    assert {r.top for r in split.collect()} <= {0} and set(alone) >= {0, 3} and alone[3] >= 1 and 5 not in {a for a, _ in links}
+    centres, stars = nearcopies._centred(gathered)
+    assert {r.hub: r.a for r in centres.collect()}[3] == 3          # shares two keys
+    assert stars.where("a = b").count() == 0 and {0, 3} <= {r.a for r in stars.collect()} | {0}
 
 
 def test_near_dedup_with_clashing_columns(spark, docs_of, odd_rows):

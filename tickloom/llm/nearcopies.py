@@ -3,12 +3,14 @@
 The distinct shingles of a text are its set; texts of equal sets count as one node, however many they are. Each
 set has ``BANDS`` keys, each made of ``ROWS`` minima under different hashes; two sets of likeness 0.8 share no key
 with a probability of 5e-6. Keys are sorted once, by ranges that also split a key which many sets share, and the sets
-of a key are paired with one of them, its hub, in one pass over the order. Exact comparisons, by the shingles of the
+of a key are gathered around one of them in one pass over the order, its hub. The hub's place is then taken by its
+centre: the set among them that shares most of its keys with any other, as an original does with its edited copies.
+Exact comparisons, by the shingles of the
 texts, then go in three rounds:
 
-1. each set with the one hub that it shares most keys with;
-2. the other pairs with hubs whose ends are not in one component yet;
-3. where a hub's sets still lie in several components, those apart from the hub's one with all sets of that hub: the
+1. each set with the one centre that it shares most keys with;
+2. the other pairs with centres whose ends are not in one component yet;
+3. where a hub's sets still lie in several components, those apart from the centre's one with all sets of that hub: the
    shingles of these sets are ordered by their number among them, the rarest first, and sets of likeness 0.8 must
    share one of their first shingles (a fifth of the greater set's, a ninth of the smaller one's).
 
@@ -38,9 +40,9 @@ from tickloom.staging import stage
 SHINGLE = 5
 LIKE, OF = 4, 5                 # the least likeness is LIKE / OF
 BANDS, ROWS = 40, 6
-GROUP = 2048                    # sets that are compared with one copy of their hub
+GROUP = 256                     # sets that are compared with one copy of their hub
 AT_ONCE = 512                   # shingles under all hashes at once
-HOT, SENT = 1000, 1_000_000     # rows from which a class counts as large; large classes that are sent to every executor
+HOT, SENT = 1000, 1_000_000     # rows from which a class counts as large; large classes, or keys, that are sent to every executor
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (SHINGLE + 2 * BANDS * ROWS + ROWS,), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE, _XOR, _TIMES, _IN_BAND = np.split(_ODD, np.cumsum([SHINGLE, BANDS * ROWS, BANDS * ROWS]))
@@ -110,17 +112,18 @@ def _sizes_fit(a: str, b: str) -> Column:
     return F.least(a, b) * OF >= F.greatest(a, b) * LIKE
 
 
-def _starred(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, m, b, n, keys): each hub, the sets that share keys with it, how many, and their sizes; and (a, top): hubs of
-    one key in different tasks, with the least of them. ``members`` is (band, id, size)."""
-    names = ["band", "a", "m", "b", "n"]
+def _gathered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n, keys): each hub a, the sets that share keys with it (itself included) with their sizes, and how many
+    keys; and (a, top): hubs of one key in different tasks, with the least of them. ``members`` is (band, id, size)."""
+    names = ["band", "a", "b", "n"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None             # band, hub and its size at the end of the batch before
+        last = None             # band, hub, its size and whether it has another set, at the end of the batch before
         edge = lambda x: pa.RecordBatch.from_arrays(
-            [pa.array([v], t) for v, t in zip((*x, None, None), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=names)
+            [pa.array([v], t) for v, t in zip((x[0], x[1], x[1], x[2]), kinds)], names=names)
         for batch in batches:
-            band, node, size = (c.to_numpy() for c in batch.columns)
+            band, node, size = (batch.column(c).to_numpy() for c in ("band", "id", "size"))
             if not len(band):
                 continue
             new = np.concatenate([[last is None or band[0] != last[0]], band[1:] != band[:-1]])
@@ -129,23 +132,38 @@ def _starred(members: DataFrame) -> tuple[DataFrame, DataFrame]:
             its = np.where(head >= 0, size[head], last[2] if last else 0).astype(np.int32)
             if last is None:
                 yield edge((band[0], node[0], size[0]))
-            last = band[-1], hub[-1], its[-1]
             rest = ~new
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(rest.sum()), pa.int64()), pa.array(hub[rest]), pa.array(its[rest]),
-                                              pa.array(node[rest]), pa.array(size[rest])], names=names)
+            second = rest & np.concatenate([[last is not None and not last[3]], new[:-1]])      # a hub's first other set
+            last = band[-1], hub[-1], its[-1], bool(rest[-1])
+            a, b = np.concatenate([hub[rest], hub[second]]), np.concatenate([node[rest], hub[second]])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b),
+                                              pa.array(np.concatenate([size[rest], its[second]]))], names=names)
         if last is not None:
             yield edge(last)
 
     order = ["band", "id"]
     rows = stage(members.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .mapInArrow(apply, "band long, a long, m int, b long, n int"), "hub-pairs")
-    edges = rows.where("band IS NOT NULL").select("band", "a", "m")               # two a task
-    tops = edges.groupBy("band").agg(F.min(F.struct("a", "m")).alias("top"))
-    across = edges.join(F.broadcast(tops), "band").where("a <> top.a").select("top", "a", "m").distinct()
-    pairs = (rows.where("band IS NULL").select("a", "m", "b", "n").unionByName(
-        across.select(F.col("top.a").alias("a"), F.col("top.m").alias("m"), F.col("a").alias("b"), F.col("m").alias("n")))
-        .groupBy("a", "m", "b", "n").agg(F.count("*").alias("keys")))
-    return stage(pairs, "stars"), stage(across.select("a", F.col("top.a").alias("top")).distinct(), "split-keys")
+                 .mapInArrow(apply, "band long, a long, b long, n int"), "hub-pairs")
+    edges = rows.where("band IS NOT NULL").select("band", "a", "n")               # two a task
+    tops = edges.groupBy("band").agg(F.min(F.struct("a", "n")).alias("top"))
+    across = edges.join(F.broadcast(tops), "band").where("a <> top.a").select("top", "a", "n").distinct()
+    ends = across.select(F.col("top.a").alias("a"), F.col("a").alias("b"), "n").unionByName(
+        across.select("a", F.col("a").alias("b"), "n")).unionByName(
+        across.select(F.col("top.a").alias("a"), F.col("top.a").alias("b"), F.col("top.n").alias("n")))
+    pairs = (rows.where("band IS NULL").select("a", "b", "n").unionByName(ends)
+             .groupBy("a", "b", "n").agg(F.count("*").alias("keys")))
+    return stage(pairs, "gathered"), stage(across.select("a", F.col("top.a").alias("top")).distinct(), "split-keys")
+
+
+def _centred(gathered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hub, a): the centre of each hub's sets; and (a, m, b, n, keys): centres with the other sets of their hubs."""
+    shared = stage(gathered.groupBy("b").agg(F.sum("keys").alias("shared")), "shared-keys")
+    of = gathered.join(shared, "b").groupBy("a").agg(F.max_by(F.struct("b", "n"), F.struct(
+        "shared", -F.col("n"), -F.col("b"))).alias("centre"))
+    of = stage(of.select(F.col("a").alias("hub"), F.col("centre.b").alias("a"), F.col("centre.n").alias("m")), "centres")
+    stars = (gathered.withColumnRenamed("a", "hub").join(of, "hub").where("a <> b")
+             .groupBy("a", "m", "b", "n").agg(F.sum("keys").alias("keys")))
+    return of.select("hub", "a"), stage(stars, "stars")
 
 
 class _Texts:
@@ -160,11 +178,14 @@ class _Texts:
     def of(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (id, payload; ids are unique) with t beside each payload."""
         wanted = stage(wanted.join(self.classes, "id"), "wanted-texts")
+        keys = wanted.select("k", "h")
+        # few texts are told by their keys alone before they are shuffled
+        rows = self.rows.join(F.broadcast(keys), ["k", "h"], "left_semi") if keys.count() <= SENT else self.rows
         if not self.any_repeated:
-            return self.rows.join(wanted, ["k", "h"]).select("id", "payload", "t")
-        once = self.rows.join(wanted.join(self.repeated, ["k", "h"], "left_anti"), ["k", "h"]).select("id", "payload", "t")
+            return rows.join(wanted, ["k", "h"]).select("id", "payload", "t")
+        once = rows.join(wanted.join(self.repeated, ["k", "h"], "left_anti"), ["k", "h"]).select("id", "payload", "t")
         often = wanted.join(self.repeated, ["k", "h"], "left_semi")
-        texts = self.rows.join(often.select("k", "h"), ["k", "h"]).groupBy("k", "h").agg(F.min("t").alias("t"))
+        texts = rows.join(often.select("k", "h"), ["k", "h"]).groupBy("k", "h").agg(F.min("t").alias("t"))
         return once.unionByName(texts.join(often, ["k", "h"]).select("id", "payload", "t"))
 
 
@@ -216,7 +237,8 @@ def _joined(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
-def _rare_pairs(stars: DataFrame, split: DataFrame, of: DataFrame, texts: _Texts) -> DataFrame | None:
+def _rare_pairs(gathered: DataFrame, split: DataFrame, centres: DataFrame, stars: DataFrame, of: DataFrame,
+                texts: _Texts) -> DataFrame | None:
     """(a, b) of round 3; None where every hub's sets are in one component."""
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,14 +249,14 @@ def _rare_pairs(stars: DataFrame, split: DataFrame, of: DataFrame, texts: _Texts
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node.as_py())), pa.array(part.view(np.int64)),
                                                       pa.array(np.full(len(part), len(found), np.int32))], names=["id", "s", "size"])
 
-    groups = stars.select("a", "b").unionByName(stars.join(F.broadcast(split), "a").where("top <> b")
-                                                .select(F.col("top").alias("a"), "b")).distinct()
+    # a hub's sets, and those of the hubs of the same key in other tasks, against the centre
+    groups = gathered.select("a", "b").unionByName(gathered.join(F.broadcast(split), "a").select(F.col("top").alias("a"), "b"))
+    groups = groups.withColumnRenamed("a", "hub").join(centres, "hub").select("hub", "a", "b").distinct()
     groups = stage(_joined(groups, of), "hubs-components")
     apart = groups.where("ca <> cb")
     if apart.isEmpty():
         return None
-    hubs = apart.select("a").distinct()
-    ends = groups.join(hubs, "a", "left_semi")
+    ends = groups.join(stage(apart.select("hub").distinct(), "hubs-apart"), "hub", "left_semi")
     ends = (ends.select(F.col("b").alias("id"), F.col("cb").alias("c"), (F.col("ca") != F.col("cb")).alias("stray"))
             .unionByName(ends.select(F.col("a").alias("id"), F.col("ca").alias("c"), F.lit(False).alias("stray")))
             .groupBy("id", "c").agg(F.max("stray").alias("stray")))
@@ -248,13 +270,16 @@ def _rare_pairs(stars: DataFrame, split: DataFrame, of: DataFrame, texts: _Texts
              .withColumn("probed", F.col("size") - F.ceil(F.col("size") * LIKE / OF) + 1)
              .withColumn("listed", F.col("size") - F.ceil(F.col("size") * (2 * LIKE) / (LIKE + OF)) + 1)
              .where("place <= probed"))
-    first = stage(first.select("s", "id", "size", "c", "stray", (F.col("place") <= F.col("listed")).alias("listed")), "first-shingles")
-    named = lambda end: first.select("s", *[F.col(c).alias(f"{end}_{c}") for c in ("id", "size", "c", "stray", "listed")])
-    fits = "x_c <> y_c AND x_listed AND x_size <= y_size AND x_size * %d >= y_size * %d" % (OF, LIKE)
+    first = stage(first.select("s", "id", "size", "c", "stray", "place", (F.col("place") <= F.col("listed")).alias("listed")), "first-shingles")
+    named = lambda end: first.select("s", *[F.col(c).alias(f"{end}_{c}") for c in ("id", "size", "c", "stray", "place", "listed")])
+    # at the first shingle that two alike sets share, what is behind it has to be enough in both
+    fits = ("x_c <> y_c AND x_listed AND x_size <= y_size AND x_size * %d >= y_size * %d AND "
+            "(1 + least(x_size - x_place, y_size - y_place)) * %d >= (x_size + y_size) * %d" % (OF, LIKE, LIKE + OF, LIKE))
     out = [named("x").where(f"{one}_stray").join(named("y"), "s").where(fits) if one == "x" else
            named("x").join(named("y").where("y_stray"), "s").where(fits) for one in "xy"]
-    pairs = out[0].unionByName(out[1]).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    return stage(pairs.distinct().join(stars.where(_sizes_fit("m", "n")).select("a", "b"), ["a", "b"], "left_anti"), "rare-pairs")
+    pairs = out[0].unionByName(out[1]).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    known = stars.where(_sizes_fit("m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stage(pairs.join(known, ["a", "b"], "left_anti"), "rare-pairs")
 
 
 def with_class(rows: DataFrame, classes: DataFrame, on: str) -> DataFrame:
@@ -275,7 +300,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     classes = stage(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), F.count("*").alias("members"),
                                               F.first("size").alias("size"), F.first("bands").alias("bands"))
                     .withColumn("id", F.monotonically_increasing_id()), "set-classes")
-    stars, split = _starred(classes.select(F.explode("bands").alias("band"), "id", "size"))
+    gathered, split = _gathered(classes.select(F.explode("bands").alias("band"), "id", "size"))
+    centres, stars = _centred(gathered)
     texts = _Texts(docs, found, classes, key, text)
 
     fit = stars.where(_sizes_fit("m", "n"))
@@ -288,7 +314,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts))
         of = stage(components(links), "components")
-    rare = _rare_pairs(stars, split, of, texts)
+    rare = _rare_pairs(gathered, split, centres, stars, of, texts)
     if rare is not None and not rare.isEmpty():
         of = stage(components(links.unionByName(_verified(rare, texts))), "components")
 
