@@ -72,6 +72,42 @@ def test_documents(spark, sf, pieces):
     assert {r.doc_id: r.text for r in again.select("doc_id", "text").collect()} == texts
 
 
+def test_alternatives_of_documents(spark, sf, pieces):
+    """Every document's N id lists: those of ``nbest`` over the whole text (where no scores are equal), each of them
+    different, with the score that is told, and decoding to the text."""
+    score = {i: s for i, s in pieces.known.values()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = nbest.encode(docs, pieces).withColumns({f"ids{k}": nbest.alternative(k) for k in range(nbest.N_BEST + 1)})
+    seen = 0
+    for r in out.collect():
+        lists = [r[f"ids{k}"] for k in range(nbest.N_BEST)]
+        assert r[f"ids{nbest.N_BEST}"] is None and len(r.changes) == len(r.nbest_scores) - 1
+        lists = [x for x in lists if x is not None]
+        assert len(lists) == len(r.nbest_scores) and len(set(map(tuple, lists))) == len(lists)
+        for ids, said in zip(lists, r.nbest_scores):
+            assert nbest.decode_ids(pieces, ids) == r.text.replace(nbest.SPACE, " ")
+            if all(i in score for i in ids):
+                assert sum(score[i] for i in ids) == said
+        want = nbest.nbest(pieces, r.text, nbest.N_BEST + 1)
+        if len({s for s, _ in want}) == len(want):
+            assert lists == [ids for _, ids in want[:nbest.N_BEST]]
+            seen += 1
+    assert seen > 20
+
+
+def test_alternatives_of_small_texts(spark, docs_of, pieces):
+    texts = some_texts(120, 5) + ["", "x" * 300, "a" * 60]
+    out = nbest.encode(docs_of(list(enumerate(texts))), pieces, n=5).withColumns({f"ids{k}": nbest.alternative(k) for k in range(5)})
+    for r in out.collect():
+        text = texts[r.doc_id]
+        lists = [r[f"ids{k}"] for k in range(5) if r[f"ids{k}"] is not None]
+        assert len(lists) == len(r.nbest_scores) and len(set(map(tuple, lists))) == len(lists)
+        assert all(nbest.decode_ids(pieces, x) == text for x in lists)
+        if 0 < len(text) < 20:
+            paths = every_segmentation(pieces, nbest.SPACE + text.replace(" ", nbest.SPACE))
+            assert [paths[tuple(x)] for x in lists] == sorted(paths.values(), reverse=True)[:5] == r.nbest_scores
+
+
 def test_odd_rows_and_small_caches(docs_of, odd_rows, pieces, monkeypatch):
     monkeypatch.setattr(nbest, "CACHE", 5)
     monkeypatch.setattr(nbest, "CHARS", 1000)
@@ -83,7 +119,7 @@ def test_odd_rows_and_small_caches(docs_of, odd_rows, pieces, monkeypatch):
     for r in rows:
         assert r.round_trip and nbest.decode_ids(pieces, r.ids) == (r.text or "")
         if not r.text:
-            assert (r.ids, r.n_pieces, r.score, r.nbest_scores) == ([], 0, 0.0, [0.0])
+            assert (r.ids, r.n_pieces, r.score, r.nbest_scores, r.changes) == ([], 0, 0.0, [0.0], [])
 
 
 def test_one_best_and_control_pieces(docs_of, pieces):

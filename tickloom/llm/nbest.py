@@ -16,7 +16,7 @@ Defined cases: null and empty texts have no pieces, score 0 and one segmentation
 are read whole; equal scores are settled in favour of longer last pieces; fewer than N segmentations give a
 shorter list. Control pieces are never matched in a text. A U+2581 in a text decodes as a space. Repeated rows
 give repeated results, empty tables an empty one. Other columns pass unchanged, whatever their names; those of
-the result (ids, n_pieces, score, nbest_scores, round_trip) are replaced.
+the result (ids, n_pieces, score, nbest_scores, round_trip, changes) are replaced.
 """
 
 from __future__ import annotations
@@ -25,12 +25,11 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, ALONE = "▁", "\n\t\r"      # a space; white space that stands alone where no piece holds it
@@ -38,7 +37,10 @@ N_BEST = 3
 PENALTY = 10.0               # of an unknown character, below the worst score
 CACHE, CELLS, CHARS = 300_000, 200_000, 2_000_000
 WIDE = 48                    # longer words are solved one by one
-ADDED = ("ids", "n_pieces", "score", "nbest_scores", "round_trip")
+ADDED = ("ids", "n_pieces", "score", "nbest_scores", "round_trip", "changes")
+CHANGES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()),
+                                                T.StructField("ids", T.ArrayType(T.IntegerType()))])))
+SEARCHED = 50_000            # words whose segmentations a task remembers
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,36 +246,56 @@ class Solver:
         return total, total - second, paths
 
 
-def _nbest_scores(solver: Solver, numbers: np.ndarray, best: float, n: int, search) -> list[float]:
+Choice = tuple[float, tuple[tuple[int, int], ...]]      # what is lost, and (word, which of its segmentations)
+
+
+def _nbest_choices(solver: Solver, numbers: np.ndarray, n: int, search) -> list[Choice]:
+    """The ``n`` best segmentations of a text of words, by what they lose; the best itself changes no word."""
+    total: list[Choice] = [(0.0, ())]
     if n < 2 or not len(numbers):
-        return [best]
+        return total
     loss = solver.loss[numbers]
     least = np.argpartition(loss, n - 2)[:n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-    total = [0.0]
-    for i in least:
+    for i in np.sort(least).tolist():
         if np.isfinite(loss[i]):
             own = search(solver.words[numbers[i]])
-            total = heapq.nsmallest(n, (a + b for a in total for b in own))
-    return [best - t for t in total]
+            total = heapq.nsmallest(n, ((a + lost, c + ((i, j),) if j else c) for a, c in total
+                                        for j, (lost, _) in enumerate(own)), key=lambda x: x[0])
+    return total
+
+
+def _own_nbest(pieces: Pieces, word: str, best: list[int], n: int) -> list[tuple[float, list[int]]]:
+    """(loss, ids) of a word's ``n`` best segmentations, of which ``best`` is the first."""
+    found = word_nbest(pieces, word, n)
+    rest = [(found[0][0] - s, ids) for s, ids in found if ids != best]
+    return [(0.0, best), *rest[:n - 1]]
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the best segmentation's ``ids``, ``n_pieces`` and ``score``, the
-    scores of the ``n`` best, and whether the ids decode to the text."""
+    scores of the ``n`` best, whether the ids decode to the text, and the other segmentations of these (from the
+    second on) as ``changes`` against the best: from place ``at`` of its ids on, ``drop`` of them give way to others.
+    ``alternative`` has their ids."""
     shown = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     read = shown + [text] * (text not in shown)
     out = T.StructType([docs.schema[c] for c in shown] + [
         T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()),
         T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())),
-        T.StructField("round_trip", T.BooleanType())])
+        T.StructField("round_trip", T.BooleanType()), T.StructField("changes", CHANGES)])
+    changes_type = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver = Solver(pieces)
 
-        @lru_cache(50_000)
-        def search(word: str) -> tuple[float, ...]:
-            scores = [s for s, _ in word_nbest(pieces, word, n)]
-            return tuple(scores[0] - s for s in scores)
+        known: dict[str, list[tuple[float, list[int]]]] = {}
+
+        def search(word: str) -> list[tuple[float, list[int]]]:
+            if word not in known:
+                if len(known) >= SEARCHED:
+                    known.clear()
+                i = solver.number[word]
+                known[word] = _own_nbest(pieces, word, solver.ids[solver.first[i]:solver.first[i + 1]].tolist(), n)
+            return known[word]
 
         def some(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(read.index(text)).to_pylist()]
@@ -289,11 +311,19 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST,
             at = np.repeat(solver.first[flat] - np.concatenate([[0], np.cumsum(length)])[:-1], length) + np.arange(length.sum())
             ids, ends = solver.ids[at], np.concatenate([[0], np.cumsum(per_doc)])
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-            scores = [_nbest_scores(solver, x, b, n, search) for x, b in zip(numbers, best.tolist())]
+            scores, changes = [], []
+            places = np.concatenate([[0], np.cumsum(length)])
+            before = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)
+            for x, b, first in zip(numbers, best.tolist(), before.tolist()):
+                choices = _nbest_choices(solver, x, n, search)
+                scores.append([b - lost for lost, _ in choices])
+                changes.append([[{"at": int(places[first + i] - places[first]), "drop": int(length[first + i]),
+                                  "ids": search(solver.words[x[i]])[j][1]} for i, j in c] for _, c in choices[1:]])
             same = [decode_ids(pieces, ids[a:b].tolist()) == t.replace(SPACE, " ") for t, a, b in zip(texts, ends, ends[1:])]
             return pa.RecordBatch.from_arrays(
                 batch.columns[:len(shown)] + [lists, pa.array(per_doc), pa.array(best),
-                                              pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_())],
+                                              pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
+                                              pa.array(changes, changes_type)],
                 names=shown + list(ADDED))
 
         for batch in batches:
@@ -307,6 +337,16 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST,
     return docs.select(*[F.col(c) for c in read]).mapInArrow(apply, out)
 
 
+def alternative(k: int, ids: str = "ids", changes: str = "changes") -> Column:
+    """The ids of the k-th best segmentation (from 0); null if there are not so many."""
+    if k == 0:
+        return F.col(ids)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    done = F.aggregate(F.get(changes, F.lit(k - 1)), start, lambda a, c: F.struct(
+        (c["at"] + c["drop"]).alias("at"), F.concat(a["out"], F.slice(ids, a["at"] + 1, c["at"] - a["at"]), c["ids"]).alias("out")))
+    return F.concat(done["out"], F.slice(ids, done["at"] + 1, F.size(ids)))
+
+
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "text") -> DataFrame:
     """``encoded`` with the text of its ids; null ids decode to null."""
     kept = [c for c in encoded.columns if c != into]
