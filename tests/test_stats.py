@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.calendar import positions
 from tickloom.operators.performance import overview, performance
+from tickloom.operators import ranks as rank_module
 from tickloom.operators.ranks import average_tie_rank, legs, top_n
+from tickloom.staging import stage
 from tickloom.operators.regress import (coefficient_summary, fama_macbeth, period_factor_regression,
                                         period_regression)
 from tickloom.operators.stats import beta, daily_profile, factors, horizon_metrics, market_series, volatility_ratio
@@ -38,10 +40,34 @@ def test_average_tie_rank(spark):
 
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.sampled_from([-3.0, -0.011, -0.01, 0.0, 0.004, 0.006, 0.5, 7.0]) | st.floats(-2, 2), min_size=1, max_size=60),
-       st.sampled_from([1, 2, 64]))
-def test_ranks_do_not_depend_on_the_slots(spark, xs, slots):
+       st.sampled_from([1, 2, 64]), st.sampled_from([0, 1000]))
+def test_ranks_do_not_depend_on_the_ranges(spark, xs, per_task, sent):
     want = pd.Series(xs).rank(ascending=False)
-    assert ranks(spark, xs, slots=slots) == want.tolist()
+    assert ranks(spark, xs, per_task=per_task, sent=sent) == want.tolist()
+
+
+@pytest.mark.parametrize("sent", [0, 10 ** 6])
+def test_ranks_of_several_cross_sections_over_many_ranges(spark, sent, monkeypatch):
+    """One cross-section in several ranges, several in one; a score that most rows share; unknown scores."""
+    monkeypatch.setattr(rank_module, "HOT", 300)
+    rng = np.random.default_rng(3)
+    rows = [(g, int(i), None if x > 0.97 else 0.5 if x > 0.4 else round(float(x), 3)) for g, n in enumerate([900, 3, 1, 40, 700])
+            for i, x in enumerate(rng.random(n))]
+    df = spark.createDataFrame(rows, "g int, i int, x double")
+    got = average_tie_rank(df, ["g"], "x", per_task=50, sent=sent).toPandas().sort_values(["g", "i"])
+    want = got.groupby("g")["x"].rank(ascending=False)
+    assert len(got) == len(rows) and got["rank"].equals(want)
+
+
+def test_tasks_grow_with_the_distinct_scores(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(rank_module, "stage", lambda df, label: staged.setdefault(label, stage(df, label)))
+    for n in (1000, 8000):
+        staged.clear()
+        got = average_tie_rank(spark.range(n).select(F.col("id").cast("double").alias("x")), [], "x", per_task=500)
+        assert got.agg(F.sum("rank")).first()[0] == n * (n + 1) / 2
+        sizes = [r["count"] for r in staged["ranged-scores"].groupBy("_range").count().collect()]
+        assert len(sizes) == n // 500 and max(sizes) < 2000
 
 
 def test_rank_with_a_third_of_all_rows_on_one_score(spark):
@@ -194,3 +220,48 @@ def test_chart_rows(spark):
     assert len(got) == 180 and {r.stock for r in got} == {"a"}
     assert got[18].ma is None and got[19].ma == pytest.approx(np.mean(range(20, 40)))
     assert (got[0].bar_side, got[1].bar_side) == ("up", "down")
+
+
+def test_scores_by_broadcast_or_shuffle(spark, monkeypatch):
+    from tickloom.operators import transitions
+    states = spark.createDataFrame([(p, f"s{i}", i % 3) for p in (1, 2) for i in range(30)], "period int, stock string, token int")
+    growth = spark.createDataFrame([(p, t, 1 + p / 10 + t / 100) for p in (1, 2) for t in (0, 1, transitions.UNSEEN)], "period int, state int, growth double")
+    want = sorted(map(tuple, transitions.score_states(states, growth, ["period"]).collect()))
+    monkeypatch.setattr(transitions, "SENT", 0)
+    assert sorted(map(tuple, transitions.score_states(states, growth, ["period"]).collect())) == want
+
+
+def test_windows_without_replacement(spark):
+    """Different windows, the same for a seed, each about as often as any other; all of them where a batch needs all."""
+    from tickloom.operators.tokens import sample_windows
+    tokens = spark.createDataFrame([(s, D0 + timedelta(days=i), i % 5) for s, n in (("a", 60), ("b", 15), ("c", 4)) for i in range(n)],
+                                   "stock string, date date, token int")
+    drawn = lambda batch, seed: [(r.stock, r.start) for r in sample_windows(tokens, batch, 4, seed, replacement=False).collect()]
+    once = drawn(20, 1)
+    assert len(set(once)) == 20 and sorted(once) == sorted(drawn(20, 1)) and sorted(once) != sorted(drawn(20, 2))
+    assert len(set(drawn(67, 1))) == 67 and len(drawn(500, 1)) == 67
+    share = np.mean([s == "b" for seed in range(8) for s, _ in drawn(30, seed)])
+    assert abs(share - 11 / 67) < 0.1
+
+
+def test_a_resource_profile_goes_to_the_scoring_stage(spark):
+    from tickloom.operators.paths import score_with
+    asked = []
+
+    class Rows:         # stands for a DataFrame: a local session has no profiles
+        def select(self, *columns):
+            return self
+
+        def repartition(self, column):
+            asked.append("dealt")
+            return self
+
+        def mapInPandas(self, run, schema, profile=None):
+            asked.append(profile)
+            return self
+    gpu = object()
+    score_with(Rows(), lambda: None)
+    score_with(Rows(), lambda: None, profile=gpu)
+    assert asked == [None, "dealt", gpu]
+    rows = spark.createDataFrame([(f"s{i}", [i, 1]) for i in range(5)], "stock string, x array<int>")
+    assert {r.stock: r.score for r in score_with(rows, lambda: lambda x: x.sum(axis=1)).collect()} == {f"s{i}": i + 1.0 for i in range(5)}

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.scalar import LOG_FLOOR, VOCABULARY, centre_of
@@ -92,10 +93,11 @@ def sample_paths(states: DataFrame, probs: DataFrame, days: int, n_paths: int =
 
 
 def score_with(contexts: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]],
-               batch: int = 32) -> DataFrame:
+               batch: int = 32, profile: ResourceProfile | None = None) -> DataFrame:
     """Run any model over ``contexts(stock, x)``; ``load`` is called once per task.
 
-    The loaded callable maps an integer matrix (rows x block) to one score per row.
+    The loaded callable maps an integer matrix (rows x block) to one score per row. With ``profile``, a stage's
+    resources (say, a GPU a task), the model runs where these are, and its rows are dealt over such tasks first.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -106,7 +108,11 @@ def score_with(contexts: DataFrame, load: Callable[[], Callable[[np.ndarray], np
                 yield pd.DataFrame({"stock": rows["stock"].to_numpy(),
                                     "score": np.asarray(model(x), dtype=float)})
 
-    return contexts.select("stock", "x").mapInPandas(run, "stock string, score double")
+    rows = contexts.select("stock", "x")
+    if profile is None:
+        return rows.mapInPandas(run, "stock string, score double")
+    # a stage of its own, so that what is before it doesn't hold the accelerators
+    return rows.repartition("stock").mapInPandas(run, "stock string, score double", profile=profile)
 
 
 def growth_of(rets: np.ndarray) -> np.ndarray:

@@ -2,47 +2,58 @@
 
 A cross-section (all stocks of one date) grows with the table and many stocks may share one
 score, so ranks are not taken with a window over the rows. Rows are first counted per distinct
-score (combined on the map side). Percentiles of the distinct scores cut them into a fixed number
-of slots of about equal size, and a slot's place is known from the counts of the slots above it.
-The cuts only choose the slot: ranks are exact whatever they are.
+score (combined on the map side). The distinct scores are sorted once, into ranges of at most
+``PER_TASK`` of them, so the number of tasks grows with the scores; a score's place is the count
+of the ranges above it and of the scores above it in its own range. Ranges never cut a score, so
+ties are exact across their borders.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.staging import stage
 
-SLOTS = 64
+PER_TASK = 200_000              # distinct scores a range
+SENT = 1_000_000                # scores that are sent to every executor; more are joined by shuffle,
+HOT = 100_000                   # but for those that so many rows share
 
 
 def average_tie_rank(df: DataFrame, by: list[str], score: str, into: str = "rank",
-                     truncate: bool = False, slots: int = SLOTS) -> DataFrame:
+                     truncate: bool = False, per_task: int = PER_TASK, sent: int = SENT) -> DataFrame:
     """Descending rank where equal scores share their mean rank; NULL scores have none.
 
     ``truncate`` drops the half that an even number of ties leaves.
     """
-    scored = df.filter(F.col(score).isNotNull())
-    values = stage(scored.groupBy(*by, score).agg(F.count("*").alias("ties")), "scores")
-    at = [i / slots for i in range(1, slots)]
-    cuts = values.groupBy(*by).agg(F.percentile_approx(score, at, 100 * slots).alias("cuts"))
-    if by:
-        cut = values.join(cuts, by)
+    on = [*by, score]
+    values = df.filter(F.col(score).isNotNull()).groupBy(*on).agg(F.count("*").alias("_ties"))
+    values = stage(values, "scores")
+    n = values.count()
+    if n > per_task:
+        ranged = stage(values.repartitionByRange(ceil(n / per_task), *by, F.desc(score))
+                       .withColumn("_range", F.spark_partition_id()), "ranged-scores")
     else:
-        cut = values.withColumn("cuts", cuts.select("cuts").scalar())
-    above_cuts = F.coalesce(F.size(F.filter("cuts", lambda c: c >= F.col(score))), F.lit(0))    # one slot: no cuts
-    cut = cut.withColumn("slot", above_cuts).drop("cuts")
-    # at most ``slots`` rows of each cross-section
-    above_slot = W.partitionBy(*by).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    counts = (cut.groupBy(*by, "slot").agg(F.sum("ties").alias("in_slot"))
-              .select(*by, "slot", F.coalesce(F.sum("in_slot").over(above_slot), F.lit(0)).alias("above")))
-    in_slot = (W.partitionBy(*by, "slot").orderBy(F.desc(score))
-               .rowsBetween(W.unboundedPreceding, -1))
-    rank = (F.col("above") + F.coalesce(F.sum("ties").over(in_slot), F.lit(0))
-            + (F.col("ties") + 1) / 2)
+        ranged = values.withColumn("_range", F.lit(0))
+    inside = W.partitionBy(*by, "_range").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
+    places = ranged.withColumn("_above", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+    if n > per_task:
+        # one row a range, and one more for each cross-section that ends in it
+        earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        offsets = (ranged.groupBy(*by, "_range").agg(F.sum("_ties").alias("_total"))
+                   .select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")))
+        places = (places.join(stage(offsets, "range-offsets"), [*by, "_range"])
+                  .withColumn("_above", F.col("_above") + F.col("_before")))
+    rank = F.col("_above") + (F.col("_ties") + 1) / 2
     rank = F.floor(rank).cast("int") if truncate else rank.cast("double")
-    places = cut.join(counts, [*by, "slot"]).select(*by, score, rank.alias(into))
-    return df.join(places, [*by, score], "left").select(*df.columns, into)
+    places = places.select(*on, "_ties", rank.alias(into))
+    if n <= sent:
+        return df.join(F.broadcast(places.drop("_ties")), on, "left").select(*df.columns, into)
+    places = stage(places, "places")
+    hot = F.broadcast(places.filter(F.col("_ties") >= HOT).drop("_ties"))       # at most rows / HOT
+    rest = df.join(hot, on, "left_anti").join(places.filter(F.col("_ties") < HOT).drop("_ties"), on, "left")
+    return df.join(hot, on).select(*df.columns, into).unionByName(rest.select(*df.columns, into))
 
 
 def legs(scores: DataFrame, by: str = "period", score: str = "score", top_pct: float = 10) -> DataFrame:

@@ -79,20 +79,35 @@ def _drawn_windows(tokens: DataFrame, batch: int, block: int, seed: int) -> Data
             .select("draw", "stock", (F.col("u") - F.col("low")).alias("start")))
 
 
+def _distinct_windows(tokens: DataFrame, batch: int, block: int, seed: int) -> DataFrame:
+    """(draw, stock, start): the first ``batch`` different windows of a sequence of draws; all, if there are no more.
+
+    Draws that repeat a window are passed over, so every set of windows is as likely as any other. A draw costs the same
+    whatever the number of windows; only a batch of half of all windows or more is taken from their list.
+    """
+    sizes = tokens.groupBy("stock").agg((F.count("*") - block).alias("n")).filter(F.col("n") > 0)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    if total <= 2 * batch:
+        return (window_index(tokens, block).orderBy(F.xxhash64("stock", "start", F.lit(seed)), "stock", "start").limit(batch)
+                .withColumn("draw", F.monotonically_increasing_id()))
+    draws = 2 * batch
+    while True:
+        found = (_drawn_windows(tokens, draws, block, seed).groupBy("stock", "start").agg(F.min("draw").alias("draw"))
+                 .orderBy("draw").limit(batch).select("draw", "stock", "start"))
+        found = stage(found, "distinct-draws")
+        if found.count() == batch:
+            return found
+        draws *= 2
+
+
 def sample_windows(tokens: DataFrame, batch: int, block: int = BLOCK, seed: int = 0,
                    replacement: bool = True) -> DataFrame:
     """A seeded random batch of training windows, uniform over all of them.
 
-    So a stock is met in proportion to its number of windows. Without replacement the batch is
-    the first ``batch`` windows in hashed order. Either way only (stock, start) pairs are drawn
-    and the tokens are fetched for the ``batch`` chosen pairs alone.
+    So a stock is met in proportion to its number of windows. Only (stock, start) pairs are drawn, with or without
+    replacement, and the tokens are fetched for the ``batch`` chosen pairs alone.
     """
-    if replacement:
-        chosen = _drawn_windows(tokens, batch, block, seed)
-    else:
-        chosen = (window_index(tokens, block)
-                  .orderBy(F.xxhash64("stock", "start", F.lit(seed)), "stock", "start").limit(batch)
-                  .withColumn("draw", F.monotonically_increasing_id()))
+    chosen = (_drawn_windows if replacement else _distinct_windows)(tokens, batch, block, seed)
     chosen = stage(chosen, "drawn")
     held = tokens.join(chosen.select("stock").distinct(), "stock", "left_semi")
     inside = (numbered(held).join(chosen, "stock")

@@ -114,16 +114,21 @@ def expected_growth(probs: DataFrame, horizon: int, by: list[str] | None = None,
     return reached.select(*by, F.col("prev").alias("state"), "growth")
 
 
+SENT = 1_000_000          # rows of a growth table that are sent to every executor
+
+
 def score_states(states: DataFrame, growth: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds ``score`` to rows ``(by, stock, token)``: expected growth - 1, unseen tokens backed off."""
     by = by or []
     growth = stage(growth, "growth")           # read twice
     own = growth.filter(F.col("state") != UNSEEN).withColumnRenamed("state", "token")
     fallback = growth.filter(F.col("state") == UNSEEN).select(*by, F.col("growth").alias("fallback"))
-    # at most one row for each token and period; most stocks share a few tokens, so they stay where they are
-    scored = states.join(F.broadcast(own), [*by, "token"], "left")
+    # one row for each token and period; most stocks share a few tokens, so they stay where they are while there
+    # are not too many periods, and are else joined by shuffle, where the rows of a period are spread by token
+    few = growth.count() <= SENT
+    scored = states.join(F.broadcast(own) if few else own, [*by, "token"], "left")
     if by:
-        scored = scored.join(F.broadcast(fallback), by, "left")      # one row per period
+        scored = scored.join(F.broadcast(fallback), by, "left")      # one row a period
     else:
         scored = scored.withColumn("fallback", fallback.select("fallback").scalar())
     return scored.withColumn("score", F.coalesce("growth", "fallback") - 1).drop("growth", "fallback")

@@ -7,16 +7,19 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.operators.clean import exchange_ticker, listed_instruments
+from tickloom.operators.asof import asof_join
 from tickloom.operators.panel import to_wide
 from tickloom.queries.data import (BARS_SQL, BRAND_PANEL_SQL, PANEL_SQL, bars, brand_panel, panel,
-                                   table)
+                                   table, ticks)
 from tickloom.plans.refresh import ingest
 from tickloom.queries.registry import query, rounded
 from tickloom.schema import PRICES
+from tickloom.sources.bystock import read_by_stock, write_by_stock
 from tickloom.sources.landed import (as_long_returns, landed_files, not_ingested, read_bar_files,
                                      read_dirty_bar_files, read_instruments)
 from tickloom.sources.tables import (latest_snapshot, read_panel, scan, stock_history, write_panel,
                                      write_snapshot)
+from tickloom.sources.wide import matrix_rows, read_wide_files, stock_numbers, write_wide_files
 from tickloom.staging import new_folder, stage
 
 PARTITION_VALUE = r"stock=([^/]+)/"
@@ -136,6 +139,68 @@ def one_stock_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(got.select("date", "stock", "close", "return_1d"), "return_1d")
 
 
+@query("bucketed_history", PANEL_SQL + """
+SELECT date, stock, close, round(return_1d, 6) + 0.0 AS return_1d FROM panel WHERE stock = '7'""")
+def one_bucket_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the panel clustered by stock: one bucket is read."""
+    folder = new_folder(spark, "by-stock")
+    write_by_stock(panel(spark, sf), folder, buckets=16)
+    got = stock_history(read_by_stock(spark, folder), "7")
+    return rounded(got.select("date", "stock", "close", "return_1d"), "return_1d")
+
+
+@query("wide_return_files", PANEL_SQL + """
+SELECT date, stock, round(return_1d, 6) + 0.0 AS return_1d FROM panel WHERE return_1d IS NOT NULL""")
+def wide_return_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All returns written as files with a column a stock, and read back by their headers."""
+    p = stage(panel(spark, sf).filter(F.col("return_1d").isNotNull()), "panel")
+    numbers, folder = stage(stock_numbers(p), "numbers"), new_folder(spark, "wide")
+    write_wide_files(matrix_rows(p, numbers), numbers, folder, files=3)
+    return rounded(read_wide_files(spark, folder), "return_1d")
+
+
+@query("return_matrix", PANEL_SQL + """,
+numbers AS (SELECT stock, row_number() OVER (ORDER BY stock) - 1 AS no FROM (SELECT DISTINCT stock FROM panel)),
+cells AS (SELECT date, no, return_1d AS r FROM panel JOIN numbers USING (stock) WHERE return_1d IS NOT NULL)
+SELECT date, (SELECT count(*) FROM numbers)::INTEGER AS n_cells, count(*)::INTEGER AS n_known, min(no)::INTEGER AS first_known,
+       max(no)::INTEGER AS last_known, round(sum(r), 6) + 0.0 AS total, round(sum(r * no), 6) + 0.0 AS weighted
+FROM cells GROUP BY date""")
+def return_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a date with an array of all stocks' returns, and what its places hold."""
+    p = stage(panel(spark, sf), "panel")
+    rows = matrix_rows(p, stage(stock_numbers(p), "numbers")).withColumn("n_cells", F.size("values"))
+    cells = rows.select("date", "n_cells", F.posexplode("values").alias("no", "r")).filter(F.col("r").isNotNull())
+    return rounded(cells.groupBy("date", "n_cells").agg(
+        F.count("*").cast("int").alias("n_known"), F.min("no").alias("first_known"), F.max("no").alias("last_known"),
+        F.sum("r").alias("total"), F.sum(F.col("r") * F.col("no")).alias("weighted")), "total", "weighted")
+
+
+def _asof_sql(sign: str) -> str:
+    return BARS_SQL + f"""
+SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.price, t.stock, t.date, b.date AS bar_date, b.close AS bar_close
+FROM (SELECT CAST(l_suppkey AS VARCHAR) AS stock, CAST(l_shipdate AS DATE) AS date, 1000 + l_extendedprice / 1000 AS price,
+             l_orderkey, l_linenumber, l_partkey FROM lineitem) t
+ASOF LEFT JOIN bars b ON t.stock = b.stock AND t.date {sign} b.date"""
+
+
+def _asof(spark: SparkSession, sf: str, strict: bool) -> DataFrame:
+    t = ticks(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "price", "stock", "date")
+    b = bars(spark, sf).select("stock", F.col("date").alias("bar_date"), F.col("close").alias("bar_close"))
+    return asof_join(t, b, "stock", "date", strict, "bar_date")
+
+
+@query("ticks_after_bars", _asof_sql(">"))
+def ticks_after_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trade beside its stock's last bar of an earlier day."""
+    return _asof(spark, sf, strict=True)
+
+
+@query("ticks_at_bars", _asof_sql(">="))
+def ticks_at_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trade beside its stock's last bar, that of its own day included."""
+    return _asof(spark, sf, strict=False)
+
+
 @query("panel_table", PANEL_SQL + """
 SELECT date, stock, open, high, low, close, volume, round(return_1d, 6) + 0.0 AS return_1d
 FROM panel

@@ -16,7 +16,8 @@ from tickloom.plans.backtest import staged_calendar, states_at
 from tickloom.queries.data import (BARS_SQL, BETA_SQL, BRAND_PANEL_SQL, CALENDAR_SQL, MARKET_SQL, PANEL_SQL, PERIODS_SQL,
                                    START, VOL_SQL, bars, brand_panel, panel, staged_panel, table)
 from tickloom.queries.registry import query, rounded
-from tickloom.staging import stage
+from tickloom.sources.bystock import read_by_stock, write_by_stock
+from tickloom.staging import new_folder, stage
 
 @query("momentum_leaders", BRAND_PANEL_SQL + """,
 calendar AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM panel)),
@@ -174,6 +175,15 @@ def vol_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(volatility_ratio(staged_panel(spark, sf)), "vol_ratio")
 
 
+@query("bucketed_volatility", PANEL_SQL + VOL_SQL.format(source="panel") + """
+SELECT stock, n_returns, round(vol_ratio, 6) + 0.0 AS vol_ratio FROM vol""")
+def bucketed_vol_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """From the panel clustered by stock: no shuffle after the table is written."""
+    folder = new_folder(spark, "by-stock")
+    write_by_stock(staged_panel(spark, sf), folder, buckets=16)
+    return rounded(volatility_ratio(read_by_stock(spark, folder)), "vol_ratio")
+
+
 @query("market_beta", CALENDAR_SQL + MARKET_SQL + BETA_SQL + """
 SELECT stock, round(beta, 6) + 0.0 AS beta FROM betas""")
 def market_beta(spark: SparkSession, sf: str) -> DataFrame:

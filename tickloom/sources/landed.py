@@ -22,7 +22,7 @@ def _instrument(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
-def _cells(line: str) -> Column:
+def cells_of(line: str) -> Column:
     """The cells of one line of CSV; a quoted cell may hold commas and doubled quotes."""
     cells = F.regexp_extract_all(F.concat(F.lit(","), F.col(line)), F.lit(r',(?:\s*"((?:[^"]|"")*+)"[^,]*+|([^,]*+))'), F.lit(0))
     return F.transform(cells, lambda c: F.when(
@@ -55,7 +55,7 @@ def read_dirty_bar_files(spark: SparkSession, path: str | list[str], stem: str =
     lines = spark.read.text(path, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file"), _instrument(stem).alias("stock"),
         F.regexp_replace("value", r"\r$", "").alias("line"))
-    names = F.transform(_cells("line"), lambda c: F.lower(F.trim(c)))
+    names = F.transform(cells_of("line"), lambda c: F.lower(F.trim(c)))
     place = {c: F.array_position("names", c) for c in columns}
     place["close"] = F.when(place["close"] > 0, place["close"]).otherwise(
         F.array_position("names", "adj close"))
@@ -66,7 +66,7 @@ def read_dirty_bar_files(spark: SparkSession, path: str | list[str], stem: str =
                .select("file", *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
     for c in columns:
         headers = headers.filter(F.col(f"at_{c}") > 0)
-    cells = lines.join(stage(headers, "headers"), "file").withColumn("cells", _cells("line"))
+    cells = lines.join(stage(headers, "headers"), "file").withColumn("cells", cells_of("line"))
     text = cells.select(
         F.substring(F.trim(F.col("cells")[0]), 1, 10).try_cast("date").alias("date"), "stock",
         *[F.trim(F.try_element_at("cells", F.col(f"at_{c}"))).alias(c) for c in columns])
