@@ -63,3 +63,13 @@ def test_the_pipeline_removes_every_common_line_beside_own_ones(spark, docs_of):
     rows = [(i, f"{passage}\n\nown {i}", "en", f"s{i}") for i in range(8)] + [(20, passage, "en", "s1"), (21, None, "en", "s2")]
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs_of(rows), "").collect()}
     assert got == {i: (f"\nown {i}", len(f"\nown {i}")) for i in range(8)} | {20: (passage, len(passage)), 21: (None, None)}
+
+
+def test_names_do_not_clash(docs_of, odd_rows):
+    from pyspark.sql import functions as F
+    docs = docs_of(odd_rows, clash=True)
+    for c in ("__marks", "__lines", "__cut", "marks_", "LINES", "cut_", "Cut"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    out = lines.without_boilerplate(docs)
+    assert out.columns == docs.columns + ["n_lines", "n_removed"]
+    assert {r["__marks"] + r["marks_"] + r["LINES"] for r in out.collect()} == {"kept" * 3}

@@ -21,12 +21,12 @@ def plain_overlaps(docs, items):
         d = plain_words(text)
         for item, other in items:
             b = plain_words(other)
-            if len(b) < 12:
+            if not b:
                 continue
             n = min(20, len(b))
             best = max(((sum(x == y for x, y in zip(d[s:s + n], b[j:j + n])), -s) for s in range(len(d) - n + 1)
                         for j in range(len(b) - n + 1)), default=(0, 0))
-            if best[0] >= ceil(n * 0.8):
+            if best[0] >= (n if n < 12 else ceil(n * 0.8)):
                 found[i, item] = (best[0], n, -best[1])
     return found
 
@@ -68,6 +68,32 @@ def test_planted_passages(spark, docs_of, planted):
     assert found == plain_overlaps(docs, items) and len(found) > 20
 
 
+@pytest.mark.parametrize("rows_sent", [500_000, 0])
+def test_short_items_are_found_where_all_their_words_are(spark, docs_of, monkeypatch, rows_sent):
+    monkeypatch.setattr(spaced, "BROADCAST_ROWS", rows_sent)
+    rng = random.Random(4)
+    items = [(1, "Paris"), (3, "capital of France?"), (7, "what is the capital of france paris"), (11, " ".join(f"k{i}" for i in range(11))),
+             (12, " ".join(f"m{i}" for i in range(12))), (4, "paris paris"), (5, "two two two"), (6, "漢字")]
+    docs = [(0, "in PARIS, what is the capital-of France: Paris"), (1, "the capital of paris france"), (2, "what is the capital"),
+            (3, " ".join(f"k{i}" for i in range(11))), (4, " ".join(f"k{i}" for i in range(11) if i != 5)), (5, "paris paris paris two two two two"),
+            (6, " ".join(["m0"] + [f"m{i}" for i in range(12)][:10] + ["x", "y"])), (7, ""), (8, None), (9, "漢字 and")]
+    docs += [(20 + i, " ".join(rng.choices(["paris", "two", "capital", "of", "france", "k0", "what"], k=rng.randrange(40)))) for i in range(60)]
+    got = spaced.overlaps(docs_of(docs, clash=True), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): (r.matched, r.length, r.doc_start) for r in got.collect()}
+    want = {(docs[i][0], item): v for (i, item), v in plain_overlaps(docs, items).items()}
+    assert found == want and (0, 7) in found and {item for _, item in found} == {1, 3, 4, 5, 6, 7, 11} | {i for _, i in want}
+    kept = spaced.decontaminated(docs_of(docs, clash=True), spark.createDataFrame(items[:3], "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {k for k, _ in docs} - {k for k, item in want if item in (1, 3, 7)}
+
+
+def test_names_do_not_clash(spark, docs_of, odd_rows):
+    from pyspark.sql import functions as F
+    docs = docs_of(odd_rows, clash=True).withColumn("__k", F.lit(1)).withColumn("K_", F.lit(1)).withColumn("H_", F.lit(1))
+    items = spark.createDataFrame([(1, "word word word word word word word word word word word word word")], "item_id long, text string")
+    kept = spaced.decontaminated(docs, items)
+    assert kept.columns == docs.columns and kept.count() == len(odd_rows) - 1
+
+
 def test_shuffled_instead_of_broadcast(spark, docs_of, planted, monkeypatch):
     monkeypatch.setattr(spaced, "BROADCAST_ROWS", 0)
     docs, items = planted

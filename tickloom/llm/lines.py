@@ -10,7 +10,8 @@ then only a text without any line of its own is left whole.
 Defined cases: a null text stays null and has no lines; blank lines are never boilerplate and stay; a null site
 counts as none; an empty table gives an empty result; rows with equal key and text are treated alike, and null
 keys match each other. Lines are compared without the spaces, tabs and returns around them, over whole texts of
-any length. Other columns pass unchanged, whatever their names; ``n_chars``, if there, follows the text.
+any length. Other columns pass unchanged, whatever their names; ``n_chars``, if there, follows the text, and columns
+called ``n_lines`` or ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.llm.names import fresh
 from tickloom.staging import stage
 
 MIN_SITES = 5          # sites from which a line is boilerplate
@@ -66,24 +68,25 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text"
     common = boilerplate(docs, key, text, site, min_sites)
     marks = stage(_line_rows(docs, key, text, site).join(common, ["a", "b"], "left_semi")
                   .groupBy("k", "h").agg(F.array_sort(F.collect_set("place")).alias("marks")), "marked-lines")
+    own_marks, own_lines, own_cut = fresh(docs, "marks", "lines", "cut")
     joined = docs.alias("d").join(
         marks.alias("m"), F.col(f"d.{key}").eqNullSafe(F.col("m.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("m.h")),
-        "left").select("d.*", F.col("m.marks").alias("__marks"))
-    joined = joined.withColumn("__lines", _split(F.col(text)))
+        "left").select("d.*", F.col("m.marks").alias(own_marks))
+    joined = joined.withColumn(own_lines, _split(F.col(text)))
     size = lambda places: F.aggregate(places, F.lit(0).cast("long"), lambda n, i: n + F.length(
-        _trimmed(F.get("__lines", i))).cast("long"))
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    own = F.size("__marks") < F.size(F.filter("__lines", lambda x: _trimmed(x) != ""))
-    cut = F.col("__marks").isNotNull() & (own if most is None else size(F.col("__marks")) <= most * size(every))
-    kept = F.transform(F.array_except(every, F.col("__marks")), lambda i: F.get("__lines", i))
-    out = (joined.withColumn("__cut", F.coalesce(cut, F.lit(False)))
-           .withColumn(text, F.when(F.col("__cut"), F.array_join(kept, "\n")).otherwise(F.col(text)))
-           .withColumn("n_lines", F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")))
-           .withColumn("n_removed", F.when(F.col("__cut"), F.size("__marks")).otherwise(0)))
+        _trimmed(F.get(own_lines, i))).cast("long"))
+    every = F.sequence(F.lit(0), F.size(own_lines) - 1)
+    own = F.size(own_marks) < F.size(F.filter(own_lines, lambda x: _trimmed(x) != ""))
+    cut = F.col(own_marks).isNotNull() & (own if most is None else size(F.col(own_marks)) <= most * size(every))
+    kept = F.transform(F.array_except(every, F.col(own_marks)), lambda i: F.get(own_lines, i))
+    out = (joined.withColumn(own_cut, F.coalesce(cut, F.lit(False)))
+           .withColumn(text, F.when(F.col(own_cut), F.array_join(kept, "\n")).otherwise(F.col(text)))
+           .withColumn("n_lines", F.when(F.col(own_lines).isNull(), 0).otherwise(F.size(own_lines)))
+           .withColumn("n_removed", F.when(F.col(own_cut), F.size(own_marks)).otherwise(0)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length(text).cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("__lines", "__marks", "__cut")
+        out = out.withColumn("n_chars", F.when(F.col(own_cut), F.length(text).cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop(own_lines, own_marks, own_cut)
 
 
 SQL = """

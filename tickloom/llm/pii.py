@@ -3,10 +3,13 @@ r"""Personal data: patterns, and terms that reveal them, in DataFrame functions
 Base entities are e-mail addresses, IP addresses, card numbers (13 to 19 digits with a right check digit) and
 phone numbers (9 to 15 digits). Around them corpus statistics decide what else has to go. The unit is a distinct
 line of text, so that copies count once: IC(c) = -log2 p(c) is what an entity c tells, PMI(c; t) how much of it a
-term t of the same line tells already. A term whose lines leave at most ``MOST_BITS`` = IC - PMI = -log2 p(c|t) of
-uncertainty about an entity, seen with it in at least ``SUPPORT`` lines, discloses it, and is taken out of the
-documents that hold the entity: removed if nothing is left uncertain, generalised otherwise. The bounds are
-compared as whole numbers. Terms are words of ``LETTERS`` letters and more.
+term t of the same line tells already, and IC - PMI = -log2 p(c|t) what is still uncertain of the entity when the
+term is known. p(c|t) is estimated from the n lines that have both and the m lines that have the term as n / (m + 1),
+as if one more line had the term without the entity: a name seen once, beside one address, leaves one bit, a word of
+two lines of which one has the address already more. A term that leaves at most one bit (``MOST``) discloses the
+entity and is generalised in the documents that hold it; it is removed where it leaves at most log2 1.5 bits
+(``SURE``), that is, where it was met with the entity again and again and hardly elsewhere. So common words are ruled
+out by their spread. The bounds are compared as whole numbers. Terms are words of ``LETTERS`` letters and more.
 
 Positions come from the gaps between matches, summed by a window over a document's own matches; patterns
 cannot backtrack, so that long runs of one character cost linear time.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.llm.names import fresh
 from tickloom.staging import stage
 
 KINDS = ("email", "ip", "card", "phone", "removed", "generalised")
@@ -28,8 +32,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-SUPPORT, LETTERS = 3, 3
-MOST_BITS = 1
+LETTERS = 3
+MOST, SURE = (1, 2), (2, 3)         # the least p(c|t) of a term that is generalised, or removed
 SMALL = 1_000_000          # candidate terms, or hashes of texts, that are sent to every executor; more are joined by shuffle
 
 
@@ -89,30 +93,39 @@ def _sent(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= SMALL else small
 
 
+def _at_least(both: Column, spread: Column, share: tuple[int, int]) -> Column:
+    """Whether both / (spread + 1) is at least the share."""
+    return both * share[1] >= (spread + 1) * share[0]
+
+
 def _disclosing(docs: DataFrame, base: DataFrame, key: str, text: str) -> DataFrame:
     """(kind, entity, term, removed): the terms that disclose an entity."""
-    often = (base.groupBy("kind", "entity").agg(F.count_distinct("h", "line").alias("n"))
-             .where(F.col("n") >= SUPPORT).select("kind", "entity"))
-    held = stage(base.join(often, ["kind", "entity"], "left_semi").select("kind", "entity", "h", "line").distinct(),
-                 "entities")
+    held = stage(base.select("kind", "entity", "h", "line").distinct(), "entities")
     lines = (docs.select(F.col(text).alias("t")).where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
-             .join(_sent(held.select("h").distinct()), "h", "left_semi")
+             .join(_sent(held.select("h").distinct()), "h", "left_semi").dropDuplicates(["h"])
              .select("h", F.posexplode(F.split("t", "\n")).alias("line", "x")))
     near = (lines.join(held, ["h", "line"]).select("kind", "entity", F.xxhash64("x").alias("unit"), "x").distinct()
-            .select("kind", "entity", "unit", F.explode(_words(F.col("x"))).alias("term")))
-    both = stage(near.groupBy("kind", "entity", "term").agg(F.count_distinct("unit").alias("both"))
-                 .where(F.col("both") >= SUPPORT), "together")
+            .select("kind", "entity", F.explode(_words(F.col("x"))).alias("term")))
+    both = stage(near.groupBy("kind", "entity", "term").agg(F.count("*").alias("both")), "together")
     terms = stage(both.groupBy("term").agg(F.max("both").alias("most")), "terms")
     if terms.isEmpty():
         return both.select("kind", "entity", "term", F.lit(True).alias("removed"))
     every = (docs.select(F.explode(F.split(text, "\n")).alias("x"))
              .select(F.xxhash64("x").alias("unit"), F.explode(_words(F.col("x"))).alias("term")))
-    # common words are told by a sketch, which errs by 3 %, at twice the bound; the others are counted
-    about = every.join(_sent(terms), "term").groupBy("term", "most").agg(F.approx_count_distinct("unit", 0.03).alias("n"))
-    rare = stage(about.where(F.col("n") <= 2 * F.col("most") * 2 ** MOST_BITS).select("term"), "rare-terms")
-    spread = every.join(_sent(rare), "term", "left_semi").groupBy("term").agg(F.count_distinct("unit").alias("n"))
-    return (both.join(spread, "term").where(F.col("both") * 2 ** MOST_BITS >= F.col("n"))
-            .select("kind", "entity", "term", (F.col("both") == F.col("n")).alias("removed")))
+    # a term whose least and greatest lines are the same has one line; that is all that a term met once needs
+    asked = every.join(F.broadcast(terms.select("term")), "term", "left_semi") if terms.count() <= SMALL else every
+    ends = asked.groupBy("term").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    ends = stage(ends.join(terms, "term"), "term-lines")
+    spread = ends.where("low = high").select("term", F.lit(1).cast("long").alias("n"))
+    again = stage(ends.where("low <> high AND most > 1").select("term", "most"), "repeated-terms")
+    if not again.isEmpty():
+        # common words are told by a sketch, which errs by 3 %, at twice the bound; the others are counted
+        about = every.join(_sent(again), "term").groupBy("term", "most").agg(F.approx_count_distinct("unit", 0.03).alias("n"))
+        rare = stage(about.where(F.col("n") <= 2 * F.col("most") * MOST[1] / MOST[0]).select("term"), "rare-terms")
+        spread = spread.unionByName(every.join(_sent(rare), "term", "left_semi").groupBy("term")
+                                    .agg(F.count_distinct("unit").alias("n")))
+    return (both.join(spread, "term").where(_at_least(F.col("both"), F.col("n"), MOST))
+            .select("kind", "entity", "term", _at_least(F.col("both"), F.col("n"), SURE).alias("removed")))
 
 
 def _terms(docs: DataFrame, found: DataFrame, base: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,19 +172,20 @@ def written(most: int) -> Column:
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with entities replaced by [KIND], generalised terms by [TERM], and removed terms cut out."""
+    k, h, found_spans = fresh(docs, "k", "h", "spans")
     found = (spans(docs, key, text).where(F.size("spans") > 0)
-             .select(F.col(key).alias("__k"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).distinct())
+             .select(F.col(key).alias(k), F.col("text_hash").alias(h), F.col("spans").alias(found_spans)).distinct())
     label = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[TERM]")])
-    joined = docs.join(found, F.col("__k").eqNullSafe(docs[key])
-                       & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__h")), "left")
-    by_place = F.array_sort(F.transform("__spans", lambda s: F.struct(s.start.alias("s"), s.end.alias("e"), s.kind.alias("k"))))
+    joined = docs.join(found, F.col(k).eqNullSafe(docs[key])
+                       & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col(h)), "left")
+    by_place = F.array_sort(F.transform(found_spans, lambda s: F.struct(s.start.alias("s"), s.end.alias("e"), s.kind.alias("k"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(by_place, start, lambda a, s: F.when(s.s >= a.at, F.struct(
         s.e.alias("at"), F.concat(a.out, F.substring(F.col(text), (a.at + 1).cast("int"), (s.s - a.at).cast("int")),
                                   F.get(label, s.k)).alias("out"))).otherwise(
         F.struct(F.greatest(s.e, a.at).alias("at"), a.out.alias("out"))))
     clean = F.concat(cut.out, F.substring(F.col(text), (cut.at + 1).cast("int"), F.length(text)))
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col(found_spans).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
 
 
 _MATCH = """SELECT doc_id, {kind} AS kind, unnest(range(len(m))) AS i, unnest(m) AS value,
@@ -204,13 +218,11 @@ lw AS (
   SELECT DISTINCT x, unnest(regexp_extract_all(lower(regexp_replace(x, '""" + _EMAIL + r"""', ' ', 'g')), '\p{L}{3,}')) AS term
   FROM (SELECT DISTINCT x FROM l)),
 units AS (SELECT DISTINCT kind, entity, x FROM base JOIN l USING (doc_id, line)),
-often AS (SELECT kind, entity FROM units GROUP BY ALL HAVING count(*) >= 3),
-near AS (
-  SELECT kind, entity, term, count(*) AS n FROM units SEMI JOIN often USING (kind, entity) JOIN lw USING (x)
-  GROUP BY ALL HAVING count(*) >= 3),
+near AS (SELECT kind, entity, term, count(*) AS n FROM units JOIN lw USING (x) GROUP BY ALL),
 spread AS (SELECT term, count(*) AS n FROM lw GROUP BY term),
 disclosing AS (
-  SELECT kind, entity, term, near.n = spread.n AS removed FROM near JOIN spread USING (term) WHERE near.n * 2 >= spread.n),
+  SELECT kind, entity, term, near.n * 3 >= 2 * (spread.n + 1) AS removed
+  FROM near JOIN spread USING (term) WHERE near.n * 2 >= spread.n + 1),
 marked AS (SELECT doc_id, term, bool_or(removed) AS removed FROM base JOIN disclosing USING (kind, entity) GROUP BY ALL),
 w AS (
   SELECT doc_id, lower(value) AS term, sum(gap + len(value)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, len(value) AS n

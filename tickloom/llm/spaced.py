@@ -5,10 +5,11 @@ every place; hashes of the picked words are joined between benchmark and documen
 under a mask's gap does not hide a hit. Every hit names a diagonal (the document's place less the item's);
 along it the words are compared one by one, and an item is found in a document if any ``WINDOW`` words in a row
 (the whole item, if it is shorter) agree in at least ``LEAST`` of their places. The two masks leave no such window
-unseen for 12 words and more: whichever places are substituted, one mask fits between them somewhere.
+unseen for 12 words and more: whichever places are substituted, one mask fits between them somewhere. An item of
+fewer than ``FEWEST`` words is found where all of its words stand in a row: in the same pass, the hash of the whole
+item is joined with those of the documents' runs of that many words.
 
-Defined cases: null or empty texts, and items of fewer than ``FEWEST`` words, which occur by chance, match
-nothing; texts of any length are read whole. Rows are told apart by key and text; equal rows give equal results,
+Defined cases: null or empty texts match nothing; texts of any length are read whole. Rows are told apart by key and text; equal rows give equal results,
 null keys match each other. Empty tables give empty results. Other columns are not read by ``overlaps`` and
 pass ``decontaminated`` unchanged, whatever their names.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.llm.names import fresh
 from tickloom.staging import stage
 
 MASKS = ("111101", "10011101")
@@ -45,12 +47,30 @@ def _seeds(mask_no: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def _seeded(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seed, place) of all masks."""
-    first = F.greatest(F.size("w") - len(MASKS[0]) + 1, F.lit(0))
-    return (df.select(*keys, first.alias("n"), F.posexplode(F.concat(_seeds(0), _seeds(1))).alias("place", "seed"))
-            .withColumn("place", F.when(F.col("place") < F.col("n"), F.col("place")).otherwise(F.col("place") - F.col("n")))
-            .drop("n"))
+def _runs(n: int) -> Column:
+    """Hashes of all runs of n words ``w``, in order of place."""
+    return F.when(F.size("w") >= n, F.transform(
+        F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.lit(len(MASKS) + n), *[F.get("w", i + k) for k in range(n)])
+    )).otherwise(F.array().cast("array<bigint>"))
+
+
+def _seeded(df: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
+    """(keys, seed, place) of all masks, and of the runs of ``short`` numbers of words."""
+    parts = [(len(m), _seeds(i)) for i, m in enumerate(MASKS)] + [(n, _runs(n)) for n in short]
+    begins, at = {}, F.lit(0)
+    for i, (width, _) in enumerate(parts[:-1], 1):
+        at = at + F.greatest(F.size("w") - width + 1, F.lit(0))
+        begins[f"begin_{i}"] = at
+    every = F.posexplode(F.concat(*[hashes for _, hashes in parts])).alias("place", "seed")
+    place = F.col("place")
+    for b in begins:        # the last part that begins at or before the place
+        place = F.when(F.col("place") >= F.col(b), F.col("place") - F.col(b)).otherwise(place)
+    return (df.select(*keys, *[e.alias(b) for b, e in begins.items()], every).withColumn("place", place).drop(*begins))
+
+
+def _enough(length: Column) -> Column:
+    """Words of a window that have to agree: all of a short item's."""
+    return F.when(length < FEWEST, length).otherwise(F.ceil(length * LEAST))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -61,18 +81,28 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     ``doc_start`` (the earliest of equals, from 0). ``text_hash`` tells rows of one key apart.
     """
     bench = _hashed(items.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t").drop("t")
-    bench = stage(bench.where(F.size("w") >= FEWEST).withColumn("no", F.xxhash64("item", "w")), "benchmark")
-    seeds = stage(_seeded(bench, ["no"]).select("seed", "no", F.col("place").alias("item_place")).distinct(),
-                  "benchmark-seeds")
+    bench = stage(bench.where(F.size("w") > 0).withColumn("no", F.xxhash64("item", "w")), "benchmark")
+    size = F.size("w")
+    short = sorted(r["n"] for r in bench.where(size < FEWEST).select(size.alias("n")).distinct().collect())    # below FEWEST
+    of = lambda df: df.select("seed", "no", F.col("place").alias("item_place"), "whole")
+    seeds = of(_seeded(bench.where(size >= FEWEST), ["no"], []).withColumn("whole", F.lit(False)))
+    for n in short:
+        seeds = seeds.unionByName(of(bench.where(size == n).select("no", F.get(_runs(n), F.lit(0)).alias("seed"), F.lit(0).alias("place"),
+                                                                   F.lit(True).alias("whole"))))
+    seeds = stage(seeds.distinct(), "benchmark-seeds")
     small = seeds.count() <= BROADCAST_ROWS
     sent = F.broadcast if small else (lambda df: df)
 
     rows = _hashed(docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")), "t")
-    hits = (_seeded(rows, ["k", "h"]).join(sent(seeds), "seed")
-            .select("k", "h", "no", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
+    hits = (_seeded(rows, ["k", "h"], short).join(sent(seeds), "seed")
+            .select("k", "h", "no", "whole", (F.col("place") - F.col("item_place")).alias("diagonal")))
+    if short:       # of a whole item the first place will do
+        hits = hits.where("NOT whole").drop("whole").distinct().unionByName(
+            hits.where("whole").groupBy("k", "h", "no").agg(F.min("diagonal").alias("diagonal")))
+    else:
+        hits = hits.drop("whole").distinct()
     # one row for each document with hits: as many entries as it has candidate diagonals
-    entries = (hits.join(sent(bench), "no").groupBy("k", "h")
-               .agg(F.collect_list(F.struct("item", "diagonal", F.col("w").alias("iw"))).alias("entries")))
+    entries = hits.groupBy("k", "h").agg(F.collect_list(F.struct("no", "diagonal")).alias("entries"))
     entries = stage(entries, "candidates")
     keys = entries.select(F.col("k").alias("ek"), F.col("h").alias("eh"))
     few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
@@ -82,7 +112,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         entries.alias("e"), F.col("r.k").eqNullSafe(F.col("e.k")) & (F.col("r.h") == F.col("e.h"))
     ).select("r.k", "r.h", "r.w", "e.entries")
     found = near.select("k", "h", "w", F.explode("entries").alias("e")).select("k", "h", "w", "e.*")
-    found = (found.withColumn("length", F.least(F.size("iw"), F.lit(WINDOW)))
+    found = (found.join(sent(bench.select("no", "item", F.col("w").alias("iw"))), "no").withColumn("length", F.least(F.size("iw"), F.lit(WINDOW)))
              .withColumn("low", F.greatest(F.lit(0), -F.col("diagonal")))
              .withColumn("high", F.least(F.size("iw"), F.size("w") - F.col("diagonal")) - F.col("length"))
              .where("high >= low")
@@ -93,7 +123,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                  F.sequence(F.lit(1), F.col("high") - F.col("low") + 1),
                  lambda s: F.aggregate(F.slice("same", s, F.col("length")), F.lit(0), lambda a, x: a + x)).alias("sums"))
              .withColumn("matched", F.array_max("sums"))
-             .where(F.col("matched") >= F.ceil(F.col("length") * LEAST))
+             .where(F.col("matched") >= _enough(F.col("length")))
              .withColumn("start", F.col("start") + F.array_position("sums", F.col("matched")) - 1))
     best = (found.groupBy("k", "h", "item")
             .agg(F.max(F.struct("matched", "length", (-F.col("start")).alias("back"))).alias("b")))
@@ -104,8 +134,9 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item of the benchmark is found."""
-    found = stage(overlaps(docs, items, key, text).select(F.col(key).alias("__k"), F.col("text_hash").alias("__h")).distinct(), "contaminated")
-    return docs.join(found, F.col("__k").eqNullSafe(docs[key]) & (F.xxhash64(docs[text]) == F.col("__h")), "left_anti")
+    k, h = fresh(docs, "k", "h")
+    found = stage(overlaps(docs, items, key, text).select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct(), "contaminated")
+    return docs.join(found, F.col(k).eqNullSafe(docs[key]) & (F.xxhash64(docs[text]) == F.col(h)), "left_anti")
 
 
 SQL = r"""
@@ -117,11 +148,11 @@ b AS (
   FROM benchmark),
 dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
 bw AS (SELECT item_id, len(w) AS m, least(len(w), 20) AS length, unnest(w) AS word, unnest(range(len(w))) AS j
-       FROM b WHERE len(w) >= 12),
+       FROM b),
 same AS (SELECT doc_id, item_id, length, m, n, i - j AS diagonal, j FROM dw JOIN bw USING (word)),
 enough AS (
   SELECT doc_id, item_id, length, m, n, diagonal, list(j) AS js FROM same
-  GROUP BY ALL HAVING count(*) >= ceil(length * 0.8)),
+  GROUP BY ALL HAVING count(*) >= CASE WHEN length < 12 THEN length ELSE ceil(length * 0.8) END),
 windows AS (
   SELECT doc_id, item_id, length, diagonal, js,
          unnest(range(greatest(0, -diagonal), least(m, n - diagonal) - length + 1)) AS s
@@ -132,7 +163,7 @@ counted AS (
   FROM windows),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, doc_start) AS r
-  FROM counted WHERE matched >= ceil(length * 0.8))
+  FROM counted WHERE matched >= CASE WHEN length < 12 THEN length ELSE ceil(length * 0.8) END)
 SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(length AS INTEGER) AS length,
        CAST(doc_start AS BIGINT) AS doc_start
 FROM placed WHERE r = 1
