@@ -175,3 +175,14 @@ def test_stacked_tables_keep_days_without_any_of_the_older_stocks(spark, sf):
     old = [c for c in got.columns if c != "date"][:20]
     empty = got.filter(" AND ".join(f"{c} IS NULL" for c in old))
     assert got.count() == got.select("date").distinct().count() and empty.count() > 0
+
+
+def test_the_staged_panel_follows_its_table(spark, sf, tmp_path):
+    import os
+    import shutil
+    from tickloom.queries.data import staged_panel
+    shutil.copy(f"{sf}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    first = staged_panel(spark, str(tmp_path))
+    assert staged_panel(spark, str(tmp_path)) is first
+    os.utime(tmp_path / "lineitem.parquet", (1, 1))
+    assert staged_panel(spark, str(tmp_path)) is not first

@@ -36,12 +36,18 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return with_return(bars(spark, sf), ["stock"])
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, int], DataFrame] = {}
+
+
+def _changed(spark: SparkSession, path: str) -> int:
+    """When a file or folder was written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
 
 
 def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel as a table, written once for an application's queries over the same tables."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The panel as a table, written once for an application's queries over the same trades; again when they change."""
+    key = (spark.sparkContext.applicationId, sf, _changed(spark, f"{sf}/lineitem.parquet"))
     if key not in _WRITTEN:
         _WRITTEN[key] = stage(panel(spark, sf), "panel")
     return _WRITTEN[key]
