@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_chain import random_panel
 from tickloom.plans.forecast import (MARKET, composite, deep_forecast, forecast, forecast_from_paths, market_adjusted,
                                      ranked, weekend_filter, with_regime)
+from tickloom.queries.catalogue import QUERIES
 
 WEDNESDAY, FRIDAY = date(2020, 10, 7), date(2020, 10, 9)
 
@@ -69,3 +71,10 @@ def test_regime(spark):
     for p, want in ((55.0, "bull"), (42.0, "bear"), (50.0, "neutral")):
         m = spark.createDataFrame([(MARKET, 1, p), (MARKET, 5, 0.0), ("a", 1, 99.0)], "stock string, horizon int, prob_up_pct double")
         assert with_regime(rows, m).collect()[0].regime == want
+
+
+def test_sampled_paths_meet_by_shuffle(spark, sf):
+    """200 paths a stock are not taken for a small table and collected on the driver."""
+    plan = QUERIES["sampled_forecast"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[stock#\d+, path#\d+\]", plan)
+    assert not re.search(r"BroadcastHashJoin \[stock#\d+, path#\d+\]", plan)

@@ -142,7 +142,9 @@ def sampled_forecast(spark: SparkSession, sf: str) -> DataFrame:
     steps = probs.select(F.round(centre_of(F.col("next")), 9).alias("c")).distinct()
     grid = steps.agg(F.collect_set("c").alias("grid")).select("grid").scalar()       # at most one value a token
     one, two = (sample_paths(s, probs, max(HORIZONS), 200, 3) for s in (states, states.repartition(3).sortWithinPartitions(F.desc("token"))))
-    same = (one.join(two.select("stock", "path", F.col("rets").alias("again")), ["stock", "path"])
+    # by shuffle: the planner takes the paths to be as small as the states that they are drawn from, and would collect them
+    again = two.select("stock", "path", F.col("rets").alias("again")).hint("merge")
+    same = (one.join(again, ["stock", "path"])
             .join(states.select("stock", "vol_ratio"), "stock").withColumn("grid", grid))
     known = F.forall("rets", lambda r: F.array_contains("grid", F.round(r / F.col("vol_ratio"), 9) + 0.0))
     return (same.filter(F.col("stock") != MARKET).groupBy("stock").agg(
