@@ -186,3 +186,21 @@ def test_the_staged_panel_follows_its_table(spark, sf, tmp_path):
     assert staged_panel(spark, str(tmp_path)) is first
     os.utime(tmp_path / "lineitem.parquet", (1, 1))
     assert staged_panel(spark, str(tmp_path)) is not first
+
+
+def test_bars_of_uncombined_ticks(spark):
+    """The same bars, without a sort or an aggregation before the shuffle."""
+    rows = [(s, day(i % 9), float((i * 37) % 101), i % 5, (i * 7) % 23, i) for i in range(400) for s in ("a", "b", None)]
+    rows += [("a", None, 3.0, 1, 2, 3), ("a", None, None, None, 2, 3)]
+    ticks = spark.createDataFrame(rows, "stock string, date date, price double, quantity int, k long, n long")
+    one, two = (P.bars_from_ticks(ticks, ["k", "n", "price"], combine=c) for c in (True, False))
+    above, *below = two._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert len(below) == 1 and "Aggregate" not in below[0] and "Sort" not in below[0] and "SortAggregate" in above
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.schema == two.schema
+
+
+def test_the_panel_sorts_nothing_before_its_first_shuffle(spark, sf):
+    from tickloom.queries.data import panel
+    plan = panel(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    first = plan.rsplit("Exchange", 1)[1]
+    assert "Aggregate" not in first and "Sort" not in first

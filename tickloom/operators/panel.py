@@ -18,9 +18,15 @@ from tickloom.schema import PANEL_COLUMNS
 
 
 def bars_from_ticks(ticks: DataFrame, order_by: list[str], price: str = "price",
-                    volume: str = "quantity") -> DataFrame:
-    """Daily open/high/low/close/volume per (stock, date) from single trades."""
+                    volume: str = "quantity", combine: bool = True) -> DataFrame:
+    """Daily open/high/low/close/volume per (stock, date) from single trades.
+
+    ``combine=False`` is for trades of which few share a (stock, date). To combine them first would sort each task's
+    whole input and send more than it saves; they are sent as they are instead, spread by (stock, date).
+    """
     at = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
+    if not combine:
+        ticks = ticks.select("stock", "date", *dict.fromkeys([price, volume, *order_by])).repartition("stock", "date")
     return ticks.groupBy("stock", "date").agg(
         F.min_by(price, at).alias("open"), F.max(price).alias("high"),
         F.min(price).alias("low"), F.max_by(price, at).alias("close"),
