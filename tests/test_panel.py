@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -204,3 +205,26 @@ def test_the_panel_sorts_nothing_before_its_first_shuffle(spark, sf):
     plan = panel(spark, sf)._jdf.queryExecution().executedPlan().toString()
     first = plan.rsplit("Exchange", 1)[1]
     assert "Aggregate" not in first and "Sort" not in first
+
+
+@pytest.mark.parametrize("fill", ["pad", "none"])
+def test_calendar_returns_order_the_rows_once(spark, fill):
+    """Equal to a plain walk over all positions, and no sort of the repeated rows."""
+    rng = random.Random(4)
+    rows = [(i, s, rng.choice([None, 0.0, 1.0, 2.0, 5.0])) for s in "abcde" for i in range(30) if rng.random() < 0.4]
+    rows += [(i, "whole", float(i % 4)) for i in range(30)]
+    s = series(spark, rows)
+    cal = spark.createDataFrame([(day(i), i + 1) for i in range(30)], "date date, pos int")
+    got = P.calendar_returns(s, cal, fill)
+    want = {}
+    for name in {r[1] for r in rows}:
+        own, last, before = {i: c for i, n, c in rows if n == name}, None, None
+        for i in range(30):
+            last = own[i] if own.get(i) is not None else last
+            now = last if fill == "pad" else own.get(i)
+            if i:
+                zero = None if not now else 1.0
+                want[name, day(i)] = None if now is None or before is None else zero if before == 0 else now / before - 1
+            before = now
+    assert {(r.stock, r.date): r.return_1d for r in got.collect()} == pytest.approx(want)
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString().split("Generate")[0]

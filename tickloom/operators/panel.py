@@ -135,27 +135,41 @@ def upsert(panel: DataFrame, *batches: DataFrame, arrival: str | None = None) ->
     return newest.drop("batch_seq", *([arrival] if arrival else []))
 
 
-def gap_filled(panel: DataFrame, calendar: DataFrame, price: str = "close") -> DataFrame:
-    """(stock, pos, observed, price) for every stock on every calendar position.
+def _filled(panel: DataFrame, calendar: DataFrame, price: str) -> DataFrame:
+    """``gap_filled`` with ``before`` and ``padded_before``, the two prices one position earlier.
 
-    The dense matrix without a cross product: each row is repeated up to the position before the
-    stock's next row, and the first row also covers the empty positions that lead up to it.
-    ``price`` keeps only what was observed on the day; ``padded`` carries the last one on.
+    They are known where a row is repeated: inside its span the price before is its own, at the span's start that of the
+    row before. So the repeated rows, many times the table, need not be ordered again.
     """
     at = panel.join(F.broadcast(calendar), "date").select("stock", "pos", price)
     by_pos = W.partitionBy("stock").orderBy("pos")
     end = calendar.select(F.max("pos")).scalar()
     first = F.row_number().over(by_pos) == 1
+    upto = F.last(price, ignorenulls=True).over(by_pos.rowsBetween(W.unboundedPreceding, 0))
     spans = at.select(
-        "stock", F.col("pos").alias("row_pos"), price,
-        F.last(price, ignorenulls=True).over(by_pos.rowsBetween(W.unboundedPreceding, 0)).alias("known"),
+        "stock", F.col("pos").alias("row_pos"), price, upto.alias("known"),
+        F.last(price, ignorenulls=True).over(by_pos.rowsBetween(W.unboundedPreceding, -1)).alias("known_before"),
+        F.when(F.lag("pos").over(by_pos) == F.col("pos") - 1, F.lag(price).over(by_pos)).alias("next_to"),
         F.sequence(F.when(first, F.lit(1)).otherwise(F.col("pos")),
                    F.coalesce(F.lead("pos").over(by_pos) - 1, end)).alias("covers"))
-    filled = spans.select("stock", F.explode("covers").alias("pos"), "row_pos", price, "known")
+    filled = spans.select("*", F.explode("covers").alias("pos"))
+    here, later = F.col("pos") == F.col("row_pos"), F.col("pos") > F.col("row_pos")
     return filled.select(
-        "stock", "pos", (F.col("pos") == F.col("row_pos")).alias("observed"),
-        F.when(F.col("pos") == F.col("row_pos"), F.col(price)).alias(price),
-        F.when(F.col("pos") >= F.col("row_pos"), F.col("known")).alias("padded"))
+        "stock", "pos", here.alias("observed"),
+        F.when(here, F.col(price)).alias(price),
+        F.when(here | later, F.col("known")).alias("padded"),
+        F.when(here, F.col("next_to")).when(F.col("pos") == F.col("row_pos") + 1, F.col(price)).alias("before"),
+        F.when(here, F.col("known_before")).when(later, F.col("known")).alias("padded_before"))
+
+
+def gap_filled(panel: DataFrame, calendar: DataFrame, price: str = "close") -> DataFrame:
+    """(stock, pos, observed, price) for every stock on every calendar position.
+
+    The dense matrix without a cross product: each row is repeated up to the position before the
+    stock's next row, and the first row also covers the empty positions that lead up to it.
+    ``price`` keeps only what was observed on the day; ``padded`` carries the last one on.
+    """
+    return _filled(panel, calendar, price).select("stock", "pos", "observed", price, "padded")
 
 
 def calendar_returns(panel: DataFrame, calendar: DataFrame, fill: str = "pad") -> DataFrame:
@@ -163,10 +177,9 @@ def calendar_returns(panel: DataFrame, calendar: DataFrame, fill: str = "pad") -
 
     Every stock has a value on every later date: 0 on padded days, NULL before its first bar.
     """
-    grid = gap_filled(panel, calendar)
-    by_pos = W.partitionBy("stock").orderBy("pos")
-    shown = "padded" if fill == "pad" else "close"
-    r = ratio_return(F.col(shown), F.lag(shown).over(by_pos))
+    grid = _filled(panel, calendar, "close")
+    now, before = ("padded", "padded_before") if fill == "pad" else ("close", "before")
+    r = ratio_return(F.col(now), F.col(before))
     return (grid.withColumn("return_1d", r).filter(F.col("pos") > 1)
             .join(F.broadcast(calendar), "pos").select("date", "stock", "return_1d"))
 
