@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import nearcopies
+from tickloom.llm import nearcopies, simhash
 
 
 def plain_set(text):
@@ -138,3 +138,28 @@ def test_near_dedup_with_clashing_columns(spark, docs_of, odd_rows):
     plain = corpus_pipeline.near_dedup(spark, docs_of(odd_rows), "")
     as_rows = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
     assert as_rows(got) == as_rows(plain)
+
+
+def test_near_dedup_compares_linked_fingerprints_first(spark, docs_of, monkeypatch):
+    """Fingerprints and the code's anchors decide about close texts; without keys they alone find these copies."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(400)) for _ in range(12)]
+    rows = list(enumerate(texts + [t + " tail" for t in texts] + [t + " tail end" for t in texts[:6]] + [texts[0].upper(), ""]))
+    fps = {k: simhash.text_fingerprint((t or "").encode()) for k, t in rows}
+    close = sum((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in combinations(fps, 2))
+    asked = []
+    linked = simhash.linked_fingerprints
+    monkeypatch.setattr(simhash, "linked_fingerprints", lambda fps: asked.append(1) or linked(fps))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == plain_kept(rows)
+    assert asked and close > 6
+
+    found = nearcopies._sets(docs_of(rows), simhash.text_fingerprint, "doc_id", "text")
+    classes = nearcopies.stage(found.where("size > 0").select(F.col("k").alias("id"), F.struct("k", "h").alias("least"), "fp", "size"), "test")
+    links, of = nearcopies._fingerprint_links(classes, linked, nearcopies._Texts(docs_of(rows), found, classes, "doc_id", "text"))
+    top = {r.node: r.component for r in of.collect()}
+    by_id = dict(rows)
+    for a, b in combinations(sorted(k for k in fps if by_id[k]), 2):
+        x, y = plain_set(by_id[a]), plain_set(by_id[b])
+        if (fps[a] ^ fps[b]).bit_count() <= 2 and len(x & y) * 5 >= len(x | y) * 4:
+            assert top.get(a, a) == top.get(b, b)
+    assert all(len(plain_set(by_id[r.a]) & plain_set(by_id[r.b])) * 5 >= len(plain_set(by_id[r.a]) | plain_set(by_id[r.b])) * 4 for r in links.collect())

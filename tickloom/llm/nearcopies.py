@@ -1,6 +1,8 @@
 """Near copies of texts: equal in at least four fifths of their shingles of five words.
 
-The distinct shingles of a text are its set; texts of equal sets count as one node, however many they are. Each
+The distinct shingles of a text are its set; texts of equal sets count as one node, however many they are. First come
+the links of ``op1``'s method: nodes of equal fingerprints, and of fingerprints that its code finds to be close, are
+compared exactly. Those bits reach little more than copies, so what they leave apart is looked for by minima: Each
 set has ``BANDS`` keys, each made of ``ROWS`` minima under different hashes; two sets of likeness 0.8 share no key
 with a probability of 5e-6. Keys are sorted once, by ranges that also split a key which many sets share, and the sets
 of a key are gathered around one of them in one pass over the order, its hub. The hub's place is then taken by its
@@ -27,7 +29,7 @@ are left out; an empty table gives an empty result. Other columns are not read,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,20 +94,22 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, h, node, size, bands): h is a hash of the row's text, node one of its set."""
+def _sets(docs: DataFrame, fingerprint: Callable[[bytes], int], key: str, text: str) -> DataFrame:
+    """(k, h, fp, node, size, bands): h is a hash of the row's text, fp its fingerprint, node a hash of its set."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py() or b"") for t in batch.column(2)]
+            texts = [t.as_py() or b"" for t in batch.column(2)]
+            sets = [shingles(t) for t in texts]
+            fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             bands = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["k", "h", "node", "size", "bands"])
+                [batch.column(0), batch.column(1), pa.array(fps), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array(bands, pa.list_(pa.int64()))], names=["k", "h", "fp", "node", "size", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("t"))
-            .mapInArrow(apply, f"k {kind}, h long, node long, size int, bands array<long>"))
+            .mapInArrow(apply, f"k {kind}, h long, fp long, node long, size int, bands array<long>"))
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -237,6 +241,36 @@ def _joined(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
+def _fingerprint_links(classes: DataFrame, linked: Callable[[DataFrame], DataFrame], texts: _Texts) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of alike sets with equal or linked fingerprints, and their components.
+
+    Sets of one fingerprint are compared with the first of them, which stands for it, and that with the one of the least
+    linked fingerprint; then the other links, where their ends are still apart.
+    """
+    firsts = stage(classes.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("first")).select("fp", "first.*"), "fingerprint-classes")
+    one = firsts.select("fp", F.col("id").alias("a"), F.col("size").alias("m"))
+    equal = classes.join(one, "fp").where("id <> a").select("a", "m", F.col("id").alias("b"), F.col("size").alias("n"))
+    # at least as many tasks as the session shuffles into, as each fingerprint is replicated
+    pairs = stage(linked(firsts.select("fp").repartition("fp")), "linked-fingerprints")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(one.withColumnRenamed("fp", "x"), "x")
+                .join(firsts.select(F.col("fp").alias("y"), F.col("id").alias("b"), F.col("size").alias("n")), "y")
+                .where(_sizes_fit("m", "n")).select("a", "b"))
+
+    pairs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    least = pairs.groupBy("y").agg(F.min("x").alias("x"))
+    first = stage(equal.where(_sizes_fit("m", "n")).select("a", "b").unionByName(ends(least)), "fingerprint-pairs")
+    links = _verified(first, texts)
+    of = stage(components(links), "components")
+    # a pair of the first round whose ends are apart was unlike
+    rest = stage(_joined(ends(pairs.join(least, ["x", "y"], "left_anti")), of).where("ca <> cb").select("a", "b"), "other-links")
+    if rest.isEmpty():
+        return links, of
+    links = links.unionByName(_verified(rest, texts))
+    return links, stage(components(links), "components")
+
+
 def _rare_pairs(gathered: DataFrame, split: DataFrame, centres: DataFrame, stars: DataFrame, of: DataFrame,
                 texts: _Texts) -> DataFrame | None:
     """(a, b) of round 3; None where every hub's sets are in one component."""
@@ -292,21 +326,28 @@ def with_class(rows: DataFrame, classes: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(large), on).unionByName(few).drop("members")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, fingerprint: Callable[[bytes], int], linked: Callable[[DataFrame], DataFrame],
+                key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, h, component_id, keeper): every row with a known key, a hash of its text, the least key that is reachable
-    over near copies, itself included, and the least text hash of that key there."""
+    over near copies, itself included, and the least text hash of that key there.
+
+    ``fingerprint`` is of a text's UTF-8; ``linked`` gives the pairs (a, b) of close ones from a table of fingerprints (fp).
+    """
     docs = docs.where(F.col(key).isNotNull())
-    found = stage(_sets(docs, key, text), "shingle-sets")
+    found = stage(_sets(docs, fingerprint, key, text), "shingle-sets")
     classes = stage(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), F.count("*").alias("members"),
+                                              F.min_by("fp", F.struct("k", "h")).alias("fp"),
                                               F.first("size").alias("size"), F.first("bands").alias("bands"))
                     .withColumn("id", F.monotonically_increasing_id()), "set-classes")
     gathered, split = _gathered(classes.select(F.explode("bands").alias("band"), "id", "size"))
     centres, stars = _centred(gathered)
     texts = _Texts(docs, found, classes, key, text)
+    close, of = _fingerprint_links(classes.where("size > 0"), linked, texts)
 
     fit = stars.where(_sizes_fit("m", "n"))
     best = fit.groupBy("b").agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
-    links = _verified(stage(best, "first-pairs"), texts)
+    best = stage(_joined(best, of).where("ca <> cb").select("a", "b"), "first-pairs")
+    links = close.unionByName(_verified(best, texts))
     of = stage(components(links), "components")
     rest = stage(_joined(fit.select("a", "b"), of).where("ca <> cb").select("a", "b"), "second-pairs")
     # a pair of the first round whose ends are apart was unlike

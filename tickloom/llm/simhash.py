@@ -149,11 +149,13 @@ def hexadecimal(fp: str = "fp") -> F.Column:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the row of the least key, and there of the least text hash, stays.
 
+    Linked fingerprints, checked exactly, join texts first; near copies that are further apart are found by ``near_copies``.
+
     It is decided by row, so of several texts with one key each is kept or dropped by its own component. Rows of one
     key and one text are one document, of which one row stays; rows without a key can't be told apart and all stay.
     """
     k, h, row = fresh(docs, "k", "h", "row")
-    near = stage(near_copies(docs, key, text).groupBy(F.col(key).alias(k), F.col("h").alias(h), "component_id", "keeper")
+    near = stage(near_copies(docs, text_fingerprint, linked_fingerprints, key, text).groupBy(F.col(key).alias(k), F.col("h").alias(h), "component_id", "keeper")
                  .agg(F.count("*").alias("n")), "decided")
     stays = (F.col(k) == F.col("component_id")) & (F.col(h) == F.col("keeper"))
     same = (F.col(key) == F.col(k)) & (F.xxhash64(F.col(text)) == F.col(h))
