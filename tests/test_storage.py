@@ -15,6 +15,7 @@ from tickloom.operators.stats import volatility_ratio
 from tickloom.operators.tokens import tokenise, training_windows
 from tickloom.operators.transitions import token_pairs
 from tickloom.operators.windows import last_rows
+from tickloom.sources import wide
 from tickloom.sources.bystock import read_by_stock, write_by_stock
 from tickloom.sources.tables import stock_history
 from tickloom.sources.wide import from_matrix, matrix_rows, read_wide_files, stock_numbers, write_wide_files
@@ -131,3 +132,17 @@ def test_odd_matrix_rows(spark):
     assert matrix_rows(long.limit(0), numbers).count() == 0
     with pytest.raises(Exception, match="no number for stock"):
         matrix_rows(long, numbers.filter("stock = 'b'")).collect()
+
+
+def test_wide_files_of_many_stocks_are_split(spark, monkeypatch):
+    """More files, each with the header and written by another task, not longer ones."""
+    rows, long = long_rows(spark, 20, 40)
+    numbers = stock_numbers(long)
+    monkeypatch.setattr(wide, "STOCKS", 5)
+    path = new_folder(spark, "wide")
+    write_wide_files(matrix_rows(long, numbers), numbers, path, files=2)
+    lines = spark.read.text(path).selectExpr("part", "value", "_metadata.file_path AS file")
+    per_file = lines.groupBy("file").agg(F.count_if(~F.col("value").startswith("date,")).alias("n")).collect()
+    assert len(per_file) > 2 and max(r.n for r in per_file) < 20 and sum(r.n for r in per_file) == 40
+    assert {r.part for r in lines.select("part").distinct().collect()} == {0, 1}
+    assert sorted(map(tuple, read_wide_files(spark, path).select("date", "stock", "return_1d").collect())) == sorted(rows)

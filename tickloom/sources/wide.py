@@ -14,6 +14,7 @@ from tickloom.functions.scalar import null_if_nan
 from tickloom.sources.landed import cells_of
 from tickloom.staging import stage
 
+STOCKS = 1 << 14                                # for each of which a part of a wide table has one file more
 DATE_NAMES = ("date", "datetime", "")           # what the first cell of a header may say
 
 
@@ -84,13 +85,20 @@ def from_matrix(rows: DataFrame, numbers: DataFrame, value: str = "return_1d") -
 
 
 def write_wide_files(rows: DataFrame, numbers: DataFrame, path: str, files: int = 1) -> None:
-    """Matrix rows as CSV files with a column a stock, in the order of the numbers; dates are dealt over ``files``."""
+    """Matrix rows as CSV files with a column a stock, in the order of the numbers; dates are dealt over ``files``.
+
+    These are folders: of one file for up to ``STOCKS`` stocks, and of one more, written by a task of its own and with the
+    header, for every so many stocks beyond; so a file grows with the calendar alone.
+    """
+    runs = max(1, -(-numbers.count() // STOCKS))
+    days = F.datediff("date", F.lit("1970-01-01").cast("date"))
     names = numbers.agg(F.array_sort(F.collect_list(F.struct("no", "stock"))).alias("s"))      # one cell a stock
     quoted = F.transform("s.stock", lambda s: F.when(s.rlike('[",]'), F.concat(
         F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s))
     header = names.select(F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("part"), F.lit(None).cast("date").alias("date"),
                           F.concat(F.lit("date,"), F.array_join(quoted, ",")).alias("value"))
-    lines = rows.select(F.pmod(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(files)).alias("part"), "date", F.concat(
+    header = header.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
+    lines = rows.select(F.pmod(days, F.lit(files)).alias("part"), F.pmod(F.floor(days / files), F.lit(runs)).alias("run"), "date", F.concat(
         F.col("date").cast("string"), F.lit(","), F.array_join(F.transform("values", lambda v: v.cast("string")), ",", "")).alias("value"))
-    (header.unionByName(lines).repartition(files, "part").sortWithinPartitions("part", F.asc_nulls_first("date"))
+    (header.unionByName(lines).repartition(files * runs, "part", "run").sortWithinPartitions("part", F.asc_nulls_first("date"))
      .select("part", "value").write.partitionBy("part").text(path))
