@@ -2,12 +2,13 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.sources.tables import read_panel
 from tickloom.staging import new_folder
-from tickloom.streaming.bars import ROCKSDB, daily_bars, run_to_end, stateful_returns, upsert_batch
+from tickloom.streaming.bars import ROCKSDB, LastClose, daily_bars, run_to_end, stateful_returns, upsert_batch
 
 D0 = date(2024, 1, 1)
 BAR = "stock string, date date, close double"
@@ -80,3 +81,29 @@ def test_closed_days_are_emitted_once_in_append_mode(spark):
         run_to_end(daily_bars(spark.readStream.schema(schema).parquet(landing), ["seq"]), out, checkpoint=checkpoint)
     got = [tuple(r) for r in spark.read.parquet(out).select("stock", F.to_date("day"), "open", "high", "low", "close", "volume").collect()]
     assert got == [("a", D0, 4.0, 9.0, 4.0, 9.0, 3)]       # the trade 20 days late is dropped
+
+
+def test_last_close_without_a_frame_for_nothing():
+    """One state read a stock, no frame where nothing is new, and the first of a day's copies."""
+    class Value:
+        def __init__(self, known):
+            self.known, self.reads = known, 0
+
+        def get(self):
+            self.reads += 1
+            return self.known
+
+        def exists(self):
+            raise AssertionError("a second read of the state")
+
+        def update(self, known):
+            self.known = known
+
+    first, second = date(2024, 1, 1), date(2024, 1, 2)
+    keeper = LastClose()
+    keeper._last = Value(None)
+    chunks = [pd.DataFrame({"date": [second, first], "close": [3.0, 2.0]}), pd.DataFrame({"date": [second], "close": [9.0]})]
+    got = pd.concat(keeper.handleInputRows(("a",), iter(chunks), None))
+    assert got["close"].tolist() == [2.0, 3.0] and got["return_1d"].tolist()[1] == 0.5 and got["return_1d"].isna()[0]
+    assert keeper._last.known == (second, 3.0) and keeper._last.reads == 1
+    assert list(keeper.handleInputRows(("a",), iter(chunks), None)) == []

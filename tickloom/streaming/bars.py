@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -48,13 +49,14 @@ class LastClose(StatefulProcessor):
         self._last = handle.getValueState("last", "date date, close double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # copies of a day are dropped chunk by chunk, so at most one row per calendar day is held
+        # copies of a day are dropped row by row, so at most one row per calendar day is held; there are many stocks
+        # of few rows, so nothing but plain lists is made for each
         bars: dict = {}
         for chunk in rows:
-            once = chunk.drop_duplicates("date")
-            bars = {**dict(zip(once["date"], once["close"])), **bars}
-        known = self._last.get() if self._last.exists() else None
-        out = []
+            for date, close in zip(chunk["date"].tolist(), chunk["close"].tolist()):
+                bars.setdefault(date, close)
+        known = self._last.get()            # None where there is no state yet
+        days, closes, returns = [], [], []
         for date, close in sorted(bars.items()):
             if known is not None and date <= known[0]:
                 continue
@@ -63,13 +65,16 @@ class LastClose(StatefulProcessor):
                 close = known[1] if known is not None else None
             else:
                 r = _clipped_return(close, known[1] if known is not None else None)
-            out.append((key[0], date, close, r))
+            days.append(date)
+            closes.append(close)
+            returns.append(r)
             if close is not None:
                 known = (date, close)
         if known is not None:
             self._last.update(known)
-        yield pd.DataFrame(out, columns=["stock", "date", "close", "return_1d"]).astype(
-            {"close": "float64", "return_1d": "float64"})
+        if days:
+            yield pd.DataFrame({"stock": [key[0]] * len(days), "date": days, "close": np.array(closes, float),
+                                "return_1d": np.array(returns, float)})
 
     def close(self) -> None:
         pass
