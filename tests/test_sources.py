@@ -120,3 +120,11 @@ def test_resume(spark, tmp_path):
     files = L.landed_files(spark, str(tmp_path))
     ledger = files.filter(F.col("path").endswith("B.csv")).select("path")
     assert sorted(r.path[-5:] for r in L.not_ingested(files, ledger).collect()) == ["A.csv", "C.csv"]
+
+
+def test_plain_lines_are_split_as_quoted_ones_are(spark):
+    """The cells are the same; a line without a quote needs no pattern."""
+    lines = ["", ",", "a", " a ,b,,", "2020-01-01,1,2", 'x,"a, ""b""",c', '"q"', "a\tb, c"]
+    df = spark.createDataFrame([(s,) for s in lines], "line string")
+    got = df.select("line", L.cells_of("line").alias("one"), L._plain_or_quoted("line").alias("two")).collect()
+    assert [r.one for r in got] == [r.two for r in got]

@@ -107,7 +107,9 @@ def landed_dirty_bar_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = bars(spark, sf).join(kinds, "stock").select("stock", F.lit(9).alias("at"), line.alias("value"))
     folder = new_folder(spark, "dirty")
     (heads.unionByName(rows).repartition("stock").sortWithinPartitions("stock", "at", "value")
-     .select("stock", "value").write.partitionBy("stock").text(folder))
+     .select("stock", "value").write.partitionBy("stock")
+     # a file a stock: its task moves it into place, not the driver one after the other
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
     return read_dirty_bar_files(spark, folder, PARTITION_VALUE)
 
 

@@ -30,6 +30,11 @@ def cells_of(line: str) -> Column:
     ).otherwise(F.substring(c, F.lit(2), F.length(c))))
 
 
+def _plain_or_quoted(line: str) -> Column:
+    """``cells_of`` where the line has a quote; any other line is split, which takes a fraction of the time."""
+    return F.when(F.col(line).contains('"'), cells_of(line)).otherwise(F.split(line, ",", -1))
+
+
 def read_bar_files(spark: SparkSession, path: str | list[str], stem: str = FILE_STEM) -> DataFrame:
     """Clean bar files ``datetime, open, high, low, close, volume, symbol``, whole folder at once.
 
@@ -55,18 +60,18 @@ def read_dirty_bar_files(spark: SparkSession, path: str | list[str], stem: str =
     lines = spark.read.text(path, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file"), _instrument(stem).alias("stock"),
         F.regexp_replace("value", r"\r$", "").alias("line"))
-    names = F.transform(cells_of("line"), lambda c: F.lower(F.trim(c)))
+    names = F.transform(_plain_or_quoted("line"), lambda c: F.lower(F.trim(c)))
     place = {c: F.array_position("names", c) for c in columns}
     place["close"] = F.when(place["close"] > 0, place["close"]).otherwise(
         F.array_position("names", "adj close"))
     # one short row a file; staged, so that its size decides how it is joined
-    headers = (lines.withColumn("names", names)
+    headers = (lines.filter(F.lower("line").rlike("|".join(columns))).withColumn("names", names)
                .filter(F.arrays_overlap("names", F.array(*[F.lit(c) for c in columns])))
                .groupBy("file").agg(F.min("names").alias("names"))
                .select("file", *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
     for c in columns:
         headers = headers.filter(F.col(f"at_{c}") > 0)
-    cells = lines.join(stage(headers, "headers"), "file").withColumn("cells", cells_of("line"))
+    cells = lines.join(stage(headers, "headers"), "file").withColumn("cells", _plain_or_quoted("line"))
     text = cells.select(
         F.substring(F.trim(F.col("cells")[0]), 1, 10).try_cast("date").alias("date"), "stock",
         *[F.trim(F.try_element_at("cells", F.col(f"at_{c}"))).alias(c) for c in columns])
