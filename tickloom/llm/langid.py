@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tickloom.llm.workers import tidy
+
 UNKNOWN = "und"
 LANGUAGES = 256          # most frequent labels that are learned
 WINDOWS = 6000           # windows learned from, shared equally among the labels
@@ -213,4 +215,4 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text", keep: lis
                 batch.columns[:len(shown)] + [pa.array(best.tolist(), pa.string()), pa.array(score, pa.float64())],
                 names=shown + ["lang_pred", "score"])
 
-    return docs.select(*[F.col(c) for c in kept], letters.alias("__letters")).mapInArrow(apply, out)
+    return docs.select(*[F.col(c) for c in kept], letters.alias("__letters")).mapInArrow(tidy(apply), out)

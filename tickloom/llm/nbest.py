@@ -31,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tickloom.llm.workers import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, ALONE = "▁", "\n\t\r"      # a space; white space that stands alone where no piece holds it
 N_BEST = 3
 PENALTY = 10.0               # of an unknown character, below the worst score
-CACHE, CELLS, CHARS = 300_000, 200_000, 2_000_000
+CACHE, CELLS, CHARS = 200_000, 32_000, 1_000_000     # words kept, places solved and characters read at once: a task's memory
 WIDE = 48                    # longer words are solved one by one
 ADDED = ("ids", "n_pieces", "score", "nbest_scores", "round_trip", "changes")
 CHANGES = T.ArrayType(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()),
@@ -334,7 +336,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST,
                 rows = np.flatnonzero(group == g)
                 yield some(batch.slice(rows[0], len(rows)))
 
-    return docs.select(*[F.col(c) for c in read]).mapInArrow(apply, out)
+    return docs.select(*[F.col(c) for c in read]).mapInArrow(tidy(apply), out)
 
 
 def alternative(k: int, ids: str = "ids", changes: str = "changes") -> Column:
@@ -357,4 +359,4 @@ def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "te
             texts = [None if x is None else decode_ids(pieces, x) for x in batch.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(texts, pa.string())], names=kept + [into])
 
-    return encoded.select(*[F.col(c) for c in kept]).mapInArrow(apply, out)
+    return encoded.select(*[F.col(c) for c in kept]).mapInArrow(tidy(apply), out)

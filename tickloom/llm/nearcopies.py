@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.components import components
+from tickloom.llm.workers import tidy
 from tickloom.staging import stage
 
 SHINGLE = 5
@@ -109,7 +110,7 @@ def _sets(docs: DataFrame, fingerprint: Callable[[bytes], int], key: str, text:
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("binary").alias("t"))
-            .mapInArrow(apply, f"k {kind}, h long, fp long, node long, size int, bands array<long>"))
+            .mapInArrow(tidy(apply), f"k {kind}, h long, fp long, node long, size int, bands array<long>"))
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -147,7 +148,7 @@ def _gathered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     order = ["band", "id"]
     rows = stage(members.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .mapInArrow(apply, "band long, a long, b long, n int"), "hub-pairs")
+                 .mapInArrow(tidy(apply), "band long, a long, b long, n int"), "hub-pairs")
     edges = rows.where("band IS NOT NULL").select("band", "a", "n")               # two a task
     tops = edges.groupBy("band").agg(F.min(F.struct("a", "n")).alias("top"))
     across = edges.join(F.broadcast(tops), "band").where("a <> top.a").select("top", "a", "n").distinct()
@@ -228,9 +229,9 @@ def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     sent = (placed.select(F.col("b").alias("id"), to("b")).unionByName(
         placed.select("a", "part").distinct().withColumn("none", F.lit(None).cast("long"))
         .select(F.col("a").alias("id"), to("none"))).groupBy("id").agg(F.collect_list("to").alias("payload")))
-    rows = (texts.of(sent).select("payload", "t").mapInArrow(send, "a long, part int, b long, data binary")
+    rows = (texts.of(sent).select("payload", "t").mapInArrow(tidy(send), "a long, part int, b long, data binary")
             .repartition("a", "part").sortWithinPartitions("a", "part", "b"))
-    return stage(rows.mapInArrow(compare, "a long, b long"), "near-copies")
+    return stage(rows.mapInArrow(tidy(compare), "a long, b long"), "near-copies")
 
 
 def _joined(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -295,7 +296,7 @@ def _rare_pairs(gathered: DataFrame, split: DataFrame, centres: DataFrame, stars
             .unionByName(ends.select(F.col("a").alias("id"), F.col("ca").alias("c"), F.lit(False).alias("stray")))
             .groupBy("id", "c").agg(F.max("stray").alias("stray")))
     rows = stage(texts.of(ends.select("id", F.struct("c", "stray").alias("payload"))).select("id", "t", "payload")
-                 .select("id", "t").mapInArrow(shingled, "id long, s long, size int"), "rare-shingles")
+                 .select("id", "t").mapInArrow(tidy(shingled), "id long, s long, size int"), "rare-shingles")
     counts = rows.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
     place = F.row_number().over(Window.partitionBy("id").orderBy("held", "s"))
     # shingles of one set alone come first, and join nothing

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.llm.components import components
 from tickloom.llm.names import fresh
 from tickloom.llm.nearcopies import near_copies, with_class
+from tickloom.llm.workers import tidy
 from tickloom.staging import stage
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("binary")).mapInArrow(apply, f"`{key}` {kind}, fp long")
+    return docs.select(key, F.col(text).cast("binary")).mapInArrow(tidy(apply), f"`{key}` {kind}, fp long")
 
 
 def _syndromes(values: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def _anchored(fps: DataFrame, home: bool, name: str) -> DataFrame:
                 rows, at = anchors(part, patterns, over, home)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part[rows])], names=["anchor", name])
 
-    return fps.select("fp").mapInArrow(apply, f"anchor long, {name} long")
+    return fps.select("fp").mapInArrow(tidy(apply), f"anchor long, {name} long")
 
 
 def linked_fingerprints(fps: DataFrame) -> DataFrame:
