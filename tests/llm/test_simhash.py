@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tickloom.llm import nearcopies, simhash
 from tickloom.llm.components import components
@@ -83,6 +84,14 @@ def test_linked_fingerprints_are_all_close_pairs(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
 
 
+def test_replicas_are_not_broadcast(spark):
+    """61 rows a fingerprint: the planner takes them for one and would send them through the driver."""
+    pairs = simhash.linked_fingerprints(spark.range(50).select(F.col("id").alias("fp")).repartition("fp"))
+    assert pairs.count() > 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_hubs_and_cycles(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(5000, i) for i in range(4000, 4300)]

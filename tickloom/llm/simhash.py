@@ -122,8 +122,11 @@ def _anchored(fps: DataFrame, home: bool, name: str) -> DataFrame:
 
 
 def linked_fingerprints(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of different fingerprints (column ``fp``, distinct) within the threshold."""
-    return (_anchored(fps, True, "a").join(_anchored(fps, False, "b"), "anchor")
+    """(a, b), a < b: every pair of different fingerprints (column ``fp``, distinct) within the threshold.
+
+    The planner takes replicas to be as few as fingerprints and would broadcast them; they are joined by shuffle.
+    """
+    return (_anchored(fps, True, "a").join(_anchored(fps, False, "b").hint("merge"), "anchor")
             .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD))
             .select("a", "b"))
 
