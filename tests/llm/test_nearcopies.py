@@ -163,3 +163,23 @@ def test_near_dedup_compares_linked_fingerprints_first(spark, docs_of, monkeypat
         if (fps[a] ^ fps[b]).bit_count() <= 2 and len(x & y) * 5 >= len(x | y) * 4:
             assert top.get(a, a) == top.get(b, b)
     assert all(len(plain_set(by_id[r.a]) & plain_set(by_id[r.b])) * 5 >= len(plain_set(by_id[r.a]) | plain_set(by_id[r.b])) * 4 for r in links.collect())
+
+
+def test_rows_of_unknown_number_are_not_broadcast(spark, docs_of, monkeypatch):
+    """Joins by shingle, with texts wanted and, beyond ``SENT`` rows, with components: their files tell little of their rows."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words[:200], *(rng.choice(words) for _ in range(60 + i % 5))]) for i in range(12)]
+    texts += [edited(rng, t, 0.01) for t in texts for _ in range(2)]
+    plans = {}
+
+    def staged(df, label, write=nearcopies.stage):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(df, label)
+    monkeypatch.setattr(nearcopies, "stage", staged)
+    monkeypatch.setattr(nearcopies, "SENT", 0)
+    rows = list(enumerate(texts))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()) == plain_kept(rows)
+    for label in ("linked-fingerprints", "first-shingles", "rare-pairs", "hubs-components", "near-copies"):
+        assert "SortMergeJoin" in plans[label], label
+    assert "Broadcast" not in plans["linked-fingerprints"] + plans["near-copies"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.staging import stage
+from tickloom.staging import SENT, stage
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,15 +18,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     links = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .distinct(), "links")
+    many = links.count() > SENT     # as rows: the files' size, by which the planner broadcasts, says little of them
+    nodes = lambda least: least.hint("merge") if many else least
     seen = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (both.where("v > u").join(nodes(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         large = stage(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (large.join(nodes(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         links = stage(small, "small-star")
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -38,14 +38,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.components import components
 from tickloom.llm.workers import tidy
-from tickloom.staging import stage
+from tickloom.staging import SENT, sendable, stage
 
 SHINGLE = 5
 LIKE, OF = 4, 5                 # the least likeness is LIKE / OF
 BANDS, ROWS = 40, 6
 GROUP = 256                     # sets that are compared with one copy of their hub
 AT_ONCE = 512                   # shingles under all hashes at once
-HOT, SENT = 1000, 1_000_000     # rows from which a class counts as large; large classes, or keys, that are sent to every executor
+HOT = 1000                      # rows from which a class counts as large
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (SHINGLE + 2 * BANDS * ROWS + ROWS,), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE, _XOR, _TIMES, _IN_BAND = np.split(_ODD, np.cumsum([SHINGLE, BANDS * ROWS, BANDS * ROWS]))
@@ -181,17 +181,17 @@ class _Texts:
         self.any_repeated = not self.repeated.isEmpty()
 
     def of(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (id, payload; ids are unique) with t beside each payload."""
+        """``wanted`` (id, payload; ids are unique) with t beside each payload, whose length is not known: none is broadcast."""
         wanted = stage(wanted.join(self.classes, "id"), "wanted-texts")
         keys = wanted.select("k", "h")
         # few texts are told by their keys alone before they are shuffled
         rows = self.rows.join(F.broadcast(keys), ["k", "h"], "left_semi") if keys.count() <= SENT else self.rows
         if not self.any_repeated:
-            return rows.join(wanted, ["k", "h"]).select("id", "payload", "t")
-        once = rows.join(wanted.join(self.repeated, ["k", "h"], "left_anti"), ["k", "h"]).select("id", "payload", "t")
+            return rows.join(wanted.hint("merge"), ["k", "h"]).select("id", "payload", "t")
+        once = rows.join(wanted.join(self.repeated, ["k", "h"], "left_anti").hint("merge"), ["k", "h"]).select("id", "payload", "t")
         often = wanted.join(self.repeated, ["k", "h"], "left_semi")
         texts = rows.join(often.select("k", "h"), ["k", "h"]).groupBy("k", "h").agg(F.min("t").alias("t"))
-        return once.unionByName(texts.join(often, ["k", "h"]).select("id", "payload", "t"))
+        return once.unionByName(texts.join(often.hint("merge"), ["k", "h"]).select("id", "payload", "t"))
 
 
 def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
@@ -235,7 +235,8 @@ def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
 
 
 def _joined(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """``pairs`` with ca and cb, the components of a and b."""
+    """``pairs`` with ca and cb, the components of a and b. ``of`` is a written table."""
+    of = sendable(of, SENT)
     for end in "ab":
         pairs = (pairs.join(of.select(F.col("node").alias(end), F.col("component").alias("c")), end, "left")
                  .withColumn(f"c{end}", F.coalesce("c", end)).drop("c"))
@@ -297,7 +298,8 @@ def _rare_pairs(gathered: DataFrame, split: DataFrame, centres: DataFrame, stars
             .groupBy("id", "c").agg(F.max("stray").alias("stray")))
     rows = stage(texts.of(ends.select("id", F.struct("c", "stray").alias("payload"))).select("id", "t", "payload")
                  .select("id", "t").mapInArrow(tidy(shingled), "id long, s long, size int"), "rare-shingles")
-    counts = rows.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+    # many rows a set, of which the same recur: their files are small, so joins by shingle are told to shuffle
+    counts = rows.groupBy("s").agg(F.count("*").alias("held")).where("held > 1").hint("merge")
     place = F.row_number().over(Window.partitionBy("id").orderBy("held", "s"))
     # shingles of one set alone come first, and join nothing
     alone = F.col("size") - F.count("*").over(Window.partitionBy("id"))
@@ -310,8 +312,8 @@ def _rare_pairs(gathered: DataFrame, split: DataFrame, centres: DataFrame, stars
     # at the first shingle that two alike sets share, what is behind it has to be enough in both
     fits = ("x_c <> y_c AND x_listed AND x_size <= y_size AND x_size * %d >= y_size * %d AND "
             "(1 + least(x_size - x_place, y_size - y_place)) * %d >= (x_size + y_size) * %d" % (OF, LIKE, LIKE + OF, LIKE))
-    out = [named("x").where(f"{one}_stray").join(named("y"), "s").where(fits) if one == "x" else
-           named("x").join(named("y").where("y_stray"), "s").where(fits) for one in "xy"]
+    out = [named("x").where(f"{one}_stray").join(named("y").hint("merge"), "s").where(fits) if one == "x" else
+           named("x").join(named("y").where("y_stray").hint("merge"), "s").where(fits) for one in "xy"]
     pairs = out[0].unionByName(out[1]).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     known = stars.where(_sizes_fit("m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return stage(pairs.join(known, ["a", "b"], "left_anti"), "rare-pairs")
@@ -360,7 +362,7 @@ def near_copies(docs: DataFrame, fingerprint: Callable[[bytes], int], linked: Ca
     if rare is not None and not rare.isEmpty():
         of = stage(components(links.unionByName(_verified(rare, texts))), "components")
 
-    joined = of.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    joined = sendable(of, SENT).select(F.col("node").alias("id"), F.col("component").alias("c"))
     least = joined.join(classes, "id").groupBy("c").agg(F.min("least").alias("reached"))
     by_class = stage(classes.join(joined.join(least, "c"), "id", "left")
                      .select("node", "members", F.coalesce("reached", "least").alias("least")), "classes")

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SENT = 1_000_000       # rows of a staged table up to which a join may send it to every executor
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: checkpoints, or else the warehouse."""
@@ -26,3 +28,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sendable(staged: DataFrame, most: int = SENT) -> DataFrame:
+    """A staged table for a join, which may broadcast it up to ``most`` rows only. The planner goes by the size of its
+    files, in which numbers that repeat take next to no space; on the driver each row takes a hundred bytes."""
+    return staged.hint("merge") if staged.count() > most else staged
