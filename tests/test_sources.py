@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.clean import listed_instruments
 from tickloom.sources import landed as L, tables as T
+from tickloom.staging import many_files
 
 GOOD = "Date,Open,High,Low,Close,Volume\n2019-01-01,1,2,0.5,1.5,10\n2019-01-02 00:00:00+05:30,1,2,0.5,1.6,11\n"
 
@@ -43,6 +44,27 @@ def test_dirty_files_of_one_name_keep_their_own_header_and_quoted_cells(spark, t
         (1, 2, 3, 4, 5), (1, 2, 3, 4, 5), (None, 2, 3, 4, 5), (None, 2, 3, 4, 5)]
 
 
+def test_the_name_is_taken_once_a_file(spark, tmp_path, monkeypatch):
+    """Not once a line: names come with the headers. Rows with letters and returns are read as before."""
+    write(tmp_path, "A.csv", "Date,Open,High,Low,Close,Volume\r\n2020-01-01,1E3,2,3,4,5\r\n2020-01-02,none,2,3,4,5\n")
+    staged = []
+    monkeypatch.setattr(L, "stage", lambda df, label, write=L.stage: staged.append(df.columns) or write(df, label))
+    got = L.read_dirty_bar_files(spark, str(tmp_path)).orderBy("date").collect()
+    assert [(r.stock, r.open, r.volume) for r in got] == [("A", 1000.0, 5.0), ("A", None, 5.0)]
+    assert [c[:2] for c in staged] == [["file", "stock"]]
+
+
+def test_many_small_files_on_a_local_disk(spark, tmp_path):
+    """A file a key and nothing beside it; every file that is made on a local disk starts a process."""
+    folder = str(tmp_path / "out")
+    rows = [(str(i % 5), f"line {i}") for i in range(20)]
+    (spark.createDataFrame(rows, "stock string, value string").repartition("stock")
+     .write.partitionBy("stock").options(**many_files(spark, folder)).text(folder))
+    files = [f for f in (tmp_path / "out").rglob("*") if f.is_file() and f.parent != tmp_path / "out"]
+    assert len(files) == 5 and all(f.name.endswith(".txt") for f in files)
+    assert sorted((r.stock, r.value) for r in spark.read.schema("value string, stock string").text(folder).collect()) == sorted(rows)
+
+
 def test_clean_files_in_another_order_fail(spark, tmp_path):
     write(tmp_path, "AAA.csv", "datetime,close,high,low,open,volume,symbol\n2021-02-03,1,2,3,4,5,A\n")
     with pytest.raises(Exception):

@@ -20,7 +20,7 @@ from tickloom.sources.landed import (as_long_returns, landed_files, not_ingested
 from tickloom.sources.tables import (latest_snapshot, read_panel, scan, stock_history, write_panel,
                                      write_snapshot)
 from tickloom.sources.wide import matrix_rows, read_wide_files, stock_numbers, write_wide_files
-from tickloom.staging import new_folder, stage
+from tickloom.staging import many_files, new_folder, stage
 
 PARTITION_VALUE = r"stock=([^/]+)/"
 
@@ -107,9 +107,7 @@ def landed_dirty_bar_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = bars(spark, sf).join(kinds, "stock").select("stock", F.lit(9).alias("at"), line.alias("value"))
     folder = new_folder(spark, "dirty")
     (heads.unionByName(rows).repartition("stock").sortWithinPartitions("stock", "at", "value")
-     .select("stock", "value").write.partitionBy("stock")
-     # a file a stock: its task moves it into place, not the driver one after the other
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
+     .select("stock", "value").write.partitionBy("stock").options(**many_files(spark, folder)).text(folder))
     return read_dirty_bar_files(spark, folder, PARTITION_VALUE)
 
 

@@ -57,18 +57,21 @@ def read_dirty_bar_files(spark: SparkSession, path: str | list[str], stem: str =
     value columns is left out. The first column is the date. Rows with no number in them are dropped.
     """
     columns = [*PRICES, "volume"]
+    value = F.col("value")
     lines = spark.read.text(path, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("file"), _instrument(stem).alias("stock"),
-        F.regexp_replace("value", r"\r$", "").alias("line"))
+        F.col("_metadata.file_path").alias("file"),
+        F.when(value.contains("\r"), F.regexp_replace(value, r"\r$", "")).otherwise(value).alias("line"))
     names = F.transform(_plain_or_quoted("line"), lambda c: F.lower(F.trim(c)))
     place = {c: F.array_position("names", c) for c in columns}
     place["close"] = F.when(place["close"] > 0, place["close"]).otherwise(
         F.array_position("names", "adj close"))
-    # one short row a file; staged, so that its size decides how it is joined
-    headers = (lines.filter(F.lower("line").rlike("|".join(columns))).withColumn("names", names)
+    # one short row a file; staged, so that its size decides how it is joined. Lines without a letter need no pattern
+    letters = F.lower("line") != F.upper("line")
+    headers = (lines.filter(letters & F.lower("line").rlike("|".join(columns))).withColumn("names", names)
                .filter(F.arrays_overlap("names", F.array(*[F.lit(c) for c in columns])))
                .groupBy("file").agg(F.min("names").alias("names"))
-               .select("file", *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
+               .select("file", F.regexp_extract("file", stem, 1).alias("stock"),
+                       *[p.cast("int").alias(f"at_{c}") for c, p in place.items()]))
     for c in columns:
         headers = headers.filter(F.col(f"at_{c}") > 0)
     cells = lines.join(stage(headers, "headers"), "file").withColumn("cells", _plain_or_quoted("line"))

@@ -23,6 +23,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tickloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def many_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Options of a writer that makes a file a key. Each task moves its files into place, not the driver one after the
+    other. A local disk is different: every file, checksum and folder that is made there starts a process (chmod), and a
+    move takes next to nothing, so whole folders are moved at the end and checksum files left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    version = "mapreduce.fileoutputcommitter.algorithm.version"
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return {version: "2"}
+    return {version: "1", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a scan of it."""
     path = new_folder(df.sparkSession, label)
